@@ -160,7 +160,7 @@ def q_model_frame(spark, d):
 FILTER_SQL = """
 SELECT post_id, content_category, media_type, account_type, follower_count
 FROM posts
-WHERE content_category IN ('STANDARD BRUSHED', 'ECONOMY ANODIZED', 'PROMO POLISHED')
+WHERE content_category IN ('STANDARD', 'ECONOMY', 'PROMO')
   AND media_type IN ('reel', 'carousel') AND account_type IN ('creator', 'brand')
   AND follower_count BETWEEN 5000 AND 60000
   AND CAST(post_datetime AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1999-10-31'"""
@@ -170,7 +170,7 @@ WHERE content_category IN ('STANDARD BRUSHED', 'ECONOMY ANODIZED', 'PROMO POLISH
 def q_facet_filter(spark, d):
     """Facet IN lists, follower range and inclusive date range (pushed down)."""
     p = X.facet_filter(posts(spark, d),
-                       categories=["STANDARD BRUSHED", "ECONOMY ANODIZED", "PROMO POLISHED"],
+                       categories=["STANDARD", "ECONOMY", "PROMO"],
                        media=["reel", "carousel"], accounts=["creator", "brand"],
                        followers=(5000, 60000), dates=("1996-03-01", "1999-10-31"))
     return p.select("post_id", "content_category", "media_type", "account_type", "follower_count")
