@@ -80,34 +80,44 @@ def _arr(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def hit_count(text, words: Sequence[str]) -> Column:
-    """Number of list entries occurring as substrings of lower(text)."""
-    t = F.lower(_c(text))
-    return F.size(F.filter(_arr(words), lambda w: F.contains(t, w)))
+def hit_count(text, words: Sequence[str], *, lowered: bool = False) -> Column:
+    """Number of list entries occurring as substrings of lower(text).
 
+    Unrolled into one ``contains`` per entry (codegen'd), instead of a lambda
+    over an array literal (interpreted, re-evaluating the text per entry)."""
+    t = _c(text) if lowered else F.lower(_c(text))
+    out = F.lit(0)
+    for w in words:
+        out = out + F.contains(t, F.lit(w)).cast("int")
+    return out
 
-def any_hit(text, words: Sequence[str]) -> Column:
-    t = F.lower(_c(text))
-    return F.exists(_arr(words), lambda w: F.contains(t, w))
+
+def any_hit(text, words: Sequence[str], *, lowered: bool = False) -> Column:
+    t = _c(text) if lowered else F.lower(_c(text))
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(t, F.lit(w))
+    return F.coalesce(out, F.lit(False)) if words else out
 
 
 def relatability_score(text, *, struggle: Sequence[str] = STRUGGLE_WORDS,
                        phrases: Sequence[str] = RELATABLE_PHRASES,
-                       empathy: Sequence[str] = EMPATHY_MARKERS) -> Column:
+                       empathy: Sequence[str] = EMPATHY_MARKERS, lowered: bool = False) -> Column:
     """Capped weighted hit counts + question bonus, at most 100."""
+    t = _c(text) if lowered else F.lower(_c(text))
     parts = []
     for words, (w, cap) in zip((struggle, phrases, empathy), RELATABILITY_PARTS):
-        parts.append(F.least(hit_count(text, words) * w, F.lit(cap)))
-    q = F.when(F.lower(_c(text)).rlike(QUESTION_PATTERN), F.lit(QUESTION_BONUS)).otherwise(F.lit(0))
+        parts.append(F.least(hit_count(t, words, lowered=True) * w, F.lit(cap)))
+    q = F.when(t.rlike(QUESTION_PATTERN), F.lit(QUESTION_BONUS)).otherwise(F.lit(0))
     return F.least((parts[0] + parts[1] + parts[2] + q).cast("double"), F.lit(100.0))
 
 
 def marker_flags(text, *, struggle=STRUGGLE_WORDS, phrases=RELATABLE_PHRASES,
-                 empathy=EMPATHY_MARKERS) -> dict[str, Column]:
+                 empathy=EMPATHY_MARKERS, lowered: bool = False) -> dict[str, Column]:
     """0/1 flags for any struggle word / relatable phrase / empathy marker."""
-    return {"has_struggle_word": any_hit(text, struggle).cast("int"),
-            "has_relatable_phrase": any_hit(text, phrases).cast("int"),
-            "has_empathy_marker": any_hit(text, empathy).cast("int")}
+    return {"has_struggle_word": any_hit(text, struggle, lowered=lowered).cast("int"),
+            "has_relatable_phrase": any_hit(text, phrases, lowered=lowered).cast("int"),
+            "has_empathy_marker": any_hit(text, empathy, lowered=lowered).cast("int")}
 
 
 def detect_cta(caption, phrases: Sequence[str] = CTA_PHRASES) -> Column:

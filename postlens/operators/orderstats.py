@@ -22,10 +22,21 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
-def value_ranks(df: DataFrame, col: str, *, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Columns: v, cnt, less (rows with a smaller value), n (all non-null rows)."""
+def value_ranks(df: DataFrame, col: str, *, buckets: int = DEFAULT_BUCKETS,
+                materialize: bool = True) -> DataFrame:
+    """Columns: v, cnt, less (rows with a smaller value), n (all non-null rows).
+
+    The distinct-value counts feed four consumers (bucket bounds, bucket
+    totals, running counts, and the callers' joins).  With ``materialize`` they
+    are written once with a reliable ``checkpoint()`` to the shared checkpoint
+    folder, so the fact table is aggregated once instead of once per consumer
+    (Spark does not reuse those exchanges: their pruned subtrees differ)."""
     counts = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
+    if materialize:
+        from postlens.session import checkpoint_dir
+        checkpoint_dir(df.sparkSession)
+        counts = counts.checkpoint(eager=True)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = counts.agg(F.percentile_approx("v", probs, 10000).alias("bounds"))
     with_b = (counts.crossJoin(F.broadcast(bounds))   # one row: size-proven broadcast

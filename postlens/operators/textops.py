@@ -38,12 +38,13 @@ def tag_comments(df: DataFrame, *, text: str = "comment_text",
                  empathy=TX.EMPATHY_MARKERS) -> DataFrame:
     """J1 + J2 + J3: relatability (rounded to 1), polarity and marker flags.
     The classifier label is added by ``learn.classify_comments`` (J4)."""
-    return df.withColumns({
+    low = df.withColumn("__lt", F.lower(F.col(text)))       # lower-case each text once
+    return low.withColumns({
         "vader_compound": polarity(text, lexicon),
-        "relatability_score": F.round(TX.relatability_score(text, struggle=struggle, phrases=phrases,
-                                                            empathy=empathy), 1),
-        **TX.marker_flags(text, struggle=struggle, phrases=phrases, empathy=empathy),
-    })
+        "relatability_score": F.round(TX.relatability_score("__lt", struggle=struggle, phrases=phrases,
+                                                            empathy=empathy, lowered=True), 1),
+        **TX.marker_flags("__lt", struggle=struggle, phrases=phrases, empathy=empathy, lowered=True),
+    }).drop("__lt")
 
 
 def problem_awareness(df: DataFrame, *, category: str = "content_category",
@@ -54,13 +55,13 @@ def problem_awareness(df: DataFrame, *, category: str = "content_category",
 
     One ``max`` per keyword per group (partial aggregation), instead of
     concatenating a category's texts; a phrase cannot span two comments."""
-    t = F.concat(F.lower(F.col(text)), F.lit(" "))
     lists = {"sys": systemic, "sha": shared, "per": personal}
-    aggs = []
-    for tag, words in lists.items():
-        for i, w in enumerate(words):
-            aggs.append(F.max(F.contains(t, F.lit(w)).cast("int")).alias(f"{tag}{i}"))
-    g = df.where(F.col(category).isNotNull()).groupBy(category).agg(*aggs)
+    t = F.concat(F.lower(F.col(text)), F.lit(" "))
+    flags = {f"{tag}{i}": F.contains(F.col("__lt"), F.lit(w)).cast("int")
+             for tag, words in lists.items() for i, w in enumerate(words)}
+    per_row = (df.where(F.col(category).isNotNull()).select(category, t.alias("__lt"))
+               .select(category, *[v.alias(k) for k, v in flags.items()]))
+    g = per_row.groupBy(category).agg(*[F.max(k).alias(k) for k in flags])
     count = {tag: sum((F.col(f"{tag}{i}") for i in range(len(w))), F.lit(0))
              for tag, w in lists.items()}
     (l1, k1), (l2, k2), (l3, k3) = TX.AWARENESS_LEVELS
