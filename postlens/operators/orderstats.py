@@ -22,6 +22,18 @@ from pyspark.sql import functions as F
 DEFAULT_BUCKETS = 64
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: one pass (a reliable ``checkpoint()`` computes its input twice),
+    lineage cut, and the files survive the loss of any executor."""
+    import os
+    import uuid
+    from postlens.session import checkpoint_dir
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"stage-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def value_ranks(df: DataFrame, col: str, *, buckets: int = DEFAULT_BUCKETS,
                 materialize: bool = True) -> DataFrame:
     """Columns: v, cnt, less (rows with a smaller value), n (all non-null rows).
@@ -34,9 +46,7 @@ def value_ranks(df: DataFrame, col: str, *, buckets: int = DEFAULT_BUCKETS,
     counts = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
     if materialize:
-        from postlens.session import checkpoint_dir
-        checkpoint_dir(df.sparkSession)
-        counts = counts.checkpoint(eager=True)
+        counts = materialized(counts)
     probs = [i / buckets for i in range(1, buckets)]
     bounds = counts.agg(F.percentile_approx("v", probs, 10000).alias("bounds"))
     with_b = (counts.crossJoin(F.broadcast(bounds))   # one row: size-proven broadcast
@@ -114,3 +124,52 @@ def tier_by_quantile(df: DataFrame, *, metric: str, probs: Sequence[float],
     return (df.crossJoin(F.broadcast(qs))                # one row: size-proven
             .withColumn(out, tier_from_bounds(metric, [F.col(n) for n in names], labels))
             .drop(*names))
+
+
+def keyed_value_ranks(df: DataFrame, cols: Sequence[str], *, buckets: int = DEFAULT_BUCKETS,
+                      materialize: bool = True) -> DataFrame:
+    """``value_ranks`` for several numeric columns in one aggregation.
+
+    Columns: k (column name), v (value as double), cnt, less, n.  One shuffle
+    of (column, value) pairs replaces one pass over the facts per column."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v"))
+                                for c in cols])).alias("s")
+    counts = (df.select(pairs).select("s.k", "s.v").where(F.col("v").isNotNull())
+              .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    if materialize:
+        counts = materialized(counts)
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = counts.groupBy("k").agg(F.percentile_approx("v", probs, 10000).alias("bounds"))
+    with_b = (counts.join(F.broadcast(bounds), "k")          # one row per column
+              .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
+              .drop("bounds"))
+    totals = with_b.groupBy("k", "bucket").agg(F.sum("cnt").alias("tot"))
+    w_all = Window.partitionBy("k").orderBy("bucket")        # ≤ buckets rows per column
+    offsets = totals.select(
+        "k", "bucket",
+        F.coalesce(F.sum("tot").over(w_all.rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("offset"),
+        F.sum("tot").over(Window.partitionBy("k")).alias("n"))
+    w_in = (Window.partitionBy("k", "bucket").orderBy("v")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (with_b.join(F.broadcast(offsets), ["k", "bucket"])
+            .select("k", "v", "cnt",
+                    (F.col("offset") + F.sum("cnt").over(w_in) - F.col("cnt")).alias("less"), "n"))
+
+
+def keyed_quantiles(df: DataFrame, cols: Sequence[str], prob: float) -> DataFrame:
+    """One row: the exact ``prob`` quantile of each column (named as the column)."""
+    r = keyed_value_ranks(df, cols)
+    targets = (r.groupBy("k").agg(F.max("n").alias("n"))
+               .withColumn("h", (F.col("n") - 1) * F.lit(float(prob)))
+               .withColumn("k_lo", F.floor("h"))
+               .withColumn("k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1))
+               .withColumn("frac", F.col("h") - F.col("k_lo")).drop("n"))
+    hit_lo = (F.col("less") <= F.col("k_lo")) & (F.col("k_lo") < F.col("less") + F.col("cnt"))
+    hit_hi = (F.col("less") <= F.col("k_hi")) & (F.col("k_hi") < F.col("less") + F.col("cnt"))
+    picked = (r.join(F.broadcast(targets), "k").where(hit_lo | hit_hi)   # one row per column
+              .groupBy("k", "frac")
+              .agg(F.max(F.when(hit_lo, F.col("v"))).alias("a"), F.max(F.when(hit_hi, F.col("v"))).alias("b"))
+              .select("k", _lerp(F.col("a"), F.col("b"), F.col("frac")).alias("q")))
+    row = picked.agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m"))
+    return row.select(*[F.col("m")[c].alias(c) for c in cols])
