@@ -31,7 +31,7 @@ def performance_tiers(df: DataFrame, *, metric: str = "engagement_rate", out: st
 
 def viral_coefficients(df: DataFrame, *, saves="saves", shares="shares", likes="likes",
                        comments="comments", reach="reach", weights=C.VC_WEIGHTS,
-                       buckets: int = O.DEFAULT_BUCKETS, percentile: bool = True,
+                       buckets: int | None = None, percentile: bool = True,
                        tiers: bool = True) -> DataFrame:
     """vc_raw, high_value_ratio, vc_percentile (average ties), vc_tier.
 

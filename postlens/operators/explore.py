@@ -286,8 +286,9 @@ def best_n(df: DataFrame, *, key: str, metric: str = METRIC, n: int = 3,
            min_n: int = 5) -> DataFrame:
     """Top ``n`` keys by average metric among keys with ≥ ``min_n`` rows."""
     agg = min_support(mean_by_key(df, keys=key, metric=metric), k=min_n)
-    w = Window.orderBy(F.col("avg_metric").desc(), F.col(key))  # aggregated keys only
-    return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    top = agg.orderBy(F.col("avg_metric").desc(), F.col(key)).limit(n)   # distributed top-k
+    w = Window.orderBy(F.col("avg_metric").desc(), F.col(key))           # ≤ n rows
+    return top.withColumn("rank", F.row_number().over(w))
 
 
 def best_days(df: DataFrame, *, metric: str = METRIC) -> DataFrame:

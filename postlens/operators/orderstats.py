@@ -1,10 +1,11 @@
 """Exact order statistics without a single-task step over fact rows.
 
 ``value_ranks`` turns a column into one row per distinct value with the number
-of rows below it.  Distinct values are split into ``buckets`` ranges whose
-bounds come from ``percentile_approx`` over the distinct values, so each window
-partition holds ~1/buckets of them even when the values are skewed; only the
-≤ ``buckets``-row bucket totals are ranked globally (and broadcast back).
+of rows below it.  Distinct values are split into ranges whose bounds come from
+``percentile_approx`` over the distinct values; the number of ranges grows with
+the number of distinct values (≈ 1M per range, 64 to 100k ranges), so a window
+task never holds more than about a million values, however skewed the data;
+only the bucket totals (one row per range) are ranked globally and broadcast.
 A hot value is one row after the first aggregation, so it cannot overload a task.
 
 On top of it:
@@ -14,12 +15,16 @@ On top of it:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 64
+TARGET_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 100_000
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -34,26 +39,46 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def value_ranks(df: DataFrame, col: str, *, buckets: int = DEFAULT_BUCKETS,
+def value_ranks(df: DataFrame, col: str, *, buckets: int | None = None,
                 materialize: bool = True) -> DataFrame:
     """Columns: v, cnt, less (rows with a smaller value), n (all non-null rows).
 
-    The distinct-value counts feed four consumers (bucket bounds, bucket
-    totals, running counts, and the callers' joins).  With ``materialize`` they
-    are written once with a reliable ``checkpoint()`` to the shared checkpoint
-    folder, so the fact table is aggregated once instead of once per consumer
-    (Spark does not reuse those exchanges: their pruned subtrees differ)."""
+    The distinct-value counts feed several consumers (bucket bounds, bucket
+    totals, running counts, the callers' joins).  With ``materialize`` they are
+    written once to the shared checkpoint folder, so the fact table is
+    aggregated once instead of once per consumer (Spark does not reuse those
+    exchanges: their pruned subtrees differ)."""
     counts = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
     if materialize:
         counts = materialized(counts)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = counts.agg(F.percentile_approx("v", probs, 10000).alias("bounds"))
-    with_b = (counts.crossJoin(F.broadcast(bounds))   # one row: size-proven broadcast
-              .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
-              .drop("bounds"))
+    return ranks_from_counts(counts, buckets=buckets)
+
+
+def bucket_count(counts: DataFrame) -> int:
+    """Buckets so that one window task sees ~TARGET_PER_BUCKET distinct values."""
+    d = counts.count()
+    return int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, math.ceil(d / TARGET_PER_BUCKET))))
+
+
+def ranks_from_counts(counts: DataFrame, *, buckets: int | None = None) -> DataFrame:
+    """(v, cnt) → (v, cnt, less, n) with bucketed running counts.
+
+    Bucket bounds are ``percentile_approx`` of the distinct values (≤ buckets-1
+    numbers, brought to the driver: bounded) applied with ``Bucketizer``
+    (a JVM binary search), so buckets hold similar numbers of distinct values
+    even under heavy skew."""
+    b = buckets or bucket_count(counts)
+    probs = [i / b for i in range(1, b)]
+    acc = max(10000, 10 * b)
+    got = counts.agg(F.percentile_approx(F.col("v").cast("double"), probs, acc)).first()[0] or []
+    inner = sorted({float(x) for x in got if x is not None and not math.isnan(x)})
+    splits = [-math.inf] + inner + [math.inf]
+    with_b = Bucketizer(splits=splits, inputCol="__vd", outputCol="__b", handleInvalid="keep").transform(
+        counts.withColumn("__vd", F.col("v").cast("double"))
+    ).select("v", "cnt", F.col("__b").cast("int").alias("bucket"))
     totals = with_b.groupBy("bucket").agg(F.sum("cnt").alias("tot"))
-    w_all = Window.orderBy("bucket")  # ≤ buckets rows: aggregated, tiny
+    w_all = Window.orderBy("bucket")  # ≤ buckets rows: aggregated, bounded
     offsets = totals.select(
         "bucket",
         F.coalesce(F.sum("tot").over(w_all.rowsBetween(Window.unboundedPreceding, -1)),
@@ -126,50 +151,18 @@ def tier_by_quantile(df: DataFrame, *, metric: str, probs: Sequence[float],
             .drop(*names))
 
 
-def keyed_value_ranks(df: DataFrame, cols: Sequence[str], *, buckets: int = DEFAULT_BUCKETS,
-                      materialize: bool = True) -> DataFrame:
-    """``value_ranks`` for several numeric columns in one aggregation.
+def keyed_quantiles(df: DataFrame, cols: Sequence[str], prob: float) -> DataFrame:
+    """One row: the exact ``prob`` quantile of each column (named as the column).
 
-    Columns: k (column name), v (value as double), cnt, less, n.  One shuffle
-    of (column, value) pairs replaces one pass over the facts per column."""
+    One pass over the facts counts every (column, value) pair into a
+    materialized table; each column's ranking then reads only its slice."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v"))
                                 for c in cols])).alias("s")
-    counts = (df.select(pairs).select("s.k", "s.v").where(F.col("v").isNotNull())
-              .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
-    if materialize:
-        counts = materialized(counts)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = counts.groupBy("k").agg(F.percentile_approx("v", probs, 10000).alias("bounds"))
-    with_b = (counts.join(F.broadcast(bounds), "k")          # one row per column
-              .withColumn("bucket", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
-              .drop("bounds"))
-    totals = with_b.groupBy("k", "bucket").agg(F.sum("cnt").alias("tot"))
-    w_all = Window.partitionBy("k").orderBy("bucket")        # ≤ buckets rows per column
-    offsets = totals.select(
-        "k", "bucket",
-        F.coalesce(F.sum("tot").over(w_all.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("offset"),
-        F.sum("tot").over(Window.partitionBy("k")).alias("n"))
-    w_in = (Window.partitionBy("k", "bucket").orderBy("v")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (with_b.join(F.broadcast(offsets), ["k", "bucket"])
-            .select("k", "v", "cnt",
-                    (F.col("offset") + F.sum("cnt").over(w_in) - F.col("cnt")).alias("less"), "n"))
-
-
-def keyed_quantiles(df: DataFrame, cols: Sequence[str], prob: float) -> DataFrame:
-    """One row: the exact ``prob`` quantile of each column (named as the column)."""
-    r = keyed_value_ranks(df, cols)
-    targets = (r.groupBy("k").agg(F.max("n").alias("n"))
-               .withColumn("h", (F.col("n") - 1) * F.lit(float(prob)))
-               .withColumn("k_lo", F.floor("h"))
-               .withColumn("k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1))
-               .withColumn("frac", F.col("h") - F.col("k_lo")).drop("n"))
-    hit_lo = (F.col("less") <= F.col("k_lo")) & (F.col("k_lo") < F.col("less") + F.col("cnt"))
-    hit_hi = (F.col("less") <= F.col("k_hi")) & (F.col("k_hi") < F.col("less") + F.col("cnt"))
-    picked = (r.join(F.broadcast(targets), "k").where(hit_lo | hit_hi)   # one row per column
-              .groupBy("k", "frac")
-              .agg(F.max(F.when(hit_lo, F.col("v"))).alias("a"), F.max(F.when(hit_hi, F.col("v"))).alias("b"))
-              .select("k", _lerp(F.col("a"), F.col("b"), F.col("frac")).alias("q")))
-    row = picked.agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("m"))
-    return row.select(*[F.col("m")[c].alias(c) for c in cols])
+    counts = materialized(df.select(pairs).select("s.k", "s.v").where(F.col("v").isNotNull())
+                          .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    row = None
+    for c in cols:
+        part = counts.where(F.col("k") == c).select("v", "cnt")
+        q = exact_quantiles(None, c, [prob], ranks=ranks_from_counts(part), names=[c])
+        row = q if row is None else row.crossJoin(q)
+    return row

@@ -128,8 +128,9 @@ def page_links(pages: DataFrame, *, html: str = "html", page_id: str = "page_id"
         F.regexp_extract_all(F.col(html), F.lit(r'href="([^"]+)"'), 1)).alias("pos", "link"))
     if post_links_only:
         hrefs = hrefs.where(TX.is_post_link("link"))
-    w = Window.partitionBy("link").orderBy(page_id, "pos")
-    first = hrefs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    first = (hrefs.groupBy("link")          # map-side combine: a hot link is one row per task
+             .agg(F.min(F.struct(page_id, "pos")).alias("f"))
+             .select(F.col(f"f.{page_id}").alias(page_id), F.col("f.pos").alias("pos"), "link"))
     return first.withColumn("media_type", TX.post_kind("link"))
 
 

@@ -219,3 +219,32 @@ def q_run_deltas(spark, d):
     log = S.training_log_read(spark, path)
     return N.run_deltas(log).select("mae", "r2", "n_train", "timestamp", "run", "mae_delta", "r2_delta",
                                     "mae_improved", "r2_improved")
+
+
+TOPIC_SQL = " ".join(f"WHEN contains(lower(caption || ' '), '{k}') THEN '{c}'"
+                     for k, c in __import__("postlens.functions.text", fromlist=["x"]).CATEGORY_KEYWORDS)
+
+
+@register("feature_rows", with_(POSTS_CTE, f""",
+m AS (SELECT quantile_cont(follower_count, 0.5) AS fc, quantile_cont(likes, 0.5) AS lk,
+             quantile_cont(comments, 0.5) AS cm, quantile_cont(shares, 0.5) AS sh,
+             quantile_cont(saves, 0.5) AS sv, quantile_cont(followers_gained, 0.5) AS fg FROM posts),
+a AS (SELECT account_type FROM posts WHERE account_type IS NOT NULL GROUP BY account_type
+      ORDER BY count(*) DESC, account_type LIMIT 1),
+pg AS (SELECT url AS link, CASE WHEN contains(url, '/reel/') THEN 'reel' ELSE 'image' END AS media_type,
+              regexp_extract(html, '<title>(.*?)</title>', 1) AS caption FROM pages)
+SELECT link, round(fc, 6) AS follower_count, round(lk, 6) AS likes, round(cm, 6) AS comments,
+       CAST(length(caption) AS BIGINT) AS caption_length,
+       CAST(len(regexp_extract_all(caption, '#[\\p{{L}}\\p{{N}}_]+')) AS BIGINT) AS hashtags_count,
+       CAST(CASE WHEN {" OR ".join(f"contains(lower(caption), '{w}')" for w in __import__("postlens.functions.text", fromlist=["x"]).CTA_PHRASES)}
+            THEN 1 ELSE 0 END AS DOUBLE) AS has_call_to_action,
+       9 AS hour, 1 AS day_num, 4 AS month_num, 16 AS week, 0 AS reach, 0 AS impressions,
+       CAST(trunc(sh) AS BIGINT) AS shares, CAST(trunc(sv) AS BIGINT) AS saves,
+       CAST(trunc(fg) AS BIGINT) AS followers_gained, media_type, a.account_type,
+       CASE {TOPIC_SQL} ELSE 'Technology' END AS content_category, 'Hashtags' AS traffic_source
+FROM pg, m, a"""))
+def q_feature_rows(spark, d):
+    """M4 (+ M1-M3, M6, J8, D17): model-ready rows for stored pages."""
+    pages = M.post_time_fields(TO.page_posts(spark.read.parquet(f"{d}/pages.parquet"))
+                               .withColumn("post_datetime", F.lit(None).cast("string")))
+    return M.feature_rows(pages, M.column_defaults(posts(spark, d)))

@@ -214,7 +214,20 @@ def q_word_bigrams(spark, d):
                     F.md5(F.array_join(terms, "|")).alias("terms_md5"))
 
 
-@register("tfidf")
+@register("tfidf", """
+WITH c AS (SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS comment_id, text FROM conversations),
+t AS (SELECT comment_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+'),
+                                     lambda w: regexp_full_match(w, '[a-z][a-z]+')) AS tk FROM c),
+b AS (SELECT comment_id, unnest(list_concat(tk, list_transform(range(1, len(tk)),
+                                                               lambda i: tk[i] || ' ' || tk[i + 1]))) AS term FROM t),
+tc AS (SELECT comment_id, term, count(*) AS tf FROM b GROUP BY comment_id, term),
+n AS (SELECT count(*) AS n_docs FROM c),
+st AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tc GROUP BY term),
+v AS (SELECT * FROM st ORDER BY total DESC, term LIMIT 5000),
+w AS (SELECT comment_id, term, (1 + ln(tf)) * (ln((1 + n_docs) / (1 + df)) + 1) AS w
+      FROM tc JOIN v USING (term) CROSS JOIN n),
+nm AS (SELECT comment_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY comment_id)
+SELECT comment_id, term, round(w / norm, 6) AS weight FROM w JOIN nm USING (comment_id)""")
 def q_tfidf(spark, d):
     """TF-IDF weights (sublinear tf, smooth idf + 1, L2) over conversations."""
     c = comments_from_tables(spark, d, which="conversations")
