@@ -248,3 +248,35 @@ def q_feature_rows(spark, d):
     pages = M.post_time_fields(TO.page_posts(spark.read.parquet(f"{d}/pages.parquet"))
                                .withColumn("post_datetime", F.lit(None).cast("string")))
     return M.feature_rows(pages, M.column_defaults(posts(spark, d)))
+
+
+@register("baseline_metrics", with_(POSTS_CTE, """,
+s AS (SELECT *, CAST('0x' || substr(md5(post_id || '42'), 1, 8) AS BIGINT) % 100 < 80 AS is_train FROM posts),
+m AS (SELECT content_category, avg(engagement_rate) AS pred FROM s WHERE is_train GROUP BY content_category),
+t AS (SELECT s.engagement_rate AS y, m.pred FROM s JOIN m USING (content_category) WHERE NOT is_train)
+SELECT round(avg(abs(y - pred)), 5) AS mae,
+       round(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 4) AS r2, count(*) AS n_test FROM t"""))
+def q_baseline_metrics(spark, d):
+    """K3 + K4: held-out MAE / R² of the per-category training mean."""
+    p = posts(spark, d).withColumn("is_train", K.split_flag("post_id"))
+    means = (p.where("is_train").groupBy("content_category")
+             .agg(F.avg("engagement_rate").alias("prediction")))
+    test = p.where("NOT is_train").join(F.broadcast(means), "content_category")   # one row per category
+    return K.regression_metrics(test)
+
+
+@register("scan_posts", with_(POSTS_CTE, """
+SELECT post_id, likes, comments, round(engagement_rate, 6) AS engagement_rate, hour, week, year,
+       viral_score FROM posts"""))
+def q_scan_posts(spark, d):
+    """A1 + B1-B5 + C4 + B4n: posts exported as CSV (ragged header names, text
+    timestamps), read back with an explicit schema and ingested."""
+    from postlens.sources.posts import posts_from_tables, scan_posts, ingest_posts
+    raw = posts_from_tables(spark, d)
+    out = _scratch(spark, "csv")
+    (raw.select(*[F.col(c).cast("string").alias(f" {c.upper()} ") if c == "post_datetime"
+                  else F.col(c).alias(f" {c.upper()} ") for c in raw.columns])
+     .write.option("header", True).csv(out))
+    back = ingest_posts(scan_posts(spark, out))
+    return back.select("post_id", "likes", "comments", "engagement_rate", "hour", "week", "year",
+                       "viral_score")

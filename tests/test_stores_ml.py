@@ -79,3 +79,38 @@ def test_classifier_beats_majority(spark):
     assert acc >= majority
     tagged = K.classify_comments(model, comments_from_tables(spark, SF_SMALL, "conversations"))
     assert tagged.where(F.col("confidence").between(0, 1)).count() == tagged.count()
+
+
+def test_nan_to_null_and_sink_and_model_store(spark):
+    from postlens.sources.posts import nan_to_null
+    df = spark.createDataFrame([(1, float("nan")), (2, 0.5)], "id int, x double")
+    assert [r.x for r in nan_to_null(df).orderBy("id").collect()] == [None, 0.5]
+    path = _path(spark, "sink")
+    S.predictions_sink(df, path)
+    assert spark.read.option("header", True).csv(path).count() == 2
+    p = posts(spark, SF_SMALL)
+    data = N.model_columns(p.withColumnRenamed("post_id", "__pid"))
+    model, metrics, (num, cat) = K.train_engagement_model(data, id_col="__pid", num_trees=5, max_depth=3)
+    store = _path(spark, "model")
+    S.model_store_save(model, metrics, store)
+    loaded, m2 = S.model_store_load(spark, store)
+    a = K.batch_predict(model, data, cat).select("predicted_engagement").collect()
+    b = K.batch_predict(loaded, data, cat).select("predicted_engagement").collect()
+    assert a == b and m2.count() == 1
+    assert S.model_store_load(spark, "/nonexistent/model") is None
+
+
+def test_score_stream_equals_batch(spark):
+    from postlens.streaming import streams as ST
+    p = posts(spark, SF_SMALL)
+    data = N.model_columns(p.withColumnRenamed("post_id", "__pid"))
+    model, _, (num, cat) = K.train_engagement_model(data, id_col="__pid", num_trees=5, max_depth=3)
+    src = _path(spark, "src")
+    data.write.parquet(src)
+    stream = spark.readStream.schema(data.schema).parquet(src)
+    out, chk = _path(spark, "out"), _path(spark, "chk")
+    ST.run_to_files(ST.score_stream(stream, model).select("__pid", "prediction"), out, chk)
+    got = {r["__pid"]: r["prediction"] for r in spark.read.parquet(out).collect()}
+    want = {r["__pid"]: max(r["prediction"], 0.0)
+            for r in model.transform(data).select("__pid", "prediction").collect()}
+    assert got == want
