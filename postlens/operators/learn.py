@@ -86,8 +86,11 @@ def engagement_pipeline(num: Sequence[str], cat: Sequence[str], *, label: str =
         stages.append(StringIndexer(inputCols=list(cat), outputCols=idx, handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=oh, handleInvalid="keep", dropLast=True))
     stages.append(VectorAssembler(inputCols=(["__num_z"] if num else []) + oh, outputCol="features"))
+    # maxMemoryInMB sizes the node groups split per pass over the data; cached
+    # node ids avoid re-walking every tree for every row at each level.
     stages.append(RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
-                                        maxDepth=max_depth, seed=seed, featureSubsetStrategy="all"))
+                                        maxDepth=max_depth, seed=seed, featureSubsetStrategy="all",
+                                        maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10))
     return Pipeline(stages=stages)
 
 
