@@ -280,3 +280,41 @@ def q_scan_posts(spark, d):
     back = ingest_posts(scan_posts(spark, out))
     return back.select("post_id", "likes", "comments", "engagement_rate", "hour", "week", "year",
                        "viral_score")
+
+
+@register("predictions_sink", with_(POSTS_CTE, """
+SELECT post_id, CAST(likes AS VARCHAR) AS likes,
+       CASE WHEN engagement_rate >= 0.08 THEN 'VIRAL' WHEN engagement_rate >= 0.05 THEN 'HIGH'
+            WHEN engagement_rate >= 0.03 THEN 'MEDIUM' WHEN engagement_rate >= 0.01 THEN 'LOW'
+            ELSE 'VERY LOW' END AS engagement_tier FROM posts"""))
+def q_predictions_sink(spark, d):
+    """Scored rows written as CSV (overwrite) and read back as text."""
+    from postlens.functions import columns as C
+    scored = posts(spark, d).select("post_id", "likes",
+                                    C.engagement_band("engagement_rate").alias("engagement_tier"))
+    path = _scratch(spark, "sink")
+    S.predictions_sink(scored, path)
+    return spark.read.option("header", True).csv(path)
+
+
+@register("model_store")
+def q_model_store(spark, d):
+    """A7 + K9: fit, save, load; predictions of the loaded pipeline (compact forest)."""
+    data = N.model_columns(posts(spark, d).withColumnRenamed("post_id", "__pid"))
+    model, metrics, (num, cat) = K.train_engagement_model(data, id_col="__pid", num_trees=20, max_depth=6)
+    path = _scratch(spark, "model")
+    S.model_store_save(model, metrics, path)
+    loaded, _ = S.model_store_load(spark, path)
+    return K.batch_predict(loaded, data, cat).select("__pid", "predicted_engagement")
+
+
+@register("retrain")
+def q_retrain(spark, d):
+    """K5: base + pool rows (labels from the pool), tree count from the pool size."""
+    p = posts(spark, d)
+    base = p.where(F.col("media_type") != "reel")
+    pool = p.where(F.col("media_type") == "reel").select(
+        F.col("post_id").alias("link"), "likes", "shares", "saves", "reach", "media_type",
+        "content_category", "engagement_rate", F.lit("scraped").alias("label_source"))
+    _, metrics, _ = K.retrain(base, pool, max_depth=6)
+    return metrics

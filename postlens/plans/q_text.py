@@ -267,3 +267,14 @@ SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
 def q_label_distribution(spark, d):
     """Label counts and shares of the labelled corpus."""
     return TO.label_distribution(labelled_corpus(scan_corpus(spark, _corpus_path(spark, d))))
+
+
+@register("keyword_trends", __import__("postlens.plans.q_trend", fromlist=["x"]).with_(
+    __import__("postlens.plans.q_trend", fromlist=["x"]).VELOCITY, """
+SELECT content_category AS keyword, CAST(round(round(vel, 2)) AS BIGINT) AS velocity,
+       content_category AS category, CASE WHEN round(vel, 2) > 0 THEN 'rising' ELSE 'declining' END AS direction
+FROM v"""))
+def q_keyword_trends(spark, d):
+    """A3: rising / declining keyword records from a corpus file whose trend
+    section Spark derived from the posts' trend velocities."""
+    return keyword_trends(spark, _corpus_path(spark, d, with_trends=True))
