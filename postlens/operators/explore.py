@@ -149,10 +149,13 @@ def best_key(df: DataFrame, *, keys: Sequence[str] = ("hour", "content_category"
         value = F.when(F.col("gid") == gid_of[k], F.col(k).cast("string")).otherwise(value)
     g = g.withColumn("key_name", key_name).withColumn("best_value", value)
     g = g.where(F.col("best_value").isNotNull())
-    w = Window.partitionBy("key_name").orderBy(F.col("avg_metric").desc(),
-                                               *[F.col(k).asc() for k in keys])
-    return (g.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-            .select("key_name", "best_value", F.col("avg_metric").alias("best_avg")))
+    # best = smallest (-avg, typed key): a min_by aggregate, partial per task,
+    # rather than a window holding every value of a key
+    order = F.struct(-F.col("avg_metric"), *[F.col(k) for k in keys])
+    best = F.min_by(F.struct("best_value", "avg_metric"), order)
+    return (g.groupBy("key_name").agg(best.alias("b"))
+            .select("key_name", F.col("b.best_value").alias("best_value"),
+                    F.col("b.avg_metric").alias("best_avg")))
 
 
 def monthly_trend(df: DataFrame, *, metric: str = METRIC) -> DataFrame:
@@ -308,9 +311,8 @@ def suggested_topics(df: DataFrame, *, category: str = "content_category",
 
     def best_within(key):
         a = mean_by_key(df, keys=[category, key], metric=metric, with_count=False)
-        w = Window.partitionBy(category).orderBy(F.col("avg_metric").desc(), F.col(key))
-        return (a.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-                .select(category, F.col(key).alias(f"best_{key}")))
+        best = F.min_by(F.col(key), F.struct(-F.col("avg_metric"), F.col(key)))
+        return a.groupBy(category).agg(best.alias(f"best_{key}"))
 
     return (top.join(best_within(media), category, "left")
             .join(best_within(hour), category, "left"))
