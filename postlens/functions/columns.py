@@ -43,8 +43,11 @@ def col_or(columns: Iterable[str], name: str, default) -> Column:
 
 # ------------------------------------------------------------------ B1 - B3
 def parse_ts(x) -> Column:
-    """B1: text → timestamp, unparseable → null."""
-    return F.try_to_timestamp(_c(x)).cast("timestamp_ntz")
+    """B1: text → timestamp (wall time as written; a trailing ``Z`` / ``±hh:mm``
+    offset is kept as the text's own clock, like ``fromisoformat``), bad → null.
+    Parsing straight to ``timestamp_ntz`` is independent of the session zone."""
+    wall = F.regexp_replace(F.trim(_c(x)), r"(Z|[+-]\d\d:?\d\d)$", "")
+    return wall.try_cast("timestamp_ntz")
 
 
 def iso_year(x) -> Column:

@@ -45,7 +45,9 @@ def facet_filter(df: DataFrame, *, categories: Sequence[str] = (), media: Sequen
         d0, d1 = (_dt.date.fromisoformat(str(d)) for d in dates)
         lo = _dt.datetime.combine(d0, _dt.time())
         hi = _dt.datetime.combine(d1 + _dt.timedelta(days=1), _dt.time())
-        cond &= (F.col(ts) >= F.lit(lo).cast("timestamp_ntz")) & (F.col(ts) < F.lit(hi).cast("timestamp_ntz"))
+        # string literals parse to timestamp_ntz without any session-zone shift
+        cond &= ((F.col(ts) >= F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz"))
+                 & (F.col(ts) < F.lit(hi.isoformat(sep=" ")).cast("timestamp_ntz")))
     return df.where(cond)
 
 

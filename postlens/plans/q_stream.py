@@ -46,22 +46,20 @@ HAVING window_start + INTERVAL '{size}' <= (SELECT wm FROM wm)"""
 def q_weekly_series_stream(spark, d):
     """Weekly event-time windows (Monday start), watermark 1 day, append."""
     out, chk = _dirs(spark, "weekly")
-    agg = ST.weekly_series_stream(_events(spark, d), ts="ts", key="event_type", metric="value")
-    ST.run_to_files(agg, out, chk)
-    return spark.read.parquet(out).withColumns({
-        "window_start": F.col("window_start").cast("timestamp_ntz"),
-        "window_end": F.col("window_end").cast("timestamp_ntz")})
+    with ST.utc_session(spark):
+        agg = ST.weekly_series_stream(_events(spark, d), ts="ts", key="event_type", metric="value")
+        ST.run_to_files(ST.window_bounds_ntz(agg), out, chk)
+    return spark.read.parquet(out)
 
 
 @register("hourly_stream", _final_windows_sql("24 hours", "1 hour", "1 hour", None))
 def q_hourly_stream(spark, d):
     """Sliding 24 h / 1 h windows, watermark 1 hour, append."""
     out, chk = _dirs(spark, "hourly")
-    agg = ST.hourly_stream(_events(spark, d), ts="ts", key="event_type", metric="value")
-    ST.run_to_files(agg, out, chk)
-    return spark.read.parquet(out).withColumns({
-        "window_start": F.col("window_start").cast("timestamp_ntz"),
-        "window_end": F.col("window_end").cast("timestamp_ntz")})
+    with ST.utc_session(spark):
+        agg = ST.hourly_stream(_events(spark, d), ts="ts", key="event_type", metric="value")
+        ST.run_to_files(ST.window_bounds_ntz(agg), out, chk)
+    return spark.read.parquet(out)
 
 
 @register("ingest_stream", """
@@ -72,6 +70,7 @@ def q_ingest_stream(spark, d):
     ev = _events(spark, d).select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("event_type")).alias("link"),
         F.col("ts").alias("scraped_at"), "value")
-    q = ST.ingest_stream(ev, pool_path=f"{base}/pool", checkpoint=f"{base}/chk")
-    q.awaitTermination()
+    with ST.utc_session(spark):
+        q = ST.ingest_stream(ev, pool_path=f"{base}/pool", checkpoint=f"{base}/chk")
+        q.awaitTermination()
     return spark.read.parquet(f"{base}/pool").select("link")
