@@ -135,10 +135,11 @@ def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def fit_comment_classifier(corpus: DataFrame, *, text: str = "text", label: str = "label",
-                           vocab_size: int = 5000, max_iter: int = 1000) -> PipelineModel:
+                           vocab_size: int = 5000, max_iter: int = 1000, tol: float = 1e-4) -> PipelineModel:
     """K6: TF-IDF (top ``vocab_size`` terms, idf = ln((1+n)/(1+df)) + 1, L2) +
     multinomial logistic regression with balanced class weights and the
-    ridge strength of C = 1 (regParam = 1/n on the weight-normalised loss)."""
+    ridge strength of C = 1 (regParam = 1/n on the weight-normalised loss);
+    stopping tolerance 1e-4 as the reference's solver."""
     w = class_weights(corpus, label=label).select(label, "weight")
     data = with_terms(corpus.join(F.broadcast(w), label), text).cache()
     n = data.count()
@@ -151,7 +152,8 @@ def fit_comment_classifier(corpus: DataFrame, *, text: str = "text", label: str
     feats = PipelineModel(stages=head).transform(data)
     lr = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="weight", family="multinomial",
                             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter).fit(feats)
+                            maxIter=max_iter, tol=tol).fit(feats.cache())
+    feats.unpersist()
     back = IndexToString(inputCol="prediction", outputCol="label_pred", labels=lab.labels)
     data.unpersist()
     return PipelineModel(stages=head[:3] + [lr, back])
