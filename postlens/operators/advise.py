@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import columns as C
+from postlens.functions.scalars import scalar
 from postlens.operators import explore as X
 
 METRIC = "engagement_rate"
@@ -46,20 +47,19 @@ def _top_list(r: DataFrame, name: str) -> DataFrame:
 
 
 def factor_scores(df: DataFrame, *, metric: str = METRIC) -> DataFrame:
-    """L1: best hour / category / media / hashtag count / CTA, plus top-3 lists."""
-    hours = _ranked(df, "hour", metric)
-    cats = _ranked(df, "content_category", metric)
-    media = _ranked(df, "media_type", metric)
-    one = (_top_list(hours, "top_hours").crossJoin(_top_list(cats, "top_categories"))
-           .crossJoin(_top_list(media, "top_media"))
-           .crossJoin(X.optimal_hashtags(df, metric=metric)).crossJoin(_best_cta(df, metric)))
-    return one.select(
-        F.coalesce(F.col("top_hours")[0].cast("int"), F.lit(DEFAULT_HOUR)).alias("best_hour"),
-        F.coalesce(F.col("top_categories")[0], F.lit(DEFAULT_CATEGORY)).alias("best_category"),
-        F.coalesce(F.col("top_media")[0], F.lit(DEFAULT_MEDIA)).alias("best_media"),
-        "optimal_hashtags", "best_cta",
-        F.col("top_categories"), F.col("top_hours").cast("array<int>").alias("top_hours"),
-        F.col("top_media"))
+    """L1: best hour / category / media / hashtag count / CTA, plus top-3 lists
+    (each a scalar subquery over a ≤ 3-row ranked aggregate)."""
+    hours = scalar(_top_list(_ranked(df, "hour", metric), "top_hours"))
+    cats = scalar(_top_list(_ranked(df, "content_category", metric), "top_categories"))
+    media = scalar(_top_list(_ranked(df, "media_type", metric), "top_media"))
+    return df.sparkSession.range(1).select(
+        F.coalesce(hours[0].cast("int"), F.lit(DEFAULT_HOUR)).alias("best_hour"),
+        F.coalesce(cats[0], F.lit(DEFAULT_CATEGORY)).alias("best_category"),
+        F.coalesce(media[0], F.lit(DEFAULT_MEDIA)).alias("best_media"),
+        scalar(X.optimal_hashtags(df, metric=metric)).alias("optimal_hashtags"),
+        scalar(_best_cta(df, metric)).alias("best_cta"),
+        cats.alias("top_categories"), hours.cast("array<int>").alias("top_hours"),
+        media.alias("top_media"))
 
 
 def combo_evidence(df: DataFrame, *, cat: str = "content_category", media: str = "media_type",
@@ -72,7 +72,7 @@ def combo_evidence(df: DataFrame, *, cat: str = "content_category", media: str =
 
 def _cycle(r: DataFrame, name: str, default) -> DataFrame:
     """Rank table with its size, for ``pmod(day, size) = rank - 1`` lookups."""
-    k = r.agg(F.count(F.lit(1)).alias(f"k_{name}"))
+    k = scalar(r.agg(F.count(F.lit(1)).alias(f"k_{name}")))
     return r.select(F.col("value").alias(name), (F.col("rank") - 1).alias(f"pos_{name}")), k
 
 
@@ -83,10 +83,11 @@ def content_calendar(df: DataFrame, *, metric: str = METRIC, days: int = 7) -> D
     med, k_m = _cycle(_ranked(df, "media_type", metric), "media", DEFAULT_MEDIA)
     hrs, k_h = _cycle(_ranked(df, "hour", metric), "hour", DEFAULT_HOUR)
     names = F.array(*[F.lit(d) for d in C.DAYS_OF_WEEK])
-    cal = (spark.range(days).select(F.col("id").cast("int").alias("i"))
-           .crossJoin(k_c).crossJoin(k_m).crossJoin(k_h)
-           .crossJoin(X.optimal_hashtags(df, metric=metric)).crossJoin(_best_cta(df, metric))
-           .crossJoin(df.agg(F.avg(metric).alias("global_mean"))))
+    cal = spark.range(days).select(
+        F.col("id").cast("int").alias("i"), k_c.alias("k_cat"), k_m.alias("k_media"),
+        k_h.alias("k_hour"), scalar(X.optimal_hashtags(df, metric=metric)).alias("optimal_hashtags"),
+        scalar(_best_cta(df, metric)).alias("best_cta"),
+        scalar(df.agg(F.avg(metric).alias("global_mean"))).alias("global_mean"))
     cal = (cal.join(cats, F.pmod("i", F.greatest("k_cat", F.lit(1))) == F.col("pos_cat"), "left")
               .join(med, F.pmod("i", F.greatest("k_media", F.lit(1))) == F.col("pos_media"), "left")
               .join(hrs, F.pmod("i", F.greatest("k_hour", F.lit(1))) == F.col("pos_hour"), "left"))
@@ -119,17 +120,18 @@ def top_strategies(df: DataFrame, *, metric: str = METRIC, n_strategies: int = 3
         F.col("value").alias("cat"), F.col("n_posts").alias("n_obs"), "rank")
     med = _ranked(df, "media_type", metric).select(F.col("value").alias("media"), "rank")
     hrs = _ranked(df, "hour", metric).select(F.col("value").cast("int").alias("hour"), "rank")
-    best = (med.where("rank = 1").select(F.col("media").alias("best_media"))
-            .crossJoin(hrs.where("rank = 1").select(F.col("hour").alias("best_hour"))))
-    plan = (cats.where(F.col("rank") <= n_strategies).crossJoin(best)   # best: one row
+    plan = (cats.where(F.col("rank") <= n_strategies)
+            .withColumns({"best_media": scalar(med.where("rank = 1"), "media"),
+                          "best_hour": scalar(hrs.where("rank = 1"), "hour")})
             .join(med, "rank", "left").join(hrs, "rank", "left"))
     plan = plan.select("rank", "cat", F.coalesce("media", "best_media").alias("media"),
                        F.coalesce("hour", "best_hour").alias("hour"), "n_obs")
     ev = combo_evidence(df, metric=metric).withColumnsRenamed(
         {"content_category": "cat", "media_type": "media"})
     plan = (plan.join(F.broadcast(ev), ["cat", "media"], "left")
-            .crossJoin(df.agg(F.avg(metric).alias("global_mean")))
-            .crossJoin(X.optimal_hashtags(df, metric=metric)).crossJoin(_best_cta(df, metric)))
+            .withColumns({"global_mean": scalar(df.agg(F.avg(metric).alias("global_mean"))),
+                          "optimal_hashtags": scalar(X.optimal_hashtags(df, metric=metric)),
+                          "best_cta": scalar(_best_cta(df, metric))}))
     pred = F.when(F.coalesce("combo_n", F.lit(0)) >= MIN_COMBO, F.col("combo_mean")) \
             .otherwise(F.col("global_mean"))
     return plan.select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions import columns as C
+from postlens.functions.scalars import scalar, scalar_struct
 from postlens.operators import orderstats as O
 
 # Fixed value: the 23 non-feature columns dropped before model training.
@@ -51,20 +52,18 @@ def viral_coefficients(df: DataFrame, *, saves="saves", shares="shares", likes="
     out = O.avg_percent_rank(base, "vc_raw", "vc_percentile", ranks=ranks) if percentile else base
     if not tiers:
         return out
-    names = ["__p50", "__p80", "__p95"]
-    qs = O.exact_quantiles(base, "vc_raw", C.VC_TIER_PROBS, ranks=ranks, names=names)
-    return (out.crossJoin(F.broadcast(qs))
-            .withColumn("vc_tier", C.tier_from_bounds("vc_raw", [F.col(n) for n in names],
+    names = ["p50", "p80", "p95"]
+    qs = scalar_struct(O.exact_quantiles(base, "vc_raw", C.VC_TIER_PROBS, ranks=ranks, names=names))
+    return (out.withColumn("__q", qs)
+            .withColumn("vc_tier", C.tier_from_bounds("vc_raw", [F.col("__q")[n] for n in names],
                                                       C.VC_TIER_LABELS))
-            .drop(*names))
+            .drop("__q"))
 
 
 def cap_at_quantile(df: DataFrame, *, col: str, q: float = 0.99, out: str | None = None) -> DataFrame:
     """Clip ``col`` above its exact ``q`` quantile."""
-    qs = O.exact_quantiles(df, col, [q], names=["__cap"])
-    return (df.crossJoin(F.broadcast(qs))
-            .withColumn(out or col, F.least(F.col(col), F.col("__cap")))
-            .drop("__cap"))
+    cap = scalar(O.exact_quantiles(df, col, [q], names=["cap"]))
+    return df.withColumn(out or col, F.least(F.col(col), cap))
 
 
 def with_defaults(df: DataFrame, defaults: Mapping[str, object]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions import columns as C
+from postlens.functions.scalars import scalar
 from postlens.operators import orderstats as O
 
 METRIC = "engagement_rate"
@@ -226,7 +227,7 @@ def virality_kpis(vc: DataFrame, *, category: str = "content_category") -> DataF
                F.count_if(F.col("vc_tier") == "Mega-Viral").alias("mega_cnt"))
     top = (topic_viral_ranking(vc, category=category).where(F.col("rank") == 1)
            .select(F.col(category).alias("top_category")))
-    return k.join(top, F.lit(True), "left")  # both sides one row
+    return k.withColumn("top_category", scalar(top))
 
 
 def cta_impact(df: DataFrame, *, cta: str = "has_call_to_action", metric: str = METRIC) -> DataFrame:
@@ -262,14 +263,13 @@ def optimal_hashtags(df: DataFrame, *, key: str = "hashtags_count", metric: str
 def value_histogram(df: DataFrame, *, col: str = "vc_raw", bins: int = 60,
                     cap_q: float = 0.99) -> DataFrame:
     """``bins`` equal-width bins of ``col`` clipped at its ``cap_q`` quantile."""
-    capped = O.exact_quantiles(df, col, [cap_q], names=["cap"])
-    lo = df.agg(F.min(col).alias("lo"))
-    bounds = lo.crossJoin(capped)                       # one row
+    cap = scalar(O.exact_quantiles(df, col, [cap_q], names=["cap"]))
+    lo = scalar(df.agg(F.min(col).alias("lo")))
     v = F.least(F.col(col), F.col("cap"))
     width = (F.col("cap") - F.col("lo")) / bins
     b = F.when(F.col("cap") == F.col("lo"), F.lit(1)).otherwise(
         F.least(F.floor((v - F.col("lo")) / width) + 1, F.lit(bins)))
-    return (df.where(F.col(col).isNotNull()).crossJoin(F.broadcast(bounds))
+    return (df.where(F.col(col).isNotNull()).withColumns({"lo": lo, "cap": cap})
             .groupBy(b.cast("int").alias("bin"), "lo", "cap").agg(F.count(F.lit(1)).alias("n_posts"))
             .select("bin",
                     (F.col("lo") + (F.col("bin") - 1) * (F.col("cap") - F.col("lo")) / bins).alias("bin_lo"),

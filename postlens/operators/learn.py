@@ -52,7 +52,7 @@ def class_weights(df: DataFrame, *, label: str = "label") -> DataFrame:
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
     tot = df.agg(F.count(F.lit(1)).alias("n"))
     k = c.agg(F.count(F.lit(1)).alias("k"))
-    return c.crossJoin(tot).crossJoin(k).select(
+    return c.withColumns({"n": tot.scalar(), "k": k.scalar()}).select(
         label, "n_class", (F.col("n") / (F.col("k") * F.col("n_class"))).alias("weight"))
 
 
@@ -112,9 +112,8 @@ def train_engagement_model(df: DataFrame, *, label: str = LABEL, id_col: str = "
     model = engagement_pipeline(num, cat, label=label, num_trees=num_trees, max_depth=max_depth,
                                 seed=seed).fit(train)
     m = regression_metrics(model.transform(test), label=label)
-    n_aug = n_augmented if isinstance(n_augmented, DataFrame) else \
-        df.sparkSession.range(1).select(F.lit(int(n_augmented)).alias("n_augmented"))
-    metrics = (m.crossJoin(train.agg(F.count(F.lit(1)).alias("n_train"))).crossJoin(n_aug)
+    n_aug = n_augmented.scalar() if isinstance(n_augmented, DataFrame) else F.lit(int(n_augmented))
+    metrics = (m.withColumns({"n_train": train.agg(F.count(F.lit(1))).scalar(), "n_augmented": n_aug})
                .select("mae", "r2", "n_train", "n_test", F.col("n_augmented").cast("int"),
                        F.lit(num_trees).alias("n_trees"),
                        F.lit(_dt.datetime.now().isoformat(timespec="seconds")).alias("timestamp")))
@@ -190,7 +189,8 @@ def cross_validate(corpus: DataFrame, *, folds: int = 3, text: str = "text", lab
     dist = corpus.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(
         F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("label_distribution"),
         F.sum("n").alias("n_samples"))
-    return stats.crossJoin(dist)
+    return stats.withColumns({"label_distribution": dist.select("label_distribution").scalar(),
+                              "n_samples": dist.select("n_samples").scalar()})
 
 
 def retrain(base: DataFrame, pool: DataFrame | None, *, label: str = LABEL, id_col: str = "post_id",

@@ -3,7 +3,7 @@
 ``value_ranks`` turns a column into one row per distinct value with the number
 of rows below it.  Distinct values are split into ranges whose bounds come from
 ``percentile_approx`` over the distinct values; the number of ranges grows with
-the number of distinct values (≈ 1M per range, 64 to 100k ranges), so a window
+the number of distinct values (≈ 1M per range, 1 to 100k ranges), so a window
 task never holds more than about a million values, however skewed the data;
 only the bucket totals (one row per range) are ranked globally and broadcast.
 A hot value is one row after the first aggregation, so it cannot overload a task.
@@ -22,6 +22,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from postlens.functions.scalars import scalar, scalar_struct
+
 DEFAULT_BUCKETS = 64
 TARGET_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 100_000
@@ -56,9 +58,10 @@ def value_ranks(df: DataFrame, col: str, *, buckets: int | None = None,
 
 
 def bucket_count(counts: DataFrame) -> int:
-    """Buckets so that one window task sees ~TARGET_PER_BUCKET distinct values."""
+    """Buckets so that one window task sees ≤ ~TARGET_PER_BUCKET distinct values
+    (one bucket when the whole column fits)."""
     d = counts.count()
-    return int(min(MAX_BUCKETS, max(DEFAULT_BUCKETS, math.ceil(d / TARGET_PER_BUCKET))))
+    return int(min(MAX_BUCKETS, max(1, math.ceil(d / TARGET_PER_BUCKET))))
 
 
 def ranks_from_counts(counts: DataFrame, *, buckets: int | None = None) -> DataFrame:
@@ -69,14 +72,17 @@ def ranks_from_counts(counts: DataFrame, *, buckets: int | None = None) -> DataF
     (a JVM binary search), so buckets hold similar numbers of distinct values
     even under heavy skew."""
     b = buckets or bucket_count(counts)
-    probs = [i / b for i in range(1, b)]
-    acc = max(10000, 10 * b)
-    got = counts.agg(F.percentile_approx(F.col("v").cast("double"), probs, acc)).first()[0] or []
-    inner = sorted({float(x) for x in got if x is not None and not math.isnan(x)})
-    splits = [-math.inf] + inner + [math.inf]
-    with_b = Bucketizer(splits=splits, inputCol="__vd", outputCol="__b", handleInvalid="keep").transform(
-        counts.withColumn("__vd", F.col("v").cast("double"))
-    ).select("v", "cnt", F.col("__b").cast("int").alias("bucket"))
+    if b <= 1:
+        with_b = counts.select("v", "cnt", F.lit(0).alias("bucket"))
+    else:
+        probs = [i / b for i in range(1, b)]
+        acc = max(10000, 10 * b)
+        got = counts.agg(F.percentile_approx(F.col("v").cast("double"), probs, acc)).first()[0] or []
+        inner = sorted({float(x) for x in got if x is not None and not math.isnan(x)})
+        splits = [-math.inf] + inner + [math.inf]
+        with_b = Bucketizer(splits=splits, inputCol="__vd", outputCol="__b", handleInvalid="keep").transform(
+            counts.withColumn("__vd", F.col("v").cast("double"))
+        ).select("v", "cnt", F.col("__b").cast("int").alias("bucket"))
     totals = with_b.groupBy("bucket").agg(F.sum("cnt").alias("tot"))
     w_all = Window.orderBy("bucket")  # ≤ buckets rows: aggregated, bounded
     offsets = totals.select(
@@ -97,35 +103,32 @@ def _lerp(a, b, t):
     return F.when(t >= 0.5, b - (b - a) * (F.lit(1.0) - t)).otherwise(a + (b - a) * t)
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], *,
+def exact_quantiles(df: DataFrame | None, col: str, probs: Sequence[float], *,
                     ranks: DataFrame | None = None,
                     names: Sequence[str] | None = None) -> DataFrame:
     """One row, one double column per prob (``q0, q1, …`` or ``names``).
 
-    Empty input gives one row of nulls.
-    """
+    The row count n is a scalar subquery; the ≤ 2 rows per prob that hold the
+    order statistics at floor/ceil((n-1)·p) are found with a filter over the
+    distinct-value table and combined in one global aggregate (no join).
+    Empty input gives one row of nulls."""
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     r = ranks if ranks is not None else value_ranks(df, col)
-    n_row = r.agg(F.max("n").alias("n"))
-    targets = (n_row.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)
-    ])).alias("t"), "n")
-        .select("t.i", "t.p", "n")
-        .withColumn("h", (F.col("n") - 1) * F.col("p"))
-        .withColumn("k_lo", F.floor("h"))
-        .withColumn("k_hi", F.least(F.col("k_lo") + 1, F.col("n") - 1))
-        .withColumn("frac", F.col("h") - F.col("k_lo")))
-    hit_lo = (F.col("less") <= F.col("k_lo")) & (F.col("k_lo") < F.col("less") + F.col("cnt"))
-    hit_hi = (F.col("less") <= F.col("k_hi")) & (F.col("k_hi") < F.col("less") + F.col("cnt"))
-    picked = (r.select("v", "less", "cnt")
-              .join(F.broadcast(targets), hit_lo | hit_hi)   # ≤ len(probs) rows
-              .groupBy("i", "frac")
-              .agg(F.max(F.when(hit_lo, F.col("v"))).alias("a"),
-                   F.max(F.when(hit_hi, F.col("v"))).alias("b"))
-              .select("i", _lerp(F.col("a").cast("double"), F.col("b").cast("double"),
-                                 F.col("frac")).alias("q")))
-    row = picked.agg(F.map_from_entries(F.collect_list(F.struct("i", "q"))).alias("m"))
-    return row.select(*[F.col("m")[i].alias(nm) for i, nm in enumerate(names)])
+    rr = r.withColumn("__n", r.agg(F.max("n")).scalar())
+    less, cnt, v = F.col("less"), F.col("cnt"), F.col("v").cast("double")
+    any_hit, aggs = F.lit(False), []
+    for i, p in enumerate(probs):
+        h = (F.col("__n") - 1) * float(p)
+        lo = F.floor(h)
+        hi = F.least(lo + 1, F.col("__n") - 1)
+        hit_lo = (less <= lo) & (lo < less + cnt)
+        hit_hi = (less <= hi) & (hi < less + cnt)
+        any_hit = any_hit | hit_lo | hit_hi
+        aggs += [F.max(F.when(hit_lo, v)).alias(f"__a{i}"), F.max(F.when(hit_hi, v)).alias(f"__b{i}"),
+                 F.max(h - lo).alias(f"__f{i}")]
+    picked = rr.where(any_hit).agg(*aggs)
+    return picked.select(*[_lerp(F.col(f"__a{i}"), F.col(f"__b{i}"), F.col(f"__f{i}")).alias(nm)
+                           for i, nm in enumerate(names)])
 
 
 def avg_percent_rank(df: DataFrame, col: str, out: str, *,
@@ -144,11 +147,11 @@ def tier_by_quantile(df: DataFrame, *, metric: str, probs: Sequence[float],
     (default: ``df`` itself), ``>=`` at each bound."""
     from postlens.functions.columns import tier_from_bounds
     ref = reference_df if reference_df is not None else df
-    names = [f"__q{i}" for i in range(len(probs))]
-    qs = exact_quantiles(ref, metric, probs, names=names)
-    return (df.crossJoin(F.broadcast(qs))                # one row: size-proven
-            .withColumn(out, tier_from_bounds(metric, [F.col(n) for n in names], labels))
-            .drop(*names))
+    names = [f"q{i}" for i in range(len(probs))]
+    qs = scalar_struct(exact_quantiles(ref, metric, probs, names=names))   # computed once
+    return (df.withColumn("__q", qs)
+            .withColumn(out, tier_from_bounds(metric, [F.col("__q")[n] for n in names], labels))
+            .drop("__q"))
 
 
 def keyed_quantiles(df: DataFrame, cols: Sequence[str], prob: float) -> DataFrame:
@@ -160,9 +163,9 @@ def keyed_quantiles(df: DataFrame, cols: Sequence[str], prob: float) -> DataFram
                                 for c in cols])).alias("s")
     counts = materialized(df.select(pairs).select("s.k", "s.v").where(F.col("v").isNotNull())
                           .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
-    row = None
+    vals = []
     for c in cols:
         part = counts.where(F.col("k") == c).select("v", "cnt")
         q = exact_quantiles(None, c, [prob], ranks=ranks_from_counts(part), names=[c])
-        row = q if row is None else row.crossJoin(q)
-    return row
+        vals.append(scalar(q).alias(c))
+    return df.sparkSession.range(1).select(*vals)

@@ -112,7 +112,7 @@ def tfidf(df: DataFrame, *, id_col: str = "comment_id", text: str = "comment_tex
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))          # one row
     stats = tc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.col("total").desc(), F.col("term")).limit(vocab_size)  # ≤ vocab_size rows
-    idf = vocab.crossJoin(n_docs).select(
+    idf = vocab.withColumn("n_docs", n_docs.scalar()).select(
         "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = (tc.join(F.broadcast(idf), "term")
          .select(id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")))

@@ -143,7 +143,7 @@ def q_shared_columns_union(spark, d):
         F.when(F.col("saves") % 7 == 0, F.lit(None)).otherwise(F.col("engagement_rate"))
          .alias("engagement_rate"))
     combined, n_aug = J.shared_columns_union(base, pool)
-    return combined.crossJoin(F.broadcast(n_aug))
+    return combined.withColumn("n_augmented", n_aug.scalar())
 
 
 @register("dedup_links", with_(POSTS_CTE, """
