@@ -6,7 +6,6 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postlens.functions import columns as C
 from postlens.functions.scalars import scalar, scalar_struct

@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from postlens.functions import text as TX
 from postlens.operators import enrich as N
 from postlens.operators import learn as K
 from postlens.operators import scoring as M
 from postlens.operators import textops as TO
 from postlens.plans.q_core import posts
-from postlens.plans.q_text import COMMENTS_CTE, _corpus_path
+from postlens.plans.q_text import _corpus_path
 from postlens.plans.registry import register
 from postlens.plans.sqlbase import POSTS_CTE, with_
 from postlens.session import checkpoint_dir
@@ -222,7 +223,7 @@ def q_run_deltas(spark, d):
 
 
 TOPIC_SQL = " ".join(f"WHEN contains(lower(caption || ' '), '{k}') THEN '{c}'"
-                     for k, c in __import__("postlens.functions.text", fromlist=["x"]).CATEGORY_KEYWORDS)
+                     for k, c in TX.CATEGORY_KEYWORDS)
 
 
 @register("feature_rows", with_(POSTS_CTE, f""",
@@ -236,7 +237,7 @@ pg AS (SELECT url AS link, CASE WHEN contains(url, '/reel/') THEN 'reel' ELSE 'i
 SELECT link, round(fc, 6) AS follower_count, round(lk, 6) AS likes, round(cm, 6) AS comments,
        CAST(length(caption) AS BIGINT) AS caption_length,
        CAST(len(regexp_extract_all(caption, '#[\\p{{L}}\\p{{N}}_]+')) AS BIGINT) AS hashtags_count,
-       CAST(CASE WHEN {" OR ".join(f"contains(lower(caption), '{w}')" for w in __import__("postlens.functions.text", fromlist=["x"]).CTA_PHRASES)}
+       CAST(CASE WHEN {" OR ".join(f"contains(lower(caption), '{w}')" for w in TX.CTA_PHRASES)}
             THEN 1 ELSE 0 END AS DOUBLE) AS has_call_to_action,
        9 AS hour, 1 AS day_num, 4 AS month_num, 16 AS week, 0 AS reach, 0 AS impressions,
        CAST(trunc(sh) AS BIGINT) AS shares, CAST(trunc(sv) AS BIGINT) AS saves,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from postlens.operators import abtest as A
 from postlens.plans.oracle_stats import effect_label, p_two_sided, t_quantile
 from postlens.plans.q_core import posts
@@ -100,7 +102,7 @@ AB_PAIRS = [("ECONOMY", "STANDARD"), ("PROMO", "LARGE"), ("SMALL", "MEDIUM"),
 def q_ab_test(spark, d):
     """H1-H6: one Welch test with effect size, CIs and interpretation."""
     return A.ab_test(posts(spark, d), variable="media_type", a="reel", b="image").withColumn(
-        "test_no", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0))
+        "test_no", F.lit(0))
 
 
 @register("ab_pairs", _report_sql("content_category", AB_PAIRS))

@@ -11,7 +11,9 @@ from postlens.functions import text as TX
 from postlens.operators import textops as TO
 from postlens.operators import trend as T
 from postlens.plans.q_core import posts
+from postlens.plans.q_trend import VELOCITY
 from postlens.plans.registry import register
+from postlens.plans.sqlbase import with_
 from postlens.session import checkpoint_dir
 from postlens.sources.comments import COMMENTS_SQL, comments_from_tables
 from postlens.sources.corpus import (keyword_trends, labelled_corpus, scan_corpus,
@@ -269,8 +271,7 @@ def q_label_distribution(spark, d):
     return TO.label_distribution(labelled_corpus(scan_corpus(spark, _corpus_path(spark, d))))
 
 
-@register("keyword_trends", __import__("postlens.plans.q_trend", fromlist=["x"]).with_(
-    __import__("postlens.plans.q_trend", fromlist=["x"]).VELOCITY, """
+@register("keyword_trends", with_(VELOCITY, """
 SELECT content_category AS keyword, CAST(round(round(vel, 2)) AS BIGINT) AS velocity,
        content_category AS category, CASE WHEN round(vel, 2) > 0 THEN 'rising' ELSE 'declining' END AS direction
 FROM v"""))

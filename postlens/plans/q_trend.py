@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from postlens.operators import explore as X
 from postlens.operators import trend as T
 from postlens.plans.q_core import posts

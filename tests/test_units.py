@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from postlens.functions import columns as C
@@ -168,3 +167,29 @@ def test_repartition_invariance(spark):
         v = N.viral_coefficients(base.repartition(n))
         res.append(sorted((r.post_id, round(r.vc_percentile, 9), r.vc_tier) for r in v.collect()))
     assert res[0] == res[1] == res[2]
+
+
+def test_percent_rank_range_and_tier_counts(spark):
+    rows = [row(i, likes=i % 13, saves=i % 7, shares=i % 3, reach=100 + i % 17, er=(i % 19) / 100)
+            for i in range(200)]
+    v = N.viral_coefficients(N.performance_tiers(posts(spark, rows)))
+    got = v.agg(F.min("vc_percentile").alias("lo"), F.max("vc_percentile").alias("hi"),
+                F.count("vc_tier").alias("n_vc"), F.count("tier").alias("n_t")).first()
+    assert 0 < got.lo and got.hi == 100.0 and got.n_vc == 200 and got.n_t == 200
+
+
+def test_multi_bucket_ranks_equal_single_bucket(spark):
+    df = spark.createDataFrame([(float((i * 7919) % 503) / 7,) for i in range(3000)], "v double")
+    one = O.value_ranks(df, "v", buckets=1).orderBy("v").collect()
+    many = O.value_ranks(df, "v", buckets=13).orderBy("v").collect()
+    assert one == many
+
+
+def test_row_order_irrelevant(spark):
+    rows = [row(i, cat="ABC"[i % 3], likes=i, er=(i % 11) / 100) for i in range(40)]
+    a = X.topic_viral_ranking(N.viral_coefficients(posts(spark, rows), percentile=False, tiers=False))
+    b = X.topic_viral_ranking(N.viral_coefficients(posts(spark, list(reversed(rows))).repartition(5),
+                                                   percentile=False, tiers=False))
+    def rounded(df):
+        return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert rounded(a) == rounded(b)   # float sums may differ in the last bit with order
