@@ -193,3 +193,21 @@ def test_row_order_irrelevant(spark):
     def rounded(df):
         return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
     assert rounded(a) == rounded(b)   # float sums may differ in the last bit with order
+
+
+def test_forecast_unknown_category_uses_all_rows(spark):
+    rows = [row(i, cat="AB"[i % 2], ts=dt.datetime(2024, 1, 1) + dt.timedelta(days=7 * (i // 2)),
+                er=0.1 + (i % 5) / 100) for i in range(20)]
+    p = ingest_posts(posts(spark, rows))
+    f = T.forecast(p, only="nope")
+    cats = {r.content_category for r in f.select("content_category").distinct().collect()}
+    assert cats == {"ALL"}
+    assert f.where("type = 'forecast'").count() == 14
+    assert f.where("type = 'forecast' AND forecast < 0").count() == 0
+
+
+def test_legacy_calendar_year_pairs_iso_week_with_calendar_year(spark):
+    df = posts(spark, [row(1, ts=dt.datetime(2024, 12, 30)), row(2, ts=dt.datetime(2024, 1, 2))])
+    keys = sorted(r.k for r in ingest_posts(df, year_mode="calendar")
+                  .select(C.week_key().alias("k")).collect())
+    assert keys == ["2024-W01", "2024-W01"]
