@@ -211,3 +211,13 @@ def test_legacy_calendar_year_pairs_iso_week_with_calendar_year(spark):
     keys = sorted(r.k for r in ingest_posts(df, year_mode="calendar")
                   .select(C.week_key().alias("k")).collect())
     assert keys == ["2024-W01", "2024-W01"]
+
+
+def test_new_only_null_key_seen_once_present(spark):
+    from postlens.operators.combine import new_only
+    new = spark.createDataFrame([("a",), (None,), ("b",), ("b",)], "link string")
+    pool_with_null = spark.createDataFrame([("a",), (None,)], "link string")
+    pool_without = spark.createDataFrame([("a",)], "link string")
+    assert sorted(r.link for r in new_only(new, pool_with_null).collect()) == ["b", "b"]
+    got = sorted((r.link or "") for r in new_only(new, pool_without).collect())
+    assert got == ["", "b", "b"]   # batch duplicates kept; null unseen
