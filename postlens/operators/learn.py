@@ -30,11 +30,21 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 
 # ---------------------------------------------------------------- K3 / K4 / K7
-def split_flag(id_col: str = "post_id", *, train_pct: int = 80, seed: int = 42) -> "F.Column":
-    """K3: deterministic train flag from md5(id || seed) — independent of
-    partitioning (``randomSplit`` is not)."""
+def id_hash(id_col: str, seed: int = 42) -> "F.Column":
+    """First 32 bits of md5(id || seed) as a non-negative integer: a stable,
+    partitioning-independent draw (``randomSplit`` depends on partitioning)."""
     h = F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10)
-    return F.pmod(h.cast("bigint"), F.lit(100)) < train_pct
+    return h.cast("bigint")
+
+
+def split_flag(id_col: str = "post_id", *, train_pct: int = 80, seed: int = 42) -> "F.Column":
+    """K3: deterministic train flag (80 % by default)."""
+    return F.pmod(id_hash(id_col, seed), F.lit(100)) < train_pct
+
+
+def fold_of(id_col: str, *, folds: int = 3, seed: int = 42) -> "F.Column":
+    """K8: fold number of a row."""
+    return F.pmod(id_hash(id_col, seed), F.lit(folds))
 
 
 def regression_metrics(pred: DataFrame, *, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
@@ -172,8 +182,7 @@ def cross_validate(corpus: DataFrame, *, folds: int = 3, text: str = "text", lab
 
     Folds come from a hash of the row id (distributed, no per-label window);
     they are stratified in expectation rather than exactly."""
-    spark = corpus.sparkSession
-    f = corpus.withColumn("__fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)))
+    f = corpus.withColumn("__fold", fold_of(id_col, folds=folds, seed=seed))
     accs = []
     for k in range(folds):
         m = fit_comment_classifier(f.where(F.col("__fold") != k).drop("__fold"), text=text, label=label)

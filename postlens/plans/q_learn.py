@@ -46,6 +46,18 @@ def q_class_weights(spark, d):
     return K.class_weights(labelled_corpus(scan_corpus(spark, _corpus_path(spark, d))))
 
 
+@register("cv_folds", """
+WITH l AS (SELECT text, 'Relatable' AS label FROM conversations WHERE role = 'user'
+           UNION ALL SELECT text, 'Neutral' FROM conversations WHERE role <> 'user')
+SELECT label, CAST('0x' || substr(md5(text || '42'), 1, 8) AS BIGINT) % 3 AS fold, count(*) AS n
+FROM l WHERE text IS NOT NULL GROUP BY ALL""")
+def q_cv_folds(spark, d):
+    """K8 fold table: rows per (label, fold) of the corpus texts."""
+    corpus = labelled_corpus(scan_corpus(spark, _corpus_path(spark, d)))
+    return (corpus.where(F.col("label").isin("Relatable", "Neutral") & F.col("text").isNotNull())
+            .groupBy("label", K.fold_of("text").alias("fold")).agg(F.count(F.lit(1)).alias("n")))
+
+
 @register("engagement_model")
 def q_engagement_model(spark, d):
     """K2 + K3 + K4: random-forest engagement model on posts, held-out metrics."""
