@@ -52,9 +52,11 @@ def value_ranks(df: DataFrame, col: str, *, buckets: int | None = None,
     exchanges: their pruned subtrees differ)."""
     counts = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
-    if materialize:
-        counts = materialized(counts)
-    return ranks_from_counts(counts, buckets=buckets)
+    if not materialize:
+        return ranks_from_counts(counts, buckets=buckets)
+    # counts feed the bucket sizing jobs; ranks feed every caller (joins, quantile
+    # filters): each is written once so neither the facts nor the windows rerun
+    return materialized(ranks_from_counts(materialized(counts), buckets=buckets))
 
 
 def bucket_count(counts: DataFrame) -> int:
@@ -73,7 +75,10 @@ def ranks_from_counts(counts: DataFrame, *, buckets: int | None = None) -> DataF
     even under heavy skew."""
     b = buckets or bucket_count(counts)
     if b <= 1:
-        with_b = counts.select("v", "cnt", F.lit(0).alias("bucket"))
+        # ≤ TARGET_PER_BUCKET distinct values: one ordered window, no bucket join
+        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.select("v", "cnt", (F.sum("cnt").over(w) - F.col("cnt")).alias("less"),
+                             F.sum("cnt").over(Window.partitionBy()).alias("n"))
     else:
         probs = [i / b for i in range(1, b)]
         acc = max(10000, 10 * b)
@@ -108,13 +113,13 @@ def exact_quantiles(df: DataFrame | None, col: str, probs: Sequence[float], *,
                     names: Sequence[str] | None = None) -> DataFrame:
     """One row, one double column per prob (``q0, q1, …`` or ``names``).
 
-    The row count n is a scalar subquery; the ≤ 2 rows per prob that hold the
-    order statistics at floor/ceil((n-1)·p) are found with a filter over the
-    distinct-value table and combined in one global aggregate (no join).
+    The ≤ 2 rows per prob that hold the order statistics at floor/ceil((n-1)·p)
+    are found with a filter over the distinct-value table and combined in one
+    global aggregate (no join).
     Empty input gives one row of nulls."""
     names = list(names) if names else [f"q{i}" for i in range(len(probs))]
     r = ranks if ranks is not None else value_ranks(df, col)
-    rr = r.withColumn("__n", r.agg(F.max("n")).scalar())
+    rr = r.withColumn("__n", F.col("n"))          # every rank row carries the total
     less, cnt, v = F.col("less"), F.col("cnt"), F.col("v").cast("double")
     any_hit, aggs = F.lit(False), []
     for i, p in enumerate(probs):
