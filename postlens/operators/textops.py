@@ -116,9 +116,10 @@ def tfidf(df: DataFrame, *, id_col: str = "comment_id", text: str = "comment_tex
         "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = (tc.join(F.broadcast(idf), "term")
          .select(id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
-    # one shuffle by document: each window partition is one document's terms
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # one row per document: Catalyst broadcasts it while small (size-checked),
+    # else a sort-merge join on the document id
+    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def page_links(pages: DataFrame, *, html: str = "html", page_id: str = "page_id",
