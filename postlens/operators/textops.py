@@ -108,7 +108,9 @@ def tfidf(df: DataFrame, *, id_col: str = "comment_id", text: str = "comment_tex
           vocab_size: int = 5000) -> DataFrame:
     """Sublinear tf × smooth idf over the ``vocab_size`` most frequent
     terms, L2-normalised per document.  Rows: (id, term, weight)."""
-    tc = term_counts(df, id_col=id_col, text=text)
+    # term counts feed the vocabulary and the weights: tokenize the text once
+    from postlens.operators.orderstats import materialized
+    tc = materialized(term_counts(df, id_col=id_col, text=text))
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))          # one row
     stats = tc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     vocab = stats.orderBy(F.col("total").desc(), F.col("term")).limit(vocab_size)  # ≤ vocab_size rows
