@@ -30,18 +30,26 @@ DEFAULT_TESTS = (
 )
 
 
-def group_moments(df: DataFrame, *, variables: Sequence[str], metric: str = METRIC) -> DataFrame:
-    """H1: n, mean, sample std of ``metric`` per (variable, value-as-string)."""
+def group_moments(df: DataFrame, *, variables: Sequence[str], metric: str = METRIC,
+                  materialize: bool = True) -> DataFrame:
+    """H1: n, mean, sample std of ``metric`` per (variable, value-as-string).
+
+    Both sides of every test read these moments; they are one row per group,
+    so they are written once and the facts are scanned once."""
     pairs = F.explode(F.array(*[
         F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("value"))
         for v in variables])).alias("p")
-    return (df.where(F.col(metric).isNotNull())
-            .select(pairs, F.col(metric).alias("m"))
-            .select("p.variable", "p.value", "m")
-            .where(F.col("value").isNotNull())
-            .groupBy("variable", "value")
-            .agg(F.count("m").alias("n"), F.avg("m").alias("mean"),
-                 F.stddev_samp("m").alias("std")))
+    mom = (df.where(F.col(metric).isNotNull())
+           .select(pairs, F.col(metric).alias("m"))
+           .select("p.variable", "p.value", "m")
+           .where(F.col("value").isNotNull())
+           .groupBy("variable", "value")
+           .agg(F.count("m").alias("n"), F.avg("m").alias("mean"),
+                F.stddev_samp("m").alias("std")))
+    if materialize:
+        from postlens.operators.orderstats import materialized
+        mom = materialized(mom)
+    return mom
 
 
 def _stats(ma, sa, na, mb, sb, nb, alpha: float) -> dict[str, Column]:

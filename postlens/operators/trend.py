@@ -98,7 +98,10 @@ def forecast(df: DataFrame, *, cat: str = "content_category", metric: str = METR
         hit = df.where(F.col(cat) == only)
         known = hit.limit(1).count() > 0          # one-row existence probe
         src = hit if known else df.withColumn(cat, F.lit("ALL"))
-    s = weekly_series(src, cat=cat, metric=metric)
+    # the weekly series feeds the fit, the residual band and the tail: one fact
+    # pass, written once (one row per category-week)
+    from postlens.operators.orderstats import materialized
+    s = materialized(weekly_series(src, cat=cat, metric=metric))
     w_desc = Window.partitionBy(cat).orderBy(F.col("year").desc(), F.col("week").desc())
     last = (s.withColumn("_k", F.row_number().over(w_desc)).where(F.col("_k") <= history)
             .drop("x", "_k"))
