@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions import columns as C
-from postlens.functions.scalars import scalar
+from postlens.functions.scalars import scalar, scalar_struct
 from postlens.operators import orderstats as O
 
 METRIC = "engagement_rate"
@@ -222,12 +222,23 @@ def action_quality(df: DataFrame, *, category: str = "content_category") -> Data
 
 
 def virality_kpis(vc: DataFrame, *, category: str = "content_category") -> DataFrame:
-    """Avg and max VC, Mega-Viral count, top viral category; one row."""
-    k = vc.agg(F.avg("vc_raw").alias("avg_vc"), F.max("vc_raw").alias("peak_vc"),
-               F.count_if(F.col("vc_tier") == "Mega-Viral").alias("mega_cnt"))
-    top = (topic_viral_ranking(vc, category=category).where(F.col("rank") == 1)
-           .select(F.col(category).alias("top_category")))
-    return k.withColumn("top_category", scalar(top))
+    """Avg and max VC, Mega-Viral count, top viral category; one row.
+
+    One aggregate per category (null category kept as a group) feeds both the
+    global KPIs and the D9 ranking, so the facts are read once."""
+    z = lambda c: F.col(c) if c in vc.columns else F.lit(None).cast("double")
+    per = O.materialized(vc.groupBy(category).agg(
+        F.sum("vc_raw").alias("s_vc"), F.count("vc_raw").alias("n_vc"), F.max("vc_raw").alias("max_vc"),
+        F.count_if(F.col("vc_tier") == "Mega-Viral").alias("mega"),
+        F.avg(z("saves")).alias("avg_saves"), F.avg(z("shares")).alias("avg_shares")))
+    ratio = F.coalesce(F.try_divide(F.col("avg_saves"), F.nullif(F.col("avg_shares"), F.lit(0.0))),
+                       F.col("avg_saves"))
+    avg_vc = F.col("s_vc") / F.col("n_vc")
+    score = F.coalesce(avg_vc * 0.6 + ratio * 0.4, avg_vc)
+    top = (per.where(F.col(category).isNotNull())
+           .agg(F.min_by(F.col(category), F.struct((-score).alias("o"), F.col(category))).alias("t")))
+    return per.agg((F.sum("s_vc") / F.sum("n_vc")).alias("avg_vc"), F.max("max_vc").alias("peak_vc"),
+                   F.sum("mega").alias("mega_cnt")).withColumn("top_category", scalar(top))
 
 
 def cta_impact(df: DataFrame, *, cta: str = "has_call_to_action", metric: str = METRIC) -> DataFrame:
@@ -263,8 +274,9 @@ def optimal_hashtags(df: DataFrame, *, key: str = "hashtags_count", metric: str
 def value_histogram(df: DataFrame, *, col: str = "vc_raw", bins: int = 60,
                     cap_q: float = 0.99) -> DataFrame:
     """``bins`` equal-width bins of ``col`` clipped at its ``cap_q`` quantile."""
-    cap = scalar(O.exact_quantiles(df, col, [cap_q], names=["cap"]))
-    lo = scalar(df.agg(F.min(col).alias("lo")))
+    # min (the 0-quantile) and the cap come from one rank table: one fact pass
+    b = scalar_struct(O.exact_quantiles(df, col, [0.0, cap_q], names=["lo", "cap"]))
+    lo, cap = b["lo"], b["cap"]
     v = F.least(F.col(col), F.col("cap"))
     width = (F.col("cap") - F.col("lo")) / bins
     b = F.when(F.col("cap") == F.col("lo"), F.lit(1)).otherwise(
