@@ -118,6 +118,14 @@ def train_engagement_model(df: DataFrame, *, label: str = LABEL, id_col: str = "
     Returns (PipelineModel, metrics one-row DataFrame, feature lists)."""
     num, cat = feature_columns(df, label)
     data = _prep(df.where(F.col(label).isNotNull()), cat).withColumn("__train", split_flag(id_col, seed=seed))
+    # the imputer, indexers, scaler and forest each pass over the data: write the
+    # prepared frame once so they read it instead of recomputing its lineage.
+    # Rows are placed by a hash of the id and sorted within partitions, so the
+    # forest's per-partition bootstrap (and so the model) does not depend on how
+    # the input happened to be partitioned.
+    from postlens.operators.orderstats import materialized
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = materialized(data.repartition(parts, F.col(id_col)).sortWithinPartitions(id_col))
     train, test = data.where("__train"), data.where("NOT __train")
     model = engagement_pipeline(num, cat, label=label, num_trees=num_trees, max_depth=max_depth,
                                 seed=seed).fit(train)

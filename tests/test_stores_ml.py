@@ -114,3 +114,11 @@ def test_score_stream_equals_batch(spark):
     want = {r["__pid"]: max(r["prediction"], 0.0)
             for r in model.transform(data).select("__pid", "prediction").collect()}
     assert got == want
+
+
+def test_same_seed_same_metrics(spark):
+    p = posts(spark, SF_SMALL)
+    data = N.model_columns(p.withColumnRenamed("post_id", "__pid"))
+    a = K.train_engagement_model(data, id_col="__pid", num_trees=10, max_depth=5)[1].first()
+    b = K.train_engagement_model(data.repartition(7), id_col="__pid", num_trees=10, max_depth=5)[1].first()
+    assert (a.mae, a.r2, a.n_train, a.n_test) == (b.mae, b.r2, b.n_train, b.n_test)
