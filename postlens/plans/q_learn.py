@@ -22,6 +22,7 @@ from postlens.sources.corpus import labelled_corpus, scan_corpus
 from postlens.sources import store as S
 
 MODEL_TREES, MODEL_DEPTH = 100, 10
+MODEL_VERSION = 1          # part of the model-store key: bump when a pipeline changes
 
 
 def _scratch(spark, tag):
@@ -58,18 +59,37 @@ def q_cv_folds(spark, d):
             .groupBy("label", K.fold_of("text").alias("fold")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def _engagement(spark, d):
+    """The posts engagement model: loaded from the model store when this input
+    was already fitted with these parameters (A7), else trained and stored."""
+    data = N.model_columns(posts(spark, d).withColumnRenamed("post_id", "__pid"))
+    key = f"engagement-v{MODEL_VERSION}-" + S.input_fingerprint(data) + f"-{MODEL_TREES}-{MODEL_DEPTH}"
+
+    def fit():
+        model, metrics, _ = K.train_engagement_model(data, id_col="__pid", num_trees=MODEL_TREES,
+                                                     max_depth=MODEL_DEPTH)
+        return model, metrics
+
+    model, metrics = S.load_or_fit(spark, key, fit)
+    return model, metrics, K.feature_columns(data)
+
+
 @register("engagement_model")
 def q_engagement_model(spark, d):
     """K2 + K3 + K4: random-forest engagement model on posts, held-out metrics."""
-    data = N.model_columns(posts(spark, d).withColumnRenamed("post_id", "__pid"))
-    _, metrics, _ = K.train_engagement_model(data, id_col="__pid", num_trees=MODEL_TREES,
-                                             max_depth=MODEL_DEPTH)
-    return metrics
+    return _engagement(spark, d)[1].select("mae", "r2", "n_train", "n_test", "n_augmented",
+                                           "n_trees", "timestamp")
 
 
 def _classified(spark, d):
-    corpus = labelled_corpus(scan_corpus(spark, _corpus_path(spark, d)))
-    model = K.fit_comment_classifier(corpus)
+    conv = spark.read.parquet(f"{d}/conversations.parquet")
+    key = f"comments-v{MODEL_VERSION}-" + S.input_fingerprint(conv)
+
+    def fit():
+        corpus = labelled_corpus(scan_corpus(spark, _corpus_path(spark, d)))
+        return K.fit_comment_classifier(corpus), corpus.groupBy("label").count()
+
+    model, _ = S.load_or_fit(spark, key, fit)
     tagged = TO.tag_comments(comments_from_tables(spark, d))
     return K.classify_comments(model, tagged)
 
@@ -159,9 +179,7 @@ def q_reach_estimates(spark, d):
 
 def _scored_pages(spark, d):
     p = posts(spark, d)
-    model_df = N.model_columns(p.withColumnRenamed("post_id", "__pid"))
-    model, _, (num, cat) = K.train_engagement_model(model_df, id_col="__pid", num_trees=MODEL_TREES,
-                                                    max_depth=MODEL_DEPTH)
+    model, _, (num, cat) = _engagement(spark, d)
     defaults = M.column_defaults(p)
     pages = TO.page_posts(spark.read.parquet(f"{d}/pages.parquet"))
     return M.score_posts(pages, model, defaults, cat_features=cat, features=num + cat, hashtag="fitness")

@@ -81,3 +81,34 @@ def model_store_load(spark: SparkSession, path: str):
         return PipelineModel.load(f"{path}/pipeline"), spark.read.json(f"{path}/metrics")
     except Exception:
         return None
+
+
+def input_fingerprint(*frames: DataFrame) -> str:
+    """Stable key of the files behind some DataFrames (name, size, mtime)."""
+    import hashlib
+    import os
+    parts = []
+    for f in frames:
+        for path in sorted(f.inputFiles()):
+            local = path[len("file:"):] if path.startswith("file:") else path
+            try:
+                st = os.stat(local)
+                parts.append(f"{path}:{st.st_size}:{int(st.st_mtime)}")
+            except OSError:          # non-local file system: the listing is the key
+                parts.append(path)
+    return hashlib.md5("|".join(parts).encode()).hexdigest()
+
+
+def load_or_fit(spark: SparkSession, key: str, fit, *, root: str | None = None):
+    """A7 lifecycle: load the pipeline (and metrics) stored under ``key`` if
+    present and readable, else call ``fit() -> (model, metrics)``, save, return.
+    Models live under the shared checkpoint folder unless ``root`` is given."""
+    import os
+    from postlens.session import checkpoint_dir
+    path = os.path.join(root or checkpoint_dir(spark), "models", key)
+    got = model_store_load(spark, path)
+    if got is not None:
+        return got
+    model, metrics = fit()
+    model_store_save(model, metrics, path)
+    return model, metrics

@@ -122,3 +122,22 @@ def test_same_seed_same_metrics(spark):
     a = K.train_engagement_model(data, id_col="__pid", num_trees=10, max_depth=5)[1].first()
     b = K.train_engagement_model(data.repartition(7), id_col="__pid", num_trees=10, max_depth=5)[1].first()
     assert (a.mae, a.r2, a.n_train, a.n_test) == (b.mae, b.r2, b.n_train, b.n_test)
+
+
+def test_load_or_fit_reuses_stored_model(spark):
+    p = posts(spark, SF_SMALL)
+    data = N.model_columns(p.withColumnRenamed("post_id", "__pid"))
+    calls = []
+
+    def fit():
+        calls.append(1)
+        model, metrics, _ = K.train_engagement_model(data, id_col="__pid", num_trees=3, max_depth=3)
+        return model, metrics
+
+    root = _path(spark, "models")
+    key = "t-" + S.input_fingerprint(data)
+    m1, _ = S.load_or_fit(spark, key, fit, root=root)
+    m2, _ = S.load_or_fit(spark, key, fit, root=root)
+    assert calls == [1]
+    assert (K.batch_predict(m1, data).select("predicted_engagement").collect()
+            == K.batch_predict(m2, data).select("predicted_engagement").collect())
