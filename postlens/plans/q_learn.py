@@ -349,3 +349,20 @@ def q_retrain(spark, d):
         "content_category", "engagement_rate", F.lit("scraped").alias("label_source"))
     _, metrics, _ = K.retrain(base, pool, max_depth=6)
     return metrics
+
+
+@register("score_stream")
+def q_score_stream(spark, d):
+    """Feature rows of the stored pages arrive as files and are scored on
+    arrival by the stored engagement model (availableNow trigger)."""
+    from postlens.streaming import streams as ST
+    p = posts(spark, d)
+    model, _, (num, cat) = _engagement(spark, d)
+    pages = TO.page_posts(spark.read.parquet(f"{d}/pages.parquet"))
+    rows = M.feature_rows(pages, M.column_defaults(p), features=num + cat)
+    src, out, chk = _scratch(spark, "src"), _scratch(spark, "scored"), _scratch(spark, "chk")
+    rows.write.parquet(src)
+    stream = ST.read_stream(spark, src, spark.read.parquet(src).schema)
+    scored = ST.score_stream(stream, model).select("link", "prediction")
+    ST.run_to_files(scored, out, chk)
+    return spark.read.parquet(out)
