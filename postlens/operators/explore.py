@@ -79,7 +79,7 @@ def facet_values(df: DataFrame, facets: Sequence[str] = ("content_category", "me
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets
     ])).alias("s")).select("s.facet", "s.value")
-    return stacked.where(F.col("value").isNotNull()).distinct()
+    return stacked.where(F.col("value").isNotNull()).distinct().orderBy("facet", "value")
 
 
 def facet_ranges(df: DataFrame, *, follower_col="follower_count", ts="post_datetime") -> DataFrame:

@@ -46,8 +46,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+        try:
+            d = spark.sparkContext.getCheckpointDir()
+        except Exception:  # pragma: no cover - Spark Connect has no SparkContext
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="postlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
