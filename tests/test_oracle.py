@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
-SKIP_SLOW = {"ab_pairs", "ab_test"}  # covered by unit tests; bisection is slow to compile
+SKIP_SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
