@@ -221,3 +221,38 @@ def test_new_only_null_key_seen_once_present(spark):
     assert sorted(r.link for r in new_only(new, pool_with_null).collect()) == ["b", "b"]
     got = sorted((r.link or "") for r in new_only(new, pool_without).collect())
     assert got == ["", "b", "b"]   # batch duplicates kept; null unseen
+
+
+def test_text_helpers_edge_cases(spark):
+    df = spark.createDataFrame([("Café day #café #run_2 @josé @a hi", "x"),
+                                ("gym and food tips", ""), ("nothing here", "Travel vlog"),
+                                (None, None)], "caption string, tag string")
+    got = df.select(TX.count_hashtags("caption").alias("h"), TX.count_mentions("caption").alias("m"),
+                    TX.classify_topic("caption", "tag").alias("t"),
+                    TX.detect_cta("caption").alias("c")).collect()
+    assert [(r.h, r.m) for r in got] == [(2, 2), (0, 0), (0, 0), (0, 0)]
+    assert [r.t for r in got] == ["Technology", "Fitness", "Travel", "Technology"]
+    assert [r.c for r in got] == [0, 0, 0, 0]
+    cta = spark.createDataFrame([("Link in BIO now",)], "caption string")
+    assert cta.select(TX.detect_cta("caption").alias("c")).first().c == 1
+
+
+def test_clock_labels_and_bands(spark):
+    df = spark.createDataFrame([(0,), (9,), (12,), (13,), (23,)], "hour int")
+    got = [(r.a, r.b) for r in df.select(C.clock_label("hour").alias("a"),
+                                         C.clock_label("hour", padded=True).alias("b")).collect()]
+    assert got == [("12:00 AM", "12:00 AM"), ("9:00 AM", "09:00 AM"), ("12:00 PM", "12:00 PM"),
+                   ("1:00 PM", "01:00 PM"), ("11:00 PM", "11:00 PM")]
+    rates = spark.createDataFrame([(0.08,), (0.0799,), (0.05,), (0.03,), (0.01,), (0.0,)], "r double")
+    bands = [r.b for r in rates.select(C.engagement_band("r").alias("b")).collect()]
+    assert bands == ["VIRAL", "HIGH", "HIGH", "MEDIUM", "LOW", "VERY LOW"]
+    hg = [r.g for r in df.select(C.hour_group("hour").alias("g")).collect()]
+    assert hg == ["off_peak", "morning_peak", "off_peak", "off_peak", "off_peak"]
+
+
+def test_split_tags_and_post_kind(spark):
+    df = spark.createDataFrame([(" #fitness, gym ,, ##food ,", "https://x.invalid/reel/1/")],
+                               "t string, link string")
+    r = df.select(TX.split_tags("t").alias("s"), TX.post_kind("link").alias("k"),
+                  TX.is_post_link("link").alias("p")).first()
+    assert r.s == ["fitness", "gym", "food"] and r.k == "reel" and r.p
