@@ -30,3 +30,10 @@ def test_percentile_has_no_global_window_over_rows(spark):
     for line in p.splitlines():
         if "Window" in line and "partitionBy" not in line and "vc_raw" in line and "sum(cnt" not in line:
             assert "rank" not in line.lower()
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_no_nested_loop_join_or_python(spark, name):
+    p = plan(E.queries()[name](spark, SF_SMALL))
+    for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython"):
+        assert bad not in p, f"{name}: {bad}"
