@@ -26,6 +26,7 @@ from postlens.functions import text as TX
 from postlens.operators.enrich import MODEL_DROP
 
 LABEL = "engagement_rate"
+ROWS_PER_PARTITION = 200_000
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
@@ -158,8 +159,11 @@ def fit_comment_classifier(corpus: DataFrame, *, text: str = "text", label: str
     ridge strength of C = 1 (regParam = 1/n on the weight-normalised loss);
     stopping tolerance 1e-4 as the reference's solver."""
     w = class_weights(corpus, label=label).select(label, "weight")
-    data = with_terms(corpus.join(F.broadcast(w), label), text).cache()
+    data = with_terms(corpus.join(F.broadcast(w), label), text)
     n = data.count()
+    # each L-BFGS iteration is one job over every partition: keep about
+    # ROWS_PER_PARTITION rows per task (coalesce never adds partitions or shuffles)
+    data = data.coalesce(max(1, -(-n // ROWS_PER_PARTITION))).cache()
     cv = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab_size).fit(data)
     idf = IDF(inputCol="__tf", outputCol="__tfidf_s").fit(cv.transform(data))
     scale = Vectors.dense([v + 1.0 for v in idf.idf.toArray()])  # vocab-sized: bounded
