@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -28,6 +29,13 @@ def stage(df: DataFrame, tag: str = "llm") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of stages that are written and no longer referred
+    to; it does so only after the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``fn`` over every Arrow batch; batches for which it gives None are left out."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
