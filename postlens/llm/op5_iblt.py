@@ -217,10 +217,11 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     ranges = int(min(MAX_RANGES, max(2, -(-n // ROWS_PER_RANGE))))
     cuts = src.select(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("c")).first()["c"]
     splits = [-float("inf"), *sorted({float(c) for c in cuts or []} or {0.0}), float("inf")]
-    bucket = Bucketizer(splits=splits, inputCol="as_double", outputCol="b", handleInvalid="keep")
+    bucket = Bucketizer(splits=splits, inputCol="as_double", outputCol="b")
 
     def in_range(df: DataFrame) -> DataFrame:
-        return bucket.transform(df.withColumn("as_double", F.col("id").cast("double"))).drop("as_double")
+        return (bucket.transform(df.withColumn("as_double", F.col("id").cast("double"))).drop("as_double")
+                .withColumn("b", F.coalesce("b", F.lit(float(len(splits))))))    # no id: last
     # at most MAX_RANGES + 1 rows: a range, its first id, and the range before it
     firsts = in_range(src.select("id")).groupBy("b").agg(F.min("id").alias("first_id"))
     before = F.lag("b").over(Window.orderBy("b"))
