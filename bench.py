@@ -29,7 +29,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    spark = get_session(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2,
+                        extra={"spark.driver.memory": "12g"})
     names = [n for n in HEADLINE if n in QUERIES]
     # warm-up: one untimed pass over every headline query (JIT, file listing)
     for n in names:

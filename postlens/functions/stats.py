@@ -15,8 +15,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 STEPS = 400        # Simpson panels (even)
-BISECT = 50        # bisection steps for the quantile
-T_MAX = 50.0       # bisection upper bound
+BISECT = 110       # bisection steps for the quantile
+T_START = 50.0     # first upper bound of the bisection; doubled while p is above the target
+DOUBLINGS = 60
 
 # Effect-size bands of |d| and their labels.
 EFFECT_BANDS = ((0.2, "Negligible"), (0.5, "Small"), (0.8, "Medium"), (1.2, "Large"))
@@ -54,7 +55,9 @@ def t_quantile(prob: float, nu: Column) -> Column:
         return F.when(p > target, F.struct(mid.alias("lo"), acc["hi"].alias("hi"))) \
                 .otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
 
-    init = F.struct(F.lit(0.0).alias("lo"), F.lit(T_MAX).alias("hi"))
+    top = F.aggregate(F.sequence(F.lit(1), F.lit(DOUBLINGS)), F.lit(T_START),
+                      lambda hi, _k: F.when(t_two_sided_p(hi, nu) > target, hi * 2).otherwise(hi))
+    init = F.struct(F.lit(0.0).alias("lo"), top.alias("hi"))
     r = F.aggregate(F.sequence(F.lit(1), F.lit(BISECT)), init, step)
     return (r["lo"] + r["hi"]) / 2
 

@@ -54,20 +54,24 @@ def group_moments(df: DataFrame, *, variables: Sequence[str], metric: str = METR
 
 def _stats(ma, sa, na, mb, sb, nb, alpha: float) -> dict[str, Column]:
     va, vb = sa * sa, sb * sb
-    ea, eb = va / na, vb / nb
+    ea, eb = F.try_divide(va, na.cast("double")), F.try_divide(vb, nb.cast("double"))
     se2 = ea + eb
-    t = (ma - mb) / F.sqrt(se2)
-    dof = se2 * se2 / (ea * ea / (na - 1) + eb * eb / (nb - 1))
-    p = S.t_two_sided_p(t, dof)
-    pooled = F.sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2))
+    # two constant groups: an infinite t (p = 0) if their means differ, else no t at all
+    flat = se2 == 0
+    t = (F.when(~flat, F.try_divide(ma - mb, F.sqrt(se2)))
+         .when(ma > mb, F.lit(float("inf"))).when(ma < mb, F.lit(float("-inf"))))
+    dof = F.when(flat, F.lit(1.0)).otherwise(
+        F.try_divide(se2 * se2, F.try_divide(ea * ea, na - 1) + F.try_divide(eb * eb, nb - 1)))
+    p = F.when(flat, F.when(ma != mb, F.lit(0.0))).otherwise(S.t_two_sided_p(t, dof))
+    pooled = F.sqrt(F.try_divide((na - 1) * va + (nb - 1) * vb, na + nb - 2))
     d = F.when((na < 2) | (nb < 2), F.lit(0.0)).when(pooled > 0, (ma - mb) / pooled).otherwise(F.lit(0.0))
     lift = F.abs(ma - mb) / F.greatest(F.least(ma, mb), F.lit(1e-9)) * 100
     return {"t_stat": t, "dof": dof, "p_value": p, "cohens_d": d,
-            "effect_label": S.effect_label(d), "significant": p < alpha, "lift_pct": lift}
+            "effect_label": S.effect_label(d), "significant": F.coalesce(p < alpha, F.lit(False)), "lift_pct": lift}
 
 
 def _ci(mean, std, n, conf: float = 0.95):
-    h = std / F.sqrt(n.cast("double")) * S.t_quantile((1 + conf) / 2, n - 1)
+    h = F.try_divide(std, F.sqrt(n.cast("double"))) * S.t_quantile((1 + conf) / 2, n - 1)
     lo = F.when(n < 2, mean).otherwise(mean - h)
     hi = F.when(n < 2, mean).otherwise(mean + h)
     return lo, hi
@@ -131,7 +135,7 @@ def ab_pairs(df: DataFrame, *, variable: str, pairs: Sequence[tuple], metric: st
     ).otherwise(
         F.format_string("❌ Not statistically significant (p=%.4f ≥ α=%s). The %.1f%% difference "
                         "between %s and %s could be due to chance — collect more data.",
-                        F.col("p_value"), F.col("alpha").cast("string"), F.col("lift_pct"),
+                        F.coalesce("p_value", F.lit(float("nan"))), F.col("alpha").cast("string"), F.col("lift_pct"),
                         F.col("group_a"), F.col("group_b")))
     err = F.format_string("Insufficient data: Group A n=%d, Group B n=%d. Need ≥5 each.",
                           F.col("n_a"), F.col("n_b"))

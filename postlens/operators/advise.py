@@ -91,19 +91,6 @@ def confidence_score(n: Column, effect: Column) -> Column:
     return C.trunc_int(v).cast("int")
 
 
-def _ranked(df, key, metric, n=3):
-    return X.best_n(df, key=key, metric=metric, n=n).select(
-        F.col(key).alias("value"), "avg_metric", "n_posts", "rank")
-
-
-def _best_cta(df, metric, cta="has_call_to_action"):
-    if cta not in df.columns:
-        return df.sparkSession.range(1).select(F.lit(DEFAULT_CTA).alias("best_cta"))
-    a = X.cta_impact(df, cta=cta, metric=metric)
-    return (a.agg(F.max_by(F.col(cta), F.struct(F.col("avg_metric"), -F.col(cta))).alias("b"))
-            .select(F.coalesce(F.col("b").cast("int"), F.lit(DEFAULT_CTA)).alias("best_cta")))
-
-
 def _top_list(r: DataFrame, name: str) -> DataFrame:
     # ≤ 3 rows: collecting them into an ordered array is size-bounded
     return r.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))),
@@ -162,7 +149,7 @@ def content_calendar(df: DataFrame, *, metric: str = METRIC, days: int = 7) -> D
         F.coalesce("media", F.lit(DEFAULT_MEDIA)).alias("media"),
         F.coalesce(F.col("hour").cast("int"), F.lit(DEFAULT_HOUR)).alias("hour"),
         "optimal_hashtags", "best_cta", "global_mean")
-    cal = cal.join(F.broadcast(_combo_from(agg)), ["cat", "media"], "left")   # ≤ #cat × #media rows
+    cal = cal.join(_combo_from(agg), ["cat", "media"], "left")   # ≤ #cat × #media rows
     pred = F.when(F.coalesce("combo_n", F.lit(0)) >= MIN_COMBO, F.col("combo_mean")) \
             .otherwise(F.col("global_mean"))
     n_obs = F.coalesce(F.col("combo_n"), F.lit(0))
@@ -191,7 +178,7 @@ def top_strategies(df: DataFrame, *, metric: str = METRIC, n_strategies: int = 3
             .join(med, "rank", "left").join(hrs, "rank", "left"))
     plan = plan.select("rank", "cat", F.coalesce("media", "best_media").alias("media"),
                        F.coalesce("hour", "best_hour").alias("hour"), "n_obs")
-    plan = (plan.join(F.broadcast(_combo_from(agg)), ["cat", "media"], "left")
+    plan = (plan.join(_combo_from(agg), ["cat", "media"], "left")
             .withColumns({"global_mean": _global_mean_from(agg),
                           "optimal_hashtags": _optimal_hashtags_from(agg),
                           "best_cta": _best_cta_from(agg)}))

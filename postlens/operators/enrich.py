@@ -31,7 +31,7 @@ def performance_tiers(df: DataFrame, *, metric: str = "engagement_rate", out: st
 
 def viral_coefficients(df: DataFrame, *, saves="saves", shares="shares", likes="likes",
                        comments="comments", reach="reach", weights=C.VC_WEIGHTS,
-                       buckets: int | None = None, percentile: bool = True,
+                       ranges: int | None = None, percentile: bool = True,
                        tiers: bool = True) -> DataFrame:
     """vc_raw, high_value_ratio, vc_percentile (average ties), vc_tier.
 
@@ -47,7 +47,7 @@ def viral_coefficients(df: DataFrame, *, saves="saves", shares="shares", likes="
     })
     if not (percentile or tiers):
         return base
-    ranks = O.value_ranks(base, "vc_raw", buckets=buckets)
+    ranks = O.value_ranks(base, "vc_raw", ranges=ranges)
     out = O.avg_percent_rank(base, "vc_raw", "vc_percentile", ranks=ranks) if percentile else base
     if not tiers:
         return out

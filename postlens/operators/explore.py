@@ -27,11 +27,11 @@ def facet_filter(df: DataFrame, *, categories: Sequence[str] = (), media: Sequen
                  accounts: Sequence[str] = (), followers: tuple | None = None,
                  dates: tuple | None = None, category="content_category",
                  media_col="media_type", account_col="account_type",
-                 follower_col="follower_count", ts="post_datetime") -> DataFrame:
+                 follower_col="follower_count", ts="post_datetime", date_col="post_date") -> DataFrame:
     """IN lists (empty = no filter), inclusive follower range and date range.
 
-    The date range is written as ``ts >= d0 AND ts < d1 + 1 day`` so it reaches
-    the Parquet scan as pushed filters.
+    The date range is on the date column where the table has one (a plain column
+    of the files, so the bounds reach the Parquet scan), else on the time.
     """
     cond = F.lit(True)
     if categories:
@@ -44,6 +44,8 @@ def facet_filter(df: DataFrame, *, categories: Sequence[str] = (), media: Sequen
         cond &= (F.col(follower_col) >= followers[0]) & (F.col(follower_col) <= followers[1])
     if dates is not None:
         d0, d1 = (_dt.date.fromisoformat(str(d)) for d in dates)
+        if date_col in df.columns:
+            return df.where(cond & (F.col(date_col) >= F.lit(d0)) & (F.col(date_col) <= F.lit(d1)))
         lo = _dt.datetime.combine(d0, _dt.time())
         hi = _dt.datetime.combine(d1 + _dt.timedelta(days=1), _dt.time())
         # string literals parse to timestamp_ntz without any session-zone shift
@@ -151,7 +153,8 @@ def best_key(df: DataFrame, *, keys: Sequence[str] = ("hour", "content_category"
         key_name = F.when(F.col("gid") == gid_of[k], F.lit(k)).otherwise(key_name)
         value = F.when(F.col("gid") == gid_of[k], F.col(k).cast("string")).otherwise(value)
     g = g.withColumn("key_name", key_name).withColumn("best_value", value)
-    g = g.where(F.col("best_value").isNotNull())
+    # a value without any metric is no candidate (idxmax skips NaN)
+    g = g.where(F.col("best_value").isNotNull() & F.col("avg_metric").isNotNull())
     # best = smallest (-avg, typed key): a min_by aggregate, partial per task,
     # rather than a window holding every value of a key
     order = F.struct(-F.col("avg_metric"), *[F.col(k) for k in keys])
@@ -235,18 +238,24 @@ def virality_kpis(vc: DataFrame, *, category: str = "content_category") -> DataF
                        F.col("avg_saves"))
     avg_vc = F.col("s_vc") / F.col("n_vc")
     score = F.coalesce(avg_vc * 0.6 + ratio * 0.4, avg_vc)
-    top = (per.where(F.col(category).isNotNull())
+    top = (per.where(F.col(category).isNotNull() & score.isNotNull())
            .agg(F.min_by(F.col(category), F.struct((-score).alias("o"), F.col(category))).alias("t")))
     return per.agg((F.sum("s_vc") / F.sum("n_vc")).alias("avg_vc"), F.max("max_vc").alias("peak_vc"),
                    F.sum("mega").alias("mega_cnt")).withColumn("top_category", scalar(top))
 
 
+def _flag_best(agg: DataFrame, key: str, metric: str, out: str) -> DataFrame:
+    """Marks the row with the largest ``metric`` (the least key on ties); the winner is an
+    aggregate, so a key of any cardinality stays distributed."""
+    best = agg.where(F.col(metric).isNotNull()).agg(F.min_by(key, F.struct(-F.col(metric), F.col(key))).alias("b"))
+    return agg.withColumn(out, F.coalesce(F.col(key) == scalar(best), F.lit(False)))
+
+
 def cta_impact(df: DataFrame, *, cta: str = "has_call_to_action", metric: str = METRIC) -> DataFrame:
     """Avg metric per CTA flag rounded to 5 places, best flag marked."""
     agg = (df.where(F.col(cta).isNotNull()).groupBy(cta)
            .agg(F.round(F.avg(metric), 5).alias("avg_metric")))
-    w = Window.orderBy(F.col("avg_metric").desc(), F.col(cta))  # ≤ a few rows
-    return agg.withColumn("is_best", F.row_number().over(w) == 1)
+    return _flag_best(agg, cta, "avg_metric", "is_best")
 
 
 def hashtag_effectiveness(df: DataFrame, *, key: str = "hashtags_count", metric: str = METRIC,
@@ -258,8 +267,7 @@ def hashtag_effectiveness(df: DataFrame, *, key: str = "hashtags_count", metric:
     agg = (df.where(F.col(key).isNotNull()).groupBy(key)
            .agg(F.avg(metric).alias("avg_engagement"), F.count(metric).alias("n_posts"))
            .where(F.col("n_posts") >= min_n))
-    w = Window.orderBy(F.col("avg_engagement").desc(), F.col(key))  # one row per count value
-    return agg.withColumn("is_optimal", F.row_number().over(w) == 1)
+    return _flag_best(agg, key, "avg_engagement", "is_optimal")
 
 
 def optimal_hashtags(df: DataFrame, *, key: str = "hashtags_count", metric: str = METRIC,
@@ -325,14 +333,14 @@ def suggested_topics(df: DataFrame, *, category: str = "content_category",
          .agg(F.avg(metric).alias("avg_metric"), F.grouping_id().alias("gid")))
     g = O.materialized(g)          # small, read three times: one fact pass
     # grouping_id bits (category, media, hour): 3 = category only, 1 = +media, 2 = +hour
-    cats = g.where(F.col("gid") == 3).select(category, "avg_metric")
+    cats = g.where((F.col("gid") == 3) & F.col("avg_metric").isNotNull()).select(category, "avg_metric")
     top = cats.orderBy(F.col("avg_metric").desc(), F.col(category)).limit(k)     # distributed top-k
     top = top.select(category, F.col("avg_metric").alias("avg_engagement"),
                      F.row_number().over(Window.orderBy(F.col("avg_metric").desc(), F.col(category)))
                      .alias("rank"))
 
     def best(gid, key):
-        a = g.where((F.col("gid") == gid) & F.col(key).isNotNull())
+        a = g.where((F.col("gid") == gid) & F.col(key).isNotNull() & F.col("avg_metric").isNotNull())
         b = F.min_by(F.col(key), F.struct(-F.col("avg_metric"), F.col(key)))
         return a.groupBy(category).agg(b.alias(f"best_{key}"))
 

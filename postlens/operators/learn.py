@@ -8,6 +8,7 @@ partitioning and never need a global row order.
 from __future__ import annotations
 
 import datetime as _dt
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -26,10 +27,18 @@ from postlens.functions import text as TX
 from postlens.operators.enrich import MODEL_DROP
 
 LABEL = "engagement_rate"
-ROWS_PER_PARTITION = 200_000
+# K2: the forest's depth, the same for every fit (first fit, retrain, model store)
+MAX_DEPTH = 12
+FIRST_FIT_TREES = 150
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
+def fit_partitions(n: int) -> int:
+    """Partitions of a training frame of ``n`` rows: tasks and rows per task both grow
+    with the square root of the data (8 tasks at 60,000 rows, 10,000 at 10^11)."""
+    return max(1, math.ceil(math.sqrt(n) / 31))
+
+
 # ---------------------------------------------------------------- K3 / K4 / K7
 def id_hash(id_col: str, seed: int = 42) -> "F.Column":
     """First 32 bits of md5(id || seed) as a non-negative integer: a stable,
@@ -43,18 +52,30 @@ def split_flag(id_col: str = "post_id", *, train_pct: int = 80, seed: int = 42)
     return F.pmod(id_hash(id_col, seed), F.lit(100)) < train_pct
 
 
-def fold_of(id_col: str, *, folds: int = 3, seed: int = 42) -> "F.Column":
-    """K8: fold number of a row."""
-    return F.pmod(id_hash(id_col, seed), F.lit(folds))
+def with_folds(df: DataFrame, *, label: str, id_col: str, folds: int = 3, seed: int = 42) -> DataFrame:
+    """K8: stratified folds, column ``fold``: the rows of each label are ranked by a hash of
+    the id and dealt in turn, so every fold holds its share of every label.  The ranking
+    is keyed and range-partitioned (no task holds a label); rows of equal id share a fold,
+    null ids count as empty ones."""
+    from postlens.operators.orderstats import ranks_from_counts
+    h = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed))))
+    rows = df.withColumn("__h", h)
+    counts = rows.groupBy(F.coalesce(label, F.lit("")).alias("__l"), F.col("__h").alias("v")).agg(F.count("*").alias("cnt"))
+    fold = ranks_from_counts(counts, keys=["__l"]).select("__l", F.col("v").alias("__h"),
+                                                          F.pmod("less", F.lit(folds)).alias("fold"))
+    return (rows.withColumn("__l", F.coalesce(label, F.lit(""))).join(fold, ["__l", "__h"])
+            .drop("__l", "__h"))
 
 
 def regression_metrics(pred: DataFrame, *, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
-    """K4: MAE (5 dp), R² (4 dp) and n_test in one aggregate."""
+    """K4: MAE (5 dp), R² (4 dp) and n_test in one aggregate.  A constant label
+    has R² 1 if it is met exactly, else 0 (as r2_score)."""
     e = F.col(label) - F.col(prediction)
     g = pred.agg(F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("sse"),
                  F.var_pop(label).alias("vp"), F.count(F.lit(1)).alias("n_test"))
     return g.select(F.round("mae", 5).alias("mae"),
-                    F.round(1 - F.col("sse") / (F.col("vp") * F.col("n_test")), 4).alias("r2"),
+                    F.round(F.when(F.col("vp") > 0, 1 - F.try_divide(F.col("sse"), F.col("vp") * F.col("n_test")))
+                            .when(F.col("vp") == 0, F.when(F.col("sse") == 0, 1.0).otherwise(0.0)), 4).alias("r2"),
                     "n_test")
 
 
@@ -82,7 +103,7 @@ def feature_columns(df: DataFrame, label: str = LABEL, drop: Sequence[str] = MOD
 
 
 def engagement_pipeline(num: Sequence[str], cat: Sequence[str], *, label: str = LABEL,
-                        num_trees: int = 150, max_depth: int = 12, seed: int = 42) -> Pipeline:
+                        num_trees: int = FIRST_FIT_TREES, max_depth: int = MAX_DEPTH, seed: int = 42) -> Pipeline:
     """K2: impute + z-score numeric, one-hot categorical (unknown → zeros),
     random forest with all features considered at each split."""
     stages = []
@@ -112,7 +133,7 @@ def _prep(df: DataFrame, cat: Sequence[str]) -> DataFrame:
 
 
 def train_engagement_model(df: DataFrame, *, label: str = LABEL, id_col: str = "post_id",
-                           num_trees: int = 150, max_depth: int = 12, seed: int = 42,
+                           num_trees: int = FIRST_FIT_TREES, max_depth: int = MAX_DEPTH, seed: int = 42,
                            n_augmented: DataFrame | int = 0):
     """K2 + K3 + K4: fit on the 80 % hash split, score the 20 %.
 
@@ -125,8 +146,8 @@ def train_engagement_model(df: DataFrame, *, label: str = LABEL, id_col: str = "
     # forest's per-partition bootstrap (and so the model) does not depend on how
     # the input happened to be partitioned.
     from postlens.operators.orderstats import materialized
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = materialized(data.repartition(parts, F.col(id_col)).sortWithinPartitions(id_col))
+    data = materialized(data)
+    data = materialized(data.repartition(fit_partitions(data.count()), F.col(id_col)).sortWithinPartitions(id_col))
     train, test = data.where("__train"), data.where("NOT __train")
     model = engagement_pipeline(num, cat, label=label, num_trees=num_trees, max_depth=max_depth,
                                 seed=seed).fit(train)
@@ -159,11 +180,13 @@ def fit_comment_classifier(corpus: DataFrame, *, text: str = "text", label: str
     ridge strength of C = 1 (regParam = 1/n on the weight-normalised loss);
     stopping tolerance 1e-4 as the reference's solver."""
     w = class_weights(corpus, label=label).select(label, "weight")
-    data = with_terms(corpus.join(F.broadcast(w), label), text)
-    n = data.count()
-    # each L-BFGS iteration is one job over every partition: keep about
-    # ROWS_PER_PARTITION rows per task (coalesce never adds partitions or shuffles)
-    data = data.coalesce(max(1, -(-n // ROWS_PER_PARTITION))).cache()
+    # written once: L-BFGS passes over the rows in every iteration; dealt by a hash of the
+    # text, so a fit does not depend on how the corpus was partitioned
+    from postlens.operators.orderstats import materialized
+    corpus = materialized(corpus.select(F.coalesce(text, F.lit("")).alias(text), label))
+    n = corpus.count()
+    data = with_terms(corpus.join(F.broadcast(w), label), text)      # w: one row per label
+    data = data.repartition(fit_partitions(n), F.xxhash64(text)).cache()
     cv = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab_size).fit(data)
     idf = IDF(inputCol="__tf", outputCol="__tfidf_s").fit(cv.transform(data))
     scale = Vectors.dense([v + 1.0 for v in idf.idf.toArray()])  # vocab-sized: bounded
@@ -190,11 +213,12 @@ def classify_comments(model: PipelineModel, df: DataFrame, *, text: str = "comme
 
 def cross_validate(corpus: DataFrame, *, folds: int = 3, text: str = "text", label: str = "label",
                    id_col: str = "text", seed: int = 42) -> DataFrame:
-    """K8: k-fold accuracy (mean, population sd), n, per-label counts.
-
-    Folds come from a hash of the row id (distributed, no per-label window);
-    they are stratified in expectation rather than exactly."""
-    f = corpus.withColumn("__fold", fold_of(id_col, folds=folds, seed=seed))
+    """K8: k-fold accuracy (mean, population sd), n, per-label counts, over stratified
+    folds (``with_folds``).  The folds are written once for all fits; a null text is an
+    empty one."""
+    from postlens.operators.orderstats import materialized
+    f = materialized(with_folds(corpus, label=label, id_col=id_col, folds=folds, seed=seed)
+                     .withColumnRenamed("fold", "__fold"))
     accs = []
     for k in range(folds):
         m = fit_comment_classifier(f.where(F.col("__fold") != k).drop("__fold"), text=text, label=label)
@@ -215,7 +239,7 @@ def cross_validate(corpus: DataFrame, *, folds: int = 3, text: str = "text", lab
 
 
 def retrain(base: DataFrame, pool: DataFrame | None, *, label: str = LABEL, id_col: str = "post_id",
-            max_depth: int = 12, seed: int = 42):
+            max_depth: int = MAX_DEPTH, seed: int = 42):
     """K5: base + labelled pool rows (shared columns) → drop non-features →
     hash split → forest with min(200, 100 + n_aug // 10) trees → metrics.
 

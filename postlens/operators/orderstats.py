@@ -1,32 +1,31 @@
-"""Exact order statistics without a single-task step over fact rows.
+"""Exact order statistics without a single-task step over rows or values.
 
 ``value_ranks`` turns a column into one row per distinct value with the number
-of rows below it.  Distinct values are split into ranges whose bounds come from
-``percentile_approx`` over the distinct values; the number of ranges grows with
-the number of distinct values (≈ 1M per range, 1 to 100k ranges), so a window
-task never holds more than about a million values, however skewed the data;
-only the bucket totals (one row per range) are ranked globally and broadcast.
-A hot value is one row after the first aggregation, so it cannot overload a task.
+of rows below it.  A hot value is one row after the first aggregation.  The
+distinct values are always range-partitioned by Spark's own sampled bounds into
+ranges of about ``PER_RANGE`` values, whatever their number; the running count is
+a window inside each range, and only the range totals (one row per range) are
+summed up globally.
+
+The same ranking can be keyed: many columns at once (D17), or the rows of a
+label by a hash (K8), share one count and one ranking.
 
 On top of it:
 * ``exact_quantiles`` — pandas/numpy ``linear`` quantiles, exact, as one row;
+* ``keyed_quantiles`` — one quantile of many columns from one ranking;
 * ``avg_percent_rank`` — ``rank(pct=True)`` with average ranks for ties.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.functions.scalars import scalar, scalar_struct
+from postlens.functions.scalars import scalar_struct
 
-DEFAULT_BUCKETS = 64
-TARGET_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 100_000
+PER_RANGE = 200_000        # distinct values that one window task ranks, about
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -41,66 +40,35 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def value_ranks(df: DataFrame, col: str, *, buckets: int | None = None,
-                materialize: bool = True) -> DataFrame:
+def value_ranks(df: DataFrame, col: str, *, ranges: int | None = None) -> DataFrame:
     """Columns: v, cnt, less (rows with a smaller value), n (all non-null rows).
 
-    The distinct-value counts feed several consumers (bucket bounds, bucket
-    totals, running counts, the callers' joins).  With ``materialize`` they are
-    written once to the shared checkpoint folder, so the fact table is
-    aggregated once instead of once per consumer (Spark does not reuse those
-    exchanges: their pruned subtrees differ)."""
+    The ranks feed several consumers (quantile filters, joins), so they are
+    written once: the facts are aggregated once, not once per consumer."""
     counts = (df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
               .groupBy("v").agg(F.count(F.lit(1)).alias("cnt")))
-    if not materialize:
-        return ranks_from_counts(counts, buckets=buckets)
-    # counts feed the bucket sizing jobs; ranks feed every caller (joins, quantile
-    # filters): each is written once so neither the facts nor the windows rerun
-    return materialized(ranks_from_counts(materialized(counts), buckets=buckets))
-
-
-def bucket_count(counts: DataFrame) -> int:
-    """Buckets so that one window task sees ≤ ~TARGET_PER_BUCKET distinct values
-    (one bucket when the whole column fits)."""
-    d = counts.count()
-    return int(min(MAX_BUCKETS, max(1, math.ceil(d / TARGET_PER_BUCKET))))
-
-
-def ranks_from_counts(counts: DataFrame, *, buckets: int | None = None) -> DataFrame:
-    """(v, cnt) → (v, cnt, less, n) with bucketed running counts.
-
-    Bucket bounds are ``percentile_approx`` of the distinct values (≤ buckets-1
-    numbers, brought to the driver: bounded) applied with ``Bucketizer``
-    (a JVM binary search), so buckets hold similar numbers of distinct values
-    even under heavy skew."""
-    b = buckets or bucket_count(counts)
-    if b <= 1:
-        # ≤ TARGET_PER_BUCKET distinct values: one ordered window, no bucket join
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return counts.select("v", "cnt", (F.sum("cnt").over(w) - F.col("cnt")).alias("less"),
-                             F.sum("cnt").over(Window.partitionBy()).alias("n"))
-    else:
-        probs = [i / b for i in range(1, b)]
-        acc = max(10000, 10 * b)
-        got = counts.agg(F.percentile_approx(F.col("v").cast("double"), probs, acc)).first()[0] or []
-        inner = sorted({float(x) for x in got if x is not None and not math.isnan(x)})
-        splits = [-math.inf] + inner + [math.inf]
-        with_b = Bucketizer(splits=splits, inputCol="__vd", outputCol="__b", handleInvalid="keep").transform(
-            counts.withColumn("__vd", F.col("v").cast("double"))
-        ).select("v", "cnt", F.col("__b").cast("int").alias("bucket"))
-    totals = with_b.groupBy("bucket").agg(F.sum("cnt").alias("tot"))
-    w_all = Window.orderBy("bucket")  # ≤ buckets rows: aggregated, bounded
+    return materialized(ranks_from_counts(counts, ranges=ranges))
+
+
+def ranks_from_counts(counts: DataFrame, *, keys: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """(keys…, v, cnt) → (keys…, v, cnt, less, n), ranked within each key.
+
+    The counts are dealt by ranges of (keys, v) and written with the number of
+    their range; so the totals per range and the windows inside the ranges see
+    the same ranges, however often they are computed."""
+    keys = list(keys)
+    counts = materialized(counts)
+    n = ranges or max(2, -(-counts.count() // PER_RANGE))
+    dealt = materialized(counts.repartitionByRange(n, *keys, "v").withColumn("range", F.spark_partition_id()))
+    totals = dealt.groupBy(*keys, "range").agg(F.sum("cnt").alias("tot"))
+    by_range = Window.partitionBy(*keys).orderBy("range")        # one row per range (and key)
     offsets = totals.select(
-        "bucket",
-        F.coalesce(F.sum("tot").over(w_all.rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("offset"),
-        F.sum("tot").over(Window.partitionBy()).alias("n"))
-    w_in = (Window.partitionBy("bucket").orderBy("v")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (with_b.join(F.broadcast(offsets), "bucket")
-            .select("v", "cnt",
-                    (F.col("offset") + F.sum("cnt").over(w_in) - F.col("cnt")).alias("less"),
-                    "n"))
+        *keys, "range",
+        F.coalesce(F.sum("tot").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+        F.sum("tot").over(Window.partitionBy(*keys)).alias("n"))
+    inside = Window.partitionBy(*keys, "range").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (dealt.withColumn("upto", F.sum("cnt").over(inside)).join(offsets, [*keys, "range"])
+            .select(*keys, "v", "cnt", (F.col("offset") + F.col("upto") - F.col("cnt")).alias("less"), "n"))
 
 
 def _lerp(a, b, t):
@@ -162,15 +130,18 @@ def tier_by_quantile(df: DataFrame, *, metric: str, probs: Sequence[float],
 def keyed_quantiles(df: DataFrame, cols: Sequence[str], prob: float) -> DataFrame:
     """One row: the exact ``prob`` quantile of each column (named as the column).
 
-    One pass over the facts counts every (column, value) pair into a
-    materialized table; each column's ranking then reads only its slice."""
+    One pass over the facts counts every (column, value) pair, one ranking keyed
+    by the column ranks them all, and one aggregate picks the order statistics."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v"))
                                 for c in cols])).alias("s")
-    counts = materialized(df.select(pairs).select("s.k", "s.v").where(F.col("v").isNotNull())
-                          .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
-    vals = []
-    for c in cols:
-        part = counts.where(F.col("k") == c).select("v", "cnt")
-        q = exact_quantiles(None, c, [prob], ranks=ranks_from_counts(part), names=[c])
-        vals.append(scalar(q).alias(c))
-    return df.sparkSession.range(1).select(*vals)
+    counts = (df.select(pairs).select("s.k", "s.v").where(F.col("v").isNotNull())
+              .groupBy("k", "v").agg(F.count(F.lit(1)).alias("cnt")))
+    h = (F.col("n") - 1) * float(prob)
+    lo = F.floor(h)
+    hi = F.least(lo + 1, F.col("n") - 1)
+    holds = lambda at: (F.col("less") <= at) & (at < F.col("less") + F.col("cnt"))
+    picked = (ranks_from_counts(counts, keys=["k"]).where(holds(lo) | holds(hi)).groupBy("k")
+              .agg(F.max(F.when(holds(lo), F.col("v"))).alias("a"), F.max(F.when(holds(hi), F.col("v"))).alias("b"),
+                   F.max(h - lo).alias("f"))
+              .select("k", _lerp(F.col("a"), F.col("b"), F.col("f")).alias("q")))
+    return picked.agg(*[F.max(F.when(F.col("k") == c, F.col("q"))).alias(c) for c in cols])

@@ -55,7 +55,7 @@ def _fit(series: DataFrame, cat: str, x: str = "x") -> DataFrame:
 
 def trend_velocity(df: DataFrame, *, cat: str = "content_category", metric: str = METRIC,
                    x: str = "position") -> DataFrame:
-    """Slope / mean × 100 per category, labelled, sorted by velocity.
+    """Slope / mean × 100 per category, labelled.
 
     ``x="position"`` regresses on 0..n-1 (weeks without posts are squeezed out,
     as in the reference); ``x="ordinal"`` uses the global week ordinal.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators import advise as L
 from postlens.operators import combine as J
+from postlens.operators import orderstats as O
 from postlens.plans.q_core import posts
 from postlens.plans.registry import register
 from postlens.plans.sqlbase import POSTS_CTE, with_
@@ -116,18 +117,18 @@ def q_new_only(spark, d):
 
 
 @register("stack_union", with_(POSTS_CTE, """
-SELECT post_id, likes, round(engagement_rate, 6) AS engagement_rate, NULL::BIGINT AS shares FROM posts WHERE year < 1997
+SELECT post_id, likes, round(engagement_rate, 6) AS engagement_rate, NULL::BIGINT AS shares FROM posts WHERE year < 1998
 UNION ALL
-SELECT post_id, NULL, NULL, shares FROM posts WHERE year >= 2000"""))
+SELECT post_id, NULL, NULL, shares FROM posts WHERE year >= 1998"""))
 def q_stack_union(spark, d):
     """union by name with missing columns."""
     p = posts(spark, d)
-    return J.stack_union(p.where(F.col("year") < 1997).select("post_id", "likes", "engagement_rate"),
-                         p.where(F.col("year") >= 2000).select("post_id", "shares"))
+    return J.stack_union(p.where(F.col("year") < 1998).select("post_id", "likes", "engagement_rate"),
+                         p.where(F.col("year") >= 1998).select("post_id", "shares"))
 
 
 @register("shared_columns_union", with_(POSTS_CTE, """,
-base AS (SELECT post_id, likes, engagement_rate FROM posts WHERE media_type = 'image'),
+base AS (SELECT post_id, likes, engagement_rate FROM posts WHERE media_type <> 'reel'),
 pool AS (SELECT post_id, likes, CASE WHEN saves % 7 = 0 THEN NULL ELSE engagement_rate END AS engagement_rate
          FROM posts WHERE media_type = 'reel'),
 kept AS (SELECT * FROM pool WHERE engagement_rate IS NOT NULL)
@@ -137,7 +138,7 @@ FROM (SELECT * FROM base UNION ALL SELECT * FROM kept)"""))
 def q_shared_columns_union(spark, d):
     """pool rows restricted to shared columns, labelled only, unioned."""
     p = posts(spark, d)
-    base = p.where(F.col("media_type") == "image").select("post_id", "likes", "engagement_rate")
+    base = p.where(F.col("media_type") != "reel").select("post_id", "likes", "engagement_rate")
     pool = p.where(F.col("media_type") == "reel").select(
         "post_id", "likes", F.col("impressions").alias("views"),
         F.when(F.col("saves") % 7 == 0, F.lit(None)).otherwise(F.col("engagement_rate"))
@@ -166,6 +167,6 @@ SELECT post_id, engagement_rate >= (SELECT median(engagement_rate) FROM posts) A
 def q_scored_lookup(spark, d):
     """one-row scalar (median) attached to every row."""
     p = posts(spark, d)
-    med = p.agg(F.median("engagement_rate").alias("med"))
+    med = O.exact_quantiles(p, "engagement_rate", [0.5], names=["med"])
     return J.scored_lookup(p, med).select(
         "post_id", (F.col("engagement_rate") >= F.col("med")).alias("above_median"))

@@ -315,7 +315,7 @@ def q_cta_impact(spark, d):
 a AS (SELECT hashtags_count, avg(engagement_rate) AS avg_engagement, count(engagement_rate) AS n_posts
       FROM posts WHERE hashtags_count IS NOT NULL GROUP BY hashtags_count HAVING count(engagement_rate) >= 10)
 SELECT CAST(hashtags_count AS BIGINT) AS hashtags_count, round(avg_engagement, 6) AS avg_engagement, n_posts,
-       avg_engagement = max(avg_engagement) OVER () AS is_optimal FROM a"""))
+       row_number() OVER (ORDER BY avg_engagement DESC, hashtags_count) = 1 AS is_optimal FROM a"""))
 def q_hashtag_effectiveness(spark, d):
     """Hashtag-count sweet spot."""
     return X.hashtag_effectiveness(posts(spark, d))

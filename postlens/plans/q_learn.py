@@ -13,16 +13,14 @@ from postlens.operators import learn as K
 from postlens.operators import scoring as M
 from postlens.operators import textops as TO
 from postlens.plans.q_core import posts
-from postlens.plans.q_text import _corpus_path
+from postlens.plans.q_text import LABELLED_SQL, _labelled
 from postlens.plans.registry import register
 from postlens.plans.sqlbase import POSTS_CTE, with_
 from postlens.session import checkpoint_dir
 from postlens.sources.comments import comments_from_tables
-from postlens.sources.corpus import labelled_corpus, scan_corpus
 from postlens.sources import store as S
 
-MODEL_TREES, MODEL_DEPTH = 100, 10
-MODEL_VERSION = 1          # part of the model-store key: bump when a pipeline changes
+MODEL_VERSION = 2          # part of the model-store key: bump when a pipeline changes
 
 
 def _scratch(spark, tag):
@@ -37,37 +35,33 @@ def q_split_rows(spark, d):
 
 
 @register("class_weights", """
-WITH l AS (SELECT 'Relatable' AS label FROM conversations WHERE role = 'user'
-           UNION ALL SELECT 'Neutral' FROM conversations WHERE role <> 'user'
-           UNION ALL SELECT 'Positive' FROM range(5) UNION ALL SELECT 'Negative' FROM range(5)),
+WITH l AS (""" + LABELLED_SQL + """),
 c AS (SELECT label, count(*) AS n_class FROM l GROUP BY label)
 SELECT label, n_class, round((SELECT count(*) FROM l) / ((SELECT count(*) FROM c) * n_class), 6) AS weight FROM c""")
 def q_class_weights(spark, d):
     """K7: balanced class weights of the labelled corpus."""
-    return K.class_weights(labelled_corpus(scan_corpus(spark, _corpus_path(spark, d))))
+    return K.class_weights(_labelled(spark, d))
 
 
 @register("cv_folds", """
-WITH l AS (SELECT text, 'Relatable' AS label FROM conversations WHERE role = 'user'
-           UNION ALL SELECT text, 'Neutral' FROM conversations WHERE role <> 'user')
-SELECT label, CAST('0x' || substr(md5(text || '42'), 1, 8) AS BIGINT) % 3 AS fold, count(*) AS n
-FROM l WHERE text IS NOT NULL GROUP BY ALL""")
+WITH l AS (""" + LABELLED_SQL + """),
+h AS (SELECT label, md5(coalesce(text, '') || '42') AS h, count(*) AS cnt FROM l GROUP BY ALL),
+r AS (SELECT label, cnt, sum(cnt) OVER (PARTITION BY label ORDER BY h) - cnt AS less FROM h)
+SELECT label, CAST(less % 3 AS BIGINT) AS fold, CAST(sum(cnt) AS BIGINT) AS n FROM r GROUP BY ALL""")
 def q_cv_folds(spark, d):
-    """K8 fold table: rows per (label, fold) of the corpus texts."""
-    corpus = labelled_corpus(scan_corpus(spark, _corpus_path(spark, d)))
-    return (corpus.where(F.col("label").isin("Relatable", "Neutral") & F.col("text").isNotNull())
-            .groupBy("label", K.fold_of("text").alias("fold")).agg(F.count(F.lit(1)).alias("n")))
+    """K8 fold table: rows per (label, fold) of the corpus texts, all labels."""
+    return (K.with_folds(_labelled(spark, d), label="label", id_col="text")
+            .groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _engagement(spark, d):
     """The posts engagement model: loaded from the model store when this input
     was already fitted with these parameters (A7), else trained and stored."""
     data = N.model_columns(posts(spark, d).withColumnRenamed("post_id", "__pid"))
-    key = f"engagement-v{MODEL_VERSION}-" + S.input_fingerprint(data) + f"-{MODEL_TREES}-{MODEL_DEPTH}"
+    key = f"engagement-v{MODEL_VERSION}-" + S.input_fingerprint(data) + f"-{K.FIRST_FIT_TREES}-{K.MAX_DEPTH}"
 
     def fit():
-        model, metrics, _ = K.train_engagement_model(data, id_col="__pid", num_trees=MODEL_TREES,
-                                                     max_depth=MODEL_DEPTH)
+        model, metrics, _ = K.train_engagement_model(data, id_col="__pid")
         return model, metrics
 
     model, metrics = S.load_or_fit(spark, key, fit)
@@ -82,11 +76,11 @@ def q_engagement_model(spark, d):
 
 
 def _classified(spark, d):
-    conv = spark.read.parquet(f"{d}/conversations.parquet")
-    key = f"comments-v{MODEL_VERSION}-" + S.input_fingerprint(conv)
+    key = f"comments-v{MODEL_VERSION}-" + S.input_fingerprint(
+        *[spark.read.parquet(f"{d}/{t}.parquet") for t in ("conversations", "documents", "labels")])
 
     def fit():
-        corpus = labelled_corpus(scan_corpus(spark, _corpus_path(spark, d)))
+        corpus = _labelled(spark, d)
         return K.fit_comment_classifier(corpus), corpus.groupBy("label").count()
 
     model, _ = S.load_or_fit(spark, key, fit)
@@ -115,7 +109,7 @@ def q_top_comments(spark, d):
 @register("cross_validate")
 def q_cross_validate(spark, d):
     """K8: 3-fold accuracy of the comment classifier."""
-    return K.cross_validate(labelled_corpus(scan_corpus(spark, _corpus_path(spark, d))))
+    return K.cross_validate(_labelled(spark, d))
 
 
 MEDIANS = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in M.MEDIAN_COLS)
@@ -199,22 +193,21 @@ def q_scored_summary(spark, d):
 
 @register("pool_append", with_(POSTS_CTE, """,
 b1 AS (SELECT post_id FROM posts WHERE post_datetime < TIMESTAMP '1998-01-01'),
-b2 AS (SELECT post_id FROM posts WHERE media_type = 'reel'),
+b2 AS (SELECT post_id FROM posts),
 added AS (SELECT count(*) AS n FROM b2 WHERE post_id NOT IN (SELECT post_id FROM b1))
 SELECT CAST((SELECT n FROM added) AS BIGINT) AS added,
        CAST((SELECT count(*) FROM b1) + (SELECT n FROM added) AS BIGINT) AS total"""))
 def q_pool_append(spark, d):
-    """A5 (+F1, F2): second batch appended to a pool holding the first."""
+    """A5 (+F1, F2): all posts appended to a pool that holds those before 1998."""
     p = posts(spark, d).select(F.col("post_id").alias("link"), "post_datetime", "media_type",
                                "likes", "engagement_rate")
     path = _scratch(spark, "pool")
     S.pool_append(p.where(F.col("post_datetime") < F.lit("1998-01-01").cast("timestamp_ntz")), path)
-    return S.pool_append(p.where(F.col("media_type") == "reel").drop("likes"), path)
+    return S.pool_append(p.drop("likes"), path)
 
 
 @register("pool_preview", with_(POSTS_CTE, """
 SELECT post_id AS link, post_datetime AS scraped_at, media_type FROM posts
-WHERE post_datetime < TIMESTAMP '1998-01-01' OR media_type = 'reel'
 ORDER BY post_datetime DESC, post_id LIMIT 50"""))
 def q_pool_preview(spark, d):
     """Last 50 pool rows."""
@@ -222,7 +215,7 @@ def q_pool_preview(spark, d):
                                "media_type")
     path = _scratch(spark, "pool")
     S.pool_append(p.where(F.col("scraped_at") < F.lit("1998-01-01").cast("timestamp_ntz")), path)
-    S.pool_append(p.where(F.col("media_type") == "reel"), path)
+    S.pool_append(p, path)
     return S.pool_preview(spark.read.option("mergeSchema", "true").parquet(path),
                           columns=["link", "scraped_at", "media_type"])
 
@@ -313,16 +306,21 @@ def q_scan_posts(spark, d):
                        "viral_score")
 
 
-@register("predictions_sink", with_(POSTS_CTE, """
+@register("predictions_sink", with_(POSTS_CTE, """,
+m AS (SELECT content_category, media_type, avg(engagement_rate) AS pred FROM posts GROUP BY ALL)
 SELECT post_id, CAST(likes AS VARCHAR) AS likes,
-       CASE WHEN engagement_rate >= 0.08 THEN 'VIRAL' WHEN engagement_rate >= 0.05 THEN 'HIGH'
-            WHEN engagement_rate >= 0.03 THEN 'MEDIUM' WHEN engagement_rate >= 0.01 THEN 'LOW'
-            ELSE 'VERY LOW' END AS engagement_tier FROM posts"""))
+       CASE WHEN pred >= 0.08 THEN 'VIRAL' WHEN pred >= 0.05 THEN 'HIGH'
+            WHEN pred >= 0.03 THEN 'MEDIUM' WHEN pred >= 0.01 THEN 'LOW'
+            ELSE 'VERY LOW' END AS engagement_tier FROM posts JOIN m USING (content_category, media_type)"""))
 def q_predictions_sink(spark, d):
-    """Scored rows written as CSV (overwrite) and read back as text."""
+    """Rows scored by the mean of their category and media type, written as CSV
+    (overwrite) and read back as text."""
     from postlens.functions import columns as C
-    scored = posts(spark, d).select("post_id", "likes",
-                                    C.engagement_band("engagement_rate").alias("engagement_tier"))
+    p = posts(spark, d)
+    means = (p.groupBy("content_category", "media_type")
+             .agg(F.avg("engagement_rate").alias("predicted_engagement")))
+    scored = p.join(means, ["content_category", "media_type"]).select(
+        "post_id", "likes", C.engagement_band("predicted_engagement").alias("engagement_tier"))
     path = _scratch(spark, "sink")
     S.predictions_sink(scored, path)
     return spark.read.option("header", True).csv(path)
@@ -330,9 +328,9 @@ def q_predictions_sink(spark, d):
 
 @register("model_store")
 def q_model_store(spark, d):
-    """A7 + K9: fit, save, load; predictions of the loaded pipeline (compact forest)."""
+    """A7 + K9: the engagement model saved and loaded; predictions of the loaded pipeline."""
     data = N.model_columns(posts(spark, d).withColumnRenamed("post_id", "__pid"))
-    model, metrics, (num, cat) = K.train_engagement_model(data, id_col="__pid", num_trees=20, max_depth=6)
+    model, metrics, (num, cat) = _engagement(spark, d)
     path = _scratch(spark, "model")
     S.model_store_save(model, metrics, path)
     loaded, _ = S.model_store_load(spark, path)
@@ -347,7 +345,7 @@ def q_retrain(spark, d):
     pool = p.where(F.col("media_type") == "reel").select(
         F.col("post_id").alias("link"), "likes", "shares", "saves", "reach", "media_type",
         "content_category", "engagement_rate", F.lit("scraped").alias("label_source"))
-    _, metrics, _ = K.retrain(base, pool, max_depth=6)
+    _, metrics, _ = K.retrain(base, pool)
     return metrics
 
 

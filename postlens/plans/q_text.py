@@ -16,7 +16,7 @@ from postlens.plans.registry import register
 from postlens.plans.sqlbase import with_
 from postlens.session import checkpoint_dir
 from postlens.sources.comments import COMMENTS_SQL, comments_from_tables
-from postlens.sources.corpus import (keyword_trends, labelled_corpus, scan_corpus,
+from postlens.sources.corpus import (keyword_trends, labelled_corpus, polarity_rows, scan_corpus,
                                      write_corpus_from_conversations)
 
 COMMENTS_CTE = f"comments AS ({COMMENTS_SQL})"
@@ -216,9 +216,9 @@ def q_word_bigrams(spark, d):
                     F.md5(F.array_join(terms, "|")).alias("terms_md5"))
 
 
-@register("tfidf", """
-WITH c AS (SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS comment_id, text FROM conversations),
-t AS (SELECT comment_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+'),
+@register("tfidf", f"""WITH {COMMENTS_CTE},
+c AS (SELECT comment_id, comment_text AS text FROM comments),
+t AS (SELECT comment_id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}_]+'),
                                      lambda w: regexp_full_match(w, '[a-z][a-z]+')) AS tk FROM c),
 b AS (SELECT comment_id, unnest(list_concat(tk, list_transform(range(1, len(tk)),
                                                                lambda i: tk[i] || ' ' || tk[i + 1]))) AS term FROM t),
@@ -231,9 +231,8 @@ w AS (SELECT comment_id, term, (1 + ln(tf)) * (ln((1 + n_docs) / (1 + df)) + 1)
 nm AS (SELECT comment_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY comment_id)
 SELECT comment_id, term, round(w / norm, 6) AS weight FROM w JOIN nm USING (comment_id)""")
 def q_tfidf(spark, d):
-    """TF-IDF weights (sublinear tf, smooth idf + 1, L2) over conversations."""
-    c = comments_from_tables(spark, d, which="conversations")
-    return TO.tfidf(c)
+    """TF-IDF weights (sublinear tf, smooth idf + 1, L2) over all comments."""
+    return TO.tfidf(comments_from_tables(spark, d))
 
 
 def _corpus_path(spark, d, with_trends=False):
@@ -242,33 +241,39 @@ def _corpus_path(spark, d, with_trends=False):
     return write_corpus_from_conversations(spark, d, out, trends=trends)
 
 
+# the labelled rows of the corpus: conversation turns, and labelled documents (A10)
+LABELLED_SQL = """SELECT text, 'Relatable' AS label FROM conversations WHERE role = 'user'
+           UNION ALL SELECT text, 'Neutral' FROM conversations WHERE role IS DISTINCT FROM 'user'
+           UNION ALL SELECT d.text, CASE WHEN l.toxic = 1 THEN 'Negative' ELSE 'Positive' END
+                     FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic = 1 OR l.quality = 1"""
+
+
+def _labelled(spark, d):
+    return labelled_corpus(scan_corpus(spark, _corpus_path(spark, d)), polarity_rows(spark, d))
+
+
 @register("scan_corpus", """
 SELECT 'struggle' AS label_source, 'user' AS category, text FROM conversations WHERE role = 'user'
-UNION ALL SELECT 'neutral', NULL, text FROM conversations WHERE role <> 'user'""")
+UNION ALL SELECT 'neutral', NULL, text FROM conversations WHERE role IS DISTINCT FROM 'user'""")
 def q_scan_corpus(spark, d):
     """A2: nested corpus JSON (derived from conversations) → labelled rows."""
     return scan_corpus(spark, _corpus_path(spark, d))
 
 
 @register("labelled_corpus", """
-SELECT label, count(*) AS n FROM (
-  SELECT 'Relatable' AS label FROM conversations WHERE role = 'user'
-  UNION ALL SELECT 'Neutral' FROM conversations WHERE role <> 'user'
-  UNION ALL SELECT 'Positive' FROM range(5) UNION ALL SELECT 'Negative' FROM range(5)) GROUP BY label""")
+SELECT label, count(*) AS n FROM (""" + LABELLED_SQL + """) GROUP BY label""")
 def q_labelled_corpus(spark, d):
     """A10 + D15 inputs: labelled texts per label."""
-    lc = labelled_corpus(scan_corpus(spark, _corpus_path(spark, d)))
+    lc = _labelled(spark, d)
     return lc.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("label_distribution", """
-WITH l AS (SELECT 'Relatable' AS label FROM conversations WHERE role = 'user'
-           UNION ALL SELECT 'Neutral' FROM conversations WHERE role <> 'user'
-           UNION ALL SELECT 'Positive' FROM range(5) UNION ALL SELECT 'Negative' FROM range(5))
+WITH l AS (""" + LABELLED_SQL + """)
 SELECT label, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM l GROUP BY label""")
 def q_label_distribution(spark, d):
     """Label counts and shares of the labelled corpus."""
-    return TO.label_distribution(labelled_corpus(scan_corpus(spark, _corpus_path(spark, d))))
+    return TO.label_distribution(_labelled(spark, d))
 
 
 @register("keyword_trends", with_(VELOCITY, """

@@ -1,13 +1,15 @@
 """Session helpers.
 
 Cluster jobs read ``spark.checkpoint.dir`` from the session (the shared folder
-the cluster names).  Only when it is unset — local tests — do we point it at a
-fresh scratch folder.
+the cluster names).  Only where it is unset and everything runs in one local JVM
+(tests) do we point it at a fresh scratch folder; a cluster without a shared
+folder is refused, since its executors could not read each other's files.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,7 +33,6 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         b = b.master(master)
     conf = dict(LOCAL_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", "16g")
     if extra:
         conf.update(extra)
     for k, v in conf.items():
@@ -51,6 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - Spark Connect has no SparkContext
             d = None
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; on {master or 'a cluster'} it must name a shared folder")
         d = tempfile.mkdtemp(prefix="postlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     try:
@@ -59,3 +63,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # pragma: no cover - Spark Connect has no SparkContext
         pass
     return d
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, on whatever file system it names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

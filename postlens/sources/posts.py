@@ -57,6 +57,7 @@ def posts_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.to_date("l_shipdate").cast("string")).alias("post_id"),
         sk.alias("account_id"),
         (F.col("l_shipdate") + F.make_dt_interval(hours=(pk % 24).cast("int"))).alias("post_datetime"),
+        F.to_date("l_shipdate").alias("post_date"),      # the times of a date lie within it
         F.col("p_type").alias("content_category"),
         F.when(F.col("l_returnflag") == "R", "reel")
          .when(F.col("l_returnflag") == "A", "image").otherwise("carousel").alias("media_type"),
@@ -118,7 +119,8 @@ def scan_posts(spark: SparkSession, path: str, *, fmt: str = "csv",
     """A1: read every file of a posts export (not just the first one).
 
     Header names are trimmed and lower-cased; CSV is read with an explicit
-    schema (no inference pass over 100 TB).  An empty folder raises.
+    schema (no inference pass over 100 TB).  An empty folder raises, and so does
+    a file whose header differs from the others' (its columns would be mixed up).
     """
     if fmt == "csv":
         header = spark.read.option("header", True).csv(path).columns
@@ -126,10 +128,10 @@ def scan_posts(spark: SparkSession, path: str, *, fmt: str = "csv",
             raise FileNotFoundError(f"no rows under {path}")
         cleaned = [c.strip().lower() for c in header]
         by_name = {f.name: f for f in (schema or POSTS_SCHEMA).fields}
-        fields = [T.StructField(c, by_name[c].dataType if c in by_name else T.StringType())
-                  for c in cleaned]
-        df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-              .schema(T.StructType(fields)).csv(path))
+        fields = [T.StructField(h, by_name[c].dataType if c in by_name else T.StringType())
+                  for h, c in zip(header, cleaned)]
+        df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+              .schema(T.StructType(fields)).csv(path).toDF(*cleaned))
     else:
         df = spark.read.format(fmt).load(path)
         df = df.toDF(*[c.strip().lower() for c in df.columns])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.operators.combine import new_only
+from postlens.session import path_exists
 
 LOG_SCHEMA = T.StructType([
     T.StructField("mae", T.DoubleType()), T.StructField("r2", T.DoubleType()),
@@ -27,12 +28,11 @@ def training_log_append(metrics: DataFrame, path: str) -> None:
 def training_log_read(spark: SparkSession, path: str, *, legacy_array: bool = False) -> DataFrame:
     """A4: all runs oldest first; unreadable or missing → empty.  ``legacy_array``
     reads the single pretty-printed JSON array file of the reference."""
-    try:
-        df = (spark.read.schema(LOG_SCHEMA).option("multiLine", legacy_array)
-              .option("mode", "PERMISSIVE").json(path))
-        return df.where(F.col("timestamp").isNotNull()).orderBy("timestamp")
-    except Exception:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], LOG_SCHEMA)
+    df = (spark.read.schema(LOG_SCHEMA).option("multiLine", legacy_array)
+          .option("mode", "PERMISSIVE").json(path))
+    return df.where(F.col("timestamp").isNotNull()).orderBy("timestamp")
 
 
 def pool_append(new: DataFrame, pool_path: str, *, key: str = "link", dedup_batch: bool = False
@@ -41,11 +41,11 @@ def pool_append(new: DataFrame, pool_path: str, *, key: str = "link", dedup_batc
     duplicates inside the batch are kept unless ``dedup_batch``.  Returns a
     one-row frame (added, total) computed after the write."""
     spark = new.sparkSession
-    try:
+    fresh = new
+    if path_exists(spark, pool_path):          # any other failure to read the pool is an error
         existing = spark.read.parquet(pool_path)
-        fresh = new_only(new, existing, key=key) if key in new.columns and key in existing.columns else new
-    except Exception:  # first batch: no pool yet
-        fresh = new
+        if key in new.columns and key in existing.columns:
+            fresh = new_only(new, existing, key=key)
     if dedup_batch and key in fresh.columns:
         fresh = fresh.dropDuplicates([key])
     stage = fresh.withColumn("__added_at", F.current_timestamp()).cache()
@@ -76,26 +76,24 @@ def model_store_save(model: PipelineModel, metrics: DataFrame, path: str) -> Non
 
 
 def model_store_load(spark: SparkSession, path: str):
-    """(model, metrics) or None when absent / unreadable (caller trains)."""
-    try:
-        return PipelineModel.load(f"{path}/pipeline"), spark.read.json(f"{path}/metrics")
-    except Exception:
+    """(model, metrics), or None when it is not there or was not written to the end
+    (the caller trains)."""
+    if not (path_exists(spark, f"{path}/pipeline/metadata/_SUCCESS") and path_exists(spark, f"{path}/metrics/_SUCCESS")):
         return None
+    return PipelineModel.load(f"{path}/pipeline"), spark.read.json(f"{path}/metrics")
 
 
 def input_fingerprint(*frames: DataFrame) -> str:
     """Stable key of the files behind some DataFrames (name, size, mtime)."""
     import hashlib
-    import os
     parts = []
     for f in frames:
+        spark = f.sparkSession
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in sorted(f.inputFiles()):
-            local = path[len("file:"):] if path.startswith("file:") else path
-            try:
-                st = os.stat(local)
-                parts.append(f"{path}:{st.st_size}:{int(st.st_mtime)}")
-            except OSError:          # non-local file system: the listing is the key
-                parts.append(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            st = p.getFileSystem(conf).getFileStatus(p)
+            parts.append(f"{path}:{st.getLen()}:{st.getModificationTime()}")
     return hashlib.md5("|".join(parts).encode()).hexdigest()
 
 

@@ -11,6 +11,6 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from postlens.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8)
+    s = get_session("local[4]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     yield s
     s.stop()

@@ -11,7 +11,7 @@ from postlens.operators import trend as T
 from postlens.plans.q_core import posts
 from postlens.session import checkpoint_dir
 from postlens.sources import store as S
-from postlens.sources.corpus import (keyword_trends, labelled_corpus, scan_corpus,
+from postlens.sources.corpus import (keyword_trends, labelled_corpus, polarity_rows, scan_corpus,
                                      write_corpus_from_conversations)
 from tests.conftest import SF_SMALL
 
@@ -35,7 +35,7 @@ def test_keyword_trends_and_corpus(spark):
     kw = keyword_trends(spark, path)
     assert kw.count() == trends.count()
     assert set(r.direction for r in kw.collect()) <= {"rising", "declining"}
-    corpus = labelled_corpus(scan_corpus(spark, path))
+    corpus = labelled_corpus(scan_corpus(spark, path), polarity_rows(spark, SF_SMALL))
     assert {r.label for r in corpus.select("label").distinct().collect()} == {
         "Relatable", "Neutral", "Positive", "Negative"}
 

@@ -49,7 +49,7 @@ def test_high_value_ratio_zero_actions(spark):
 
 def test_average_rank_percentile_ties(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (3.0,)], "v double")
-    out = O.avg_percent_rank(df, "v", "pct", ranks=O.value_ranks(df, "v", buckets=3))
+    out = O.avg_percent_rank(df, "v", "pct", ranks=O.value_ranks(df, "v", ranges=3))
     got = sorted((r.v, r.pct) for r in out.collect())
     assert got == [(1.0, 25.0), (2.0, 62.5), (2.0, 62.5), (3.0, 100.0)]
 
@@ -180,8 +180,8 @@ def test_percent_rank_range_and_tier_counts(spark):
 
 def test_multi_bucket_ranks_equal_single_bucket(spark):
     df = spark.createDataFrame([(float((i * 7919) % 503) / 7,) for i in range(3000)], "v double")
-    one = O.value_ranks(df, "v", buckets=1).orderBy("v").collect()
-    many = O.value_ranks(df, "v", buckets=13).orderBy("v").collect()
+    one = O.value_ranks(df, "v", ranges=1).orderBy("v").collect()
+    many = O.value_ranks(df, "v", ranges=13).orderBy("v").collect()
     assert one == many
 
 
