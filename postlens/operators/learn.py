@@ -170,7 +170,7 @@ def batch_predict(model: PipelineModel, df: DataFrame, cat: Sequence[str] = (),
 
 # ---------------------------------------------------------------- K6 / K8 / J4
 def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("__terms", TX.word_bigrams(text))
+    return df.withColumn("__terms", TX.word_bigrams(F.coalesce(F.col(text), F.lit(""))))   # null: no terms
 
 
 def fit_comment_classifier(corpus: DataFrame, *, text: str = "text", label: str = "label",

@@ -32,6 +32,20 @@ def polarity(text, lexicon: Mapping[str, float] | None) -> "F.Column":
     return F.round(x / F.sqrt(x * x + POLARITY_ALPHA), 3)
 
 
+def lexicon_scores(df: DataFrame, lexicon: DataFrame, *, id_col: str = "comment_id",
+                   text: str = "comment_text") -> DataFrame:
+    """J3 with a lexicon table (term, weight) of any size: (id, vader_compound).  A text's
+    words are counted first, so the join sees each of them once; texts without a
+    listed word score 0."""
+    toks = F.regexp_extract_all(F.lower(TX._c(text)), F.lit(r"([\p{L}\p{N}_']+)"), 1)
+    words = (df.select(id_col, F.explode(toks).alias("term")).groupBy(id_col, "term")
+             .agg(F.count(F.lit(1)).alias("n")))
+    x = (words.join(lexicon.select("term", F.col("weight").cast("double").alias("w")), "term")
+         .groupBy(id_col).agg(F.sum(F.col("n") * F.col("w")).alias("x")))
+    score = F.col("x") / F.sqrt(F.col("x") * F.col("x") + POLARITY_ALPHA)
+    return df.select(id_col).join(x, id_col, "left").select(id_col, F.coalesce(F.round(score, 3), F.lit(0.0)).alias("vader_compound"))
+
+
 def tag_comments(df: DataFrame, *, text: str = "comment_text",
                  lexicon: Mapping[str, float] | None = None,
                  struggle=TX.STRUGGLE_WORDS, phrases=TX.RELATABLE_PHRASES,

@@ -361,6 +361,6 @@ def q_score_stream(spark, d):
     src, out, chk = _scratch(spark, "src"), _scratch(spark, "scored"), _scratch(spark, "chk")
     rows.write.parquet(src)
     stream = ST.read_stream(spark, src, spark.read.parquet(src).schema)
-    scored = ST.score_stream(stream, model).select("link", "prediction")
+    scored = ST.score_stream(stream, model, cat_features=cat)
     ST.run_to_files(scored, out, chk)
     return spark.read.parquet(out)

@@ -37,7 +37,7 @@ x AS (SELECT last_start - INTERVAL '{slide}' * k AS window_start, event_type, va
       FROM b, range(0, CAST(epoch(INTERVAL '{size}') / epoch(INTERVAL '{slide}') AS BIGINT)) r(k)),
 y AS (SELECT * FROM x WHERE ts >= window_start AND ts < window_start + INTERVAL '{size}')
 SELECT window_start, window_start + INTERVAL '{size}' AS window_end, event_type,
-       round(avg(value), 6) AS avg_metric, count(*) AS n
+       round(CAST(sum(CAST(value AS DECIMAL(28,9))) AS DOUBLE) / count(value), 6) AS avg_metric, count(*) AS n
 FROM y GROUP BY window_start, event_type
 HAVING window_start + INTERVAL '{size}' <= (SELECT wm FROM wm)"""
 

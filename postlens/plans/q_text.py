@@ -113,6 +113,13 @@ def q_polarity(spark, d):
     return c.select("comment_id", TO.polarity("comment_text", PROSE_LEXICON).alias("vader_compound"))
 
 
+@register("polarity_table", _pol_sql(PROSE_LEXICON))
+def q_polarity_table(spark, d):
+    """The same with the lexicon as a table."""
+    lexicon = spark.createDataFrame(sorted(PROSE_LEXICON.items()), "term string, weight double")
+    return TO.lexicon_scores(comments_from_tables(spark, d), lexicon)
+
+
 @register("caption_features", f"""WITH {COMMENTS_CTE}
 SELECT comment_id, CAST({_sql_hits(TX.CTA_PHRASES, "lower(coalesce(comment_text, ''))")} > 0 AS INTEGER) AS has_cta,
        CAST(len(regexp_extract_all(coalesce(comment_text, ''), '#[\\p{{L}}\\p{{N}}_]+')) AS BIGINT) AS hashtags_count,
