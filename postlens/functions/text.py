@@ -102,22 +102,25 @@ def any_hit(text, words: Sequence[str], *, lowered: bool = False) -> Column:
 
 def relatability_score(text, *, struggle: Sequence[str] = STRUGGLE_WORDS,
                        phrases: Sequence[str] = RELATABLE_PHRASES,
-                       empathy: Sequence[str] = EMPATHY_MARKERS, lowered: bool = False) -> Column:
-    """Capped weighted hit counts + question bonus, at most 100."""
+                       empathy: Sequence[str] = EMPATHY_MARKERS, lowered: bool = False,
+                       hits: Sequence[str] | None = None) -> Column:
+    """Capped weighted hit counts + question bonus, at most 100.  ``hits``: columns
+    that hold the three counts already."""
     t = _c(text) if lowered else F.lower(_c(text))
-    parts = []
-    for words, (w, cap) in zip((struggle, phrases, empathy), RELATABILITY_PARTS):
-        parts.append(F.least(hit_count(t, words, lowered=True) * w, F.lit(cap)))
+    counts = [F.col(h) for h in hits] if hits else [hit_count(t, w, lowered=True) for w in (struggle, phrases, empathy)]
+    parts = [F.least(n * w, F.lit(cap)) for n, (w, cap) in zip(counts, RELATABILITY_PARTS)]
     q = F.when(t.rlike(QUESTION_PATTERN), F.lit(QUESTION_BONUS)).otherwise(F.lit(0))
     return F.least((parts[0] + parts[1] + parts[2] + q).cast("double"), F.lit(100.0))
 
 
 def marker_flags(text, *, struggle=STRUGGLE_WORDS, phrases=RELATABLE_PHRASES,
-                 empathy=EMPATHY_MARKERS, lowered: bool = False) -> dict[str, Column]:
+                 empathy=EMPATHY_MARKERS, lowered: bool = False,
+                 hits: Sequence[str] | None = None) -> dict[str, Column]:
     """0/1 flags for any struggle word / relatable phrase / empathy marker."""
-    return {"has_struggle_word": any_hit(text, struggle, lowered=lowered).cast("int"),
-            "has_relatable_phrase": any_hit(text, phrases, lowered=lowered).cast("int"),
-            "has_empathy_marker": any_hit(text, empathy, lowered=lowered).cast("int")}
+    names = ("has_struggle_word", "has_relatable_phrase", "has_empathy_marker")
+    if hits:
+        return {n: F.coalesce(F.col(h) > 0, F.lit(False)).cast("int") for n, h in zip(names, hits)}
+    return {n: any_hit(text, w, lowered=lowered).cast("int") for n, w in zip(names, (struggle, phrases, empathy))}
 
 
 def detect_cta(caption, phrases: Sequence[str] = CTA_PHRASES) -> Column:

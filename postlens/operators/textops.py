@@ -53,12 +53,13 @@ def tag_comments(df: DataFrame, *, text: str = "comment_text",
     """J1 + J2 + J3: relatability (rounded to 1), polarity and marker flags.
     The classifier label is added by ``learn.classify_comments`` (J4)."""
     low = df.withColumn("__lt", F.lower(F.col(text)))       # lower-case each text once
+    hits = ["__h0", "__h1", "__h2"]                          # search each text for each phrase once
+    low = low.withColumns({h: TX.hit_count("__lt", w, lowered=True) for h, w in zip(hits, (struggle, phrases, empathy))})
     return low.withColumns({
         "vader_compound": polarity(text, lexicon),
-        "relatability_score": F.round(TX.relatability_score("__lt", struggle=struggle, phrases=phrases,
-                                                            empathy=empathy, lowered=True), 1),
-        **TX.marker_flags("__lt", struggle=struggle, phrases=phrases, empathy=empathy, lowered=True),
-    }).drop("__lt")
+        "relatability_score": F.round(TX.relatability_score("__lt", lowered=True, hits=hits), 1),
+        **TX.marker_flags("__lt", hits=hits),
+    }).drop("__lt", *hits)
 
 
 def problem_awareness(df: DataFrame, *, category: str = "content_category",
