@@ -113,23 +113,19 @@ def top_comments(tagged: DataFrame, *, k: int = 10, label: str = "label",
                     "vader_compound", "confidence"))
 
 
-def term_counts(df: DataFrame, *, id_col: str, text: str) -> DataFrame:
-    """(id, term, tf) of unigrams + bigrams."""
-    return (df.select(id_col, F.explode(TX.word_bigrams(text)).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-
-
 def tfidf(df: DataFrame, *, id_col: str = "comment_id", text: str = "comment_text",
           vocab_size: int = 5000) -> DataFrame:
     """Sublinear tf × smooth idf over the ``vocab_size`` most frequent
     terms, L2-normalised per document.  Rows: (id, term, weight)."""
-    # term counts feed the vocabulary and the weights: tokenize the text once
+    # the vocabulary first (one aggregate over terms), so that only its terms are ever
+    # counted per document
     from postlens.operators.orderstats import materialized
-    tc = materialized(term_counts(df, id_col=id_col, text=text))
+    terms = df.select(id_col, F.explode(TX.word_bigrams(text)).alias("term"))
+    vocab = materialized(terms.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
+                         .orderBy(F.col("total").desc(), F.col("term")).limit(vocab_size).select("term"))  # ≤ vocab_size rows
+    tc = materialized(terms.join(F.broadcast(vocab), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))          # one row
-    stats = tc.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
-    vocab = stats.orderBy(F.col("total").desc(), F.col("term")).limit(vocab_size)  # ≤ vocab_size rows
-    idf = vocab.withColumn("n_docs", n_docs.scalar()).select(
+    idf = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n_docs", n_docs.scalar()).select(
         "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = (tc.join(F.broadcast(idf), "term")
          .select(id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
@@ -161,3 +157,24 @@ def page_posts(pages: DataFrame, *, url: str = "url", html: str = "html") -> Dat
         F.col(url).alias("link"), TX.post_kind(url).alias("media_type"), cap.alias("caption"),
         F.length(cap).alias("caption_length"), TX.count_hashtags(cap).alias("hashtags_count"),
         TX.count_mentions(cap).alias("at_mentions"), TX.detect_cta(cap).alias("has_cta"))
+
+
+# where a stored page states its numbers, time and account; the first group is the value
+PAGE_PATTERNS = {
+    "likes": r"([\d.,]+\s?[KkMm]?)\s+likes?\b",
+    "comments_count": r"([\d.,]+\s?[KkMm]?)\s+comments?\b",
+    "views": r"([\d.,]+\s?[KkMm]?)\s+(?:views?|plays?)\b",
+    "post_datetime": r'<time[^>]*\bdatetime="([^"]+)"',
+    "username": r'\brel="author"[^>]*>\s*@?([\w.]+)',
+}
+COUNT_FIELDS = ("likes", "comments_count", "views")
+
+
+def page_fields(pages: DataFrame, *, html: str = "html", patterns: Mapping[str, str] | None = None) -> DataFrame:
+    """J14 + J9: the counts, time text and account that stored pages state, as further
+    columns; null where a page does not state one."""
+    out = {}
+    for name, pattern in (patterns or PAGE_PATTERNS).items():
+        text = F.nullif(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), pattern, 1), F.lit(""))
+        out[name] = F.when(text.isNotNull(), TX.parse_count(text)) if name in COUNT_FIELDS else text
+    return pages.withColumns(out)

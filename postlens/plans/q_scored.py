@@ -127,6 +127,26 @@ def _scraped(spark, d):
         F.when(F.col("saves") % 2 == 0, F.col("impressions")).otherwise(0).alias("views"))
 
 
+@register("page_fields", with_(POSTS_CTE, """
+SELECT post_id, likes, coalesce(comments, 0) AS comments_count, CASE WHEN saves % 2 = 0 THEN impressions END AS views,
+       CAST(account_id AS VARCHAR) AS username,
+       CASE WHEN saves % 3 = 0 THEN 9 ELSE hour(post_datetime) END AS hour,
+       CASE WHEN saves % 3 = 0 THEN 16 ELSE weekofyear(post_datetime) END AS week FROM posts"""))
+def q_page_fields(spark, d):
+    """J14 + J9 + M6: pages written from the posts (counts with thousands marks, now and then
+    without views or a time), and their fields read back from the html."""
+    p = posts(spark, d)
+    when = F.date_format("post_datetime", "yyyy-MM-dd'T'HH:mm:ss")
+    html = F.concat(
+        F.lit('<article><a rel="author" href="/u">@'), F.col("account_id").cast("string"), F.lit("</a><p>"),
+        F.format_number("likes", 0), F.lit(" likes</p><p>"), F.format_number(F.coalesce("comments", F.lit(0)), 0),
+        F.lit(" comments</p>"),
+        F.when(F.col("saves") % 2 == 0, F.concat(F.lit("<p>"), F.format_number("impressions", 0), F.lit(" views</p>"))).otherwise(""),
+        F.when(F.col("saves") % 3 != 0, F.concat(F.lit('<time class="t" datetime="'), when, F.lit('">then</time>'))).otherwise(""))
+    pages = p.select("post_id", html.alias("html"))
+    return M.post_time_fields(TO.page_fields(pages)).select("post_id", "likes", "comments_count", "views", "username", "hour", "week")
+
+
 @register("score_posts_formula", with_(POSTS_CTE, _PAGES + "SELECT * FROM scored"))
 def q_score_posts_formula(spark, d):
     """M4 + M5 + B11 + B12 on scraped rows, with a formula as the model."""
