@@ -15,7 +15,8 @@ several documents is a repeat; runs of neighbouring places are the maximal repea
     documents hold is sent once per piece.
 3.  Subtrees.  A group sorts its suffixes by their path code, which puts the leaves of a
     node side by side, and every leaf whose document is not the node's least one is covered.
-4.  The covered places go back to their documents and the words under them are removed.
+4.  The covered places go back to their documents, a row per piece and group, and the words
+    under them are removed.
 
 Path codes have so many bits that two different windows of the whole corpus share one with
 a probability below 2^-8.  Windows are judged on the input.  Null ids take no part (nothing
@@ -90,13 +91,12 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1))
 
 
-_SENT = "g long, n int, code binary, doc binary, part binary, place binary"
+_SENT = "g long, piece long, n int, code binary, doc binary, part binary, place binary"
 
 
 def _send(ids: np.ndarray, parts: np.ndarray, texts: list, window: int, counts: dict[int, np.ndarray],
-          groups: int, size: int, spare: int) -> Iterator[tuple]:
-    """Rows for the groups from one piece of the input; ``spare`` picks the group that gets
-    what is known already to be covered."""
+          groups: int, size: int) -> Iterator[tuple]:
+    """Rows for the groups from one piece of the input."""
     w = Words(texts)
     at = np.flatnonzero(w.inside(window))
     if not len(at):
@@ -116,25 +116,30 @@ def _send(ids: np.ndarray, parts: np.ndarray, texts: list, window: int, counts:
     least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
     covered = np.zeros(len(at), bool)
     covered[order] = doc[order] > least
-    group = np.where(covered, groups + spare % groups, group)
+    # the key brings a piece's places together again; what is covered already takes part in
+    # that only, by a group number beyond the groups
+    piece = int(mix(np.array([ids[0] * 31 + parts[0]], np.int64).view(np.uint64)).view(np.int64)[0])
+    group = np.where(covered, groups + piece % groups, group)
     order = np.argsort(group, kind="stable")
     cut = np.flatnonzero(np.diff(group[order], prepend=-1))
     raw = np.stack(code, axis=1)[order].astype("<u8").view(np.uint8).reshape(len(at), -1)[:, :size]
     doc, part, place = doc[order], part[order], place[order]
     for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
         g = int(group[order[lo]])
-        yield (g, hi - lo, raw[lo:hi].tobytes() if g < groups else b"", _planes(doc[lo:hi]),
+        yield (g, piece, hi - lo, raw[lo:hi].tobytes() if g < groups else b"", _planes(doc[lo:hi]),
                _planes(part[lo:hi]), _planes(place[lo:hi]))
 
 
 _COVERED = "id long, part long, places array<int>"
+_BACK = "piece long, doc binary, part binary, place binary"
 
 
-def _runs(doc: np.ndarray, part: np.ndarray, place: np.ndarray) -> pa.Table:
+def _by_text(t: pa.Table) -> pa.Table:
+    """The covered places of a piece, one row per text."""
+    doc, part, place = (np.concatenate([_from_planes(x.as_py()) for x in t[c]]) for c in ("doc", "part", "place"))
     order = np.lexsort((place, part, doc))
     doc, part, place = doc[order], part[order], place[order]
-    fresh = np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]) if len(doc) else np.zeros(0, bool)
-    at = np.flatnonzero(fresh)
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(place, pa.int32()))
     return pa.table({"id": pa.array(doc[at]), "part": pa.array(part[at]), "places": lists})
 
@@ -148,37 +153,39 @@ def covered_places(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     size = max(7, -(-bits // 8))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
         for b in batches:
             ids, parts = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = b.column(2).to_pylist()
             for lo, hi in chunks(texts, _CHUNK):
-                turn += 1
-                rows = list(_send(ids[lo:hi], parts[lo:hi], texts[lo:hi], window, counts, groups, size,
-                                  int(ids[lo]) + turn))
+                rows = list(_send(ids[lo:hi], parts[lo:hi], texts[lo:hi], window, counts, groups, size))
                 if rows:
                     cols = list(zip(*rows))
-                    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 4
+                    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                                     ["g", "n", "code", "doc", "part", "place"])
+                                                     ["g", "piece", "n", "code", "doc", "part", "place"])
 
     def subtrees(t: pa.Table) -> pa.Table:
         column = lambda c: np.concatenate([_from_planes(x.as_py()) for x in t[c]])
         doc, part, place = column("doc"), column("part"), column("place")
+        row = np.repeat(np.arange(t.num_rows), t["n"].to_numpy())
         if t["g"][0].as_py() < groups:
             raw = np.frombuffer(b"".join(x.as_py() for x in t["code"]), np.uint8).reshape(-1, size)
             wide = np.zeros((len(raw), 16), np.uint8)
             wide[:, :size] = raw
-            low, high = np.ascontiguousarray(wide.view("<u8")).T
+            low, high = np.ascontiguousarray(wide.view("<u8").T)
             order = np.argsort(low, kind="stable") if size <= 8 else np.lexsort((high, low))
             low, high = low[order], high[order]
             fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
             least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-            hit = order[doc[order] > least]
-            doc, part, place = doc[hit], part[hit], place[hit]
-        return _runs(doc, part, place)
-    return docs.mapInArrow(send, _SENT).groupBy("g").applyInArrow(subtrees, _COVERED)
-
+            hit = np.sort(order[doc[order] > least])
+            doc, part, place, row = doc[hit], part[hit], place[hit], row[hit]
+        at = np.flatnonzero(np.diff(row, prepend=-1))
+        spans = list(zip(at, [*at[1:], len(row)]))
+        planes = lambda x: pa.array([_planes(x[i:j]) for i, j in spans], pa.binary())
+        return pa.table({"piece": t["piece"].take(pa.array(row[at], pa.int64())), "doc": planes(doc),
+                         "part": planes(part), "place": planes(place)})
+    back = docs.mapInArrow(send, _SENT).groupBy("g").applyInArrow(subtrees, _BACK)
+    return back.groupBy("piece").applyInArrow(_by_text, _COVERED)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
