@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.scalars import scalar_struct
+from postlens.session import stage_path
 
 PER_RANGE = 200_000        # distinct values that one window task ranks, about
 
@@ -32,10 +33,7 @@ def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and read
     it back: one pass (a reliable ``checkpoint()`` computes its input twice),
     lineage cut, and the files survive the loss of any executor."""
-    import os
-    import uuid
-    from postlens.session import checkpoint_dir
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"stage-{uuid.uuid4().hex}")
+    path = stage_path(df.sparkSession)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -149,14 +149,15 @@ def page_links(pages: DataFrame, *, html: str = "html", page_id: str = "page_id"
     return first.withColumn("media_type", TX.post_kind("link"))
 
 
-def page_posts(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+def page_posts(pages: DataFrame, *, url: str = "url", html: str = "html", keep=()) -> DataFrame:
     """J14 + J6-J10: one scraped-post row per stored page — link, kind, caption
-    (page title) and the caption-derived fields."""
+    (page title) and the caption-derived fields, and the columns ``keep`` (as those of
+    ``page_fields``)."""
     cap = F.regexp_extract(F.col(html), r"<title>(.*?)</title>", 1)
     return pages.select(
         F.col(url).alias("link"), TX.post_kind(url).alias("media_type"), cap.alias("caption"),
         F.length(cap).alias("caption_length"), TX.count_hashtags(cap).alias("hashtags_count"),
-        TX.count_mentions(cap).alias("at_mentions"), TX.detect_cta(cap).alias("has_cta"))
+        TX.count_mentions(cap).alias("at_mentions"), TX.detect_cta(cap).alias("has_cta"), *keep)
 
 
 # where a stored page states its numbers, time and account; the first group is the value

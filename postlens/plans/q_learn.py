@@ -175,8 +175,9 @@ def _scored_pages(spark, d):
     p = posts(spark, d)
     model, _, (num, cat) = _engagement(spark, d)
     defaults = M.column_defaults(p)
-    pages = TO.page_posts(spark.read.parquet(f"{d}/pages.parquet"))
-    return M.score_posts(pages, model, defaults, cat_features=cat, features=num + cat, hashtag="fitness")
+    pages = TO.page_posts(TO.page_fields(spark.read.parquet(f"{d}/pages.parquet")), keep=list(TO.PAGE_PATTERNS))
+    return M.score_posts(M.post_time_fields(pages), model, defaults, cat_features=cat, features=num + cat,
+                         hashtag="fitness", keep=("username", "post_datetime"))
 
 
 @register("score_posts")

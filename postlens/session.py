@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -65,6 +66,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_STAGES: list[str] = []
+
+
+def stage_path(spark: SparkSession, tag: str = "stage") -> str:
+    """A new path in the shared folder for an intermediate result, noted for ``clear_stages``."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _STAGES.append(path)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete the intermediate results that this process has written so far; call it when
+    the frames built on them are no longer needed.  Returns their number."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _STAGES:
+        p = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+        done += bool(p.getFileSystem(conf).delete(p, True))
+    return done
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
     jvm = spark.sparkContext._jvm

@@ -109,6 +109,21 @@ def test_a_cluster_needs_a_shared_folder():
         SE.checkpoint_dir(Session())
 
 
+def test_stages_can_be_cleared(spark):
+    df = O.materialized(spark.range(3))
+    assert df.count() == 3 and SE.clear_stages(spark) >= 1
+    assert SE.clear_stages(spark) == 0
+
+
+def test_fields_stated_on_a_page(spark):
+    from postlens.operators import textops as TO
+    page = ('<a rel="author" href="/u">@ann_b</a> 1.2K likes, 1,234 comments <b>3M</b> 15 views'
+            '<time class="x" datetime="2024-05-06T07:08:09">ago</time>')
+    r = TO.page_fields(spark.createDataFrame([(page,), ("",), (None,)], "html string")).collect()
+    assert tuple(r[0])[1:] == (1200, 1234, 15, "2024-05-06T07:08:09", "ann_b")
+    assert all(v is None for row in r[1:] for v in tuple(row)[1:])
+
+
 @pytest.fixture
 def written_plans(monkeypatch):
     """The plans of the stages that a query writes while it is built."""
