@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import gc
 import struct
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from postlens.session import checkpoint_dir
+from postlens.session import stage_path
 
 #: Bytes of text that a task turns into arrays at a time (longer texts go alone).
 CHUNK_BYTES = 2_000_000
@@ -24,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stage(df: DataFrame, tag: str = "llm") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: its input is
     computed once, the lineage is cut, and lost executors cost nothing."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
