@@ -76,13 +76,21 @@ def stage_path(spark: SparkSession, tag: str = "stage") -> str:
     return path
 
 
-def clear_stages(spark: SparkSession) -> int:
-    """Delete the intermediate results that this process has written so far; call it when
-    the frames built on them are no longer needed.  Returns their number."""
+def stage_mark() -> int:
+    """The number of intermediate results noted so far."""
+    return len(_STAGES)
+
+
+def clear_stages(spark: SparkSession, since: int = 0, but_last: int = 0) -> int:
+    """Delete the intermediate results noted after the mark ``since`` (all of them by
+    default), but the last few; call it when no frame that is still needed is built on
+    them.  Returns their number."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = _STAGES[since:len(_STAGES) - but_last]
+    del _STAGES[since:len(_STAGES) - but_last]
     done = 0
-    while _STAGES:
-        p = jvm.org.apache.hadoop.fs.Path(_STAGES.pop())
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
         done += bool(p.getFileSystem(conf).delete(p, True))
     return done
 
