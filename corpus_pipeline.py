@@ -17,6 +17,7 @@ from postlens.llm.op3_near_dedup import near_duplicates
 from postlens.llm.op6_language import fit, held_out, predict
 from postlens.llm.op9_packing import pack, token_pieces
 from postlens.llm.registry import register
+from postlens.session import clear_stages, stage_mark
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: a document whose best language is less likely than that is rejected, too
@@ -58,7 +59,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
+        mark = stage_mark()
         docs = stage(step(spark, docs, sf_dir), name)
+        clear_stages(spark, mark, but_last=1)
     return docs
 
 

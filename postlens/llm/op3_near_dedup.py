@@ -8,16 +8,19 @@ linked if 100 * shared >= 75 * all.
     slots each are made from it.  Sets that are equal fall together by fingerprint and go
     on as one (their least id), so groups of exact copies never meet in a bucket.
 2.  The keys are sorted in a shuffle, and a streaming pass keeps the buckets that hold two
-    or more sets.
-3.  Every set of a bucket is verified on the full sets against the bucket's least one.
-4.  The links are grouped.  A bucket that still spans several components has pairs that
-    could be links: small buckets give all such pairs, large ones take ``CENTRES`` more of
-    their sets per round as centres.  This repeats until no untested pair of a bucket lies
-    in two components, so no candidate link that could join components is left out, and a
-    group is never expanded into all its pairs.
-
-A pair just at the threshold shares a bucket with a probability of about 0.9999.  The sets
-that are compared hold 40 bits per element.
+    or more sets.  Sets that are joined by buckets form a candidate group.
+3.  Candidate groups of up to ``LOCAL`` elements in all are dealt over tasks whole.  A task verifies the
+    pairs of each bucket on the full sets and groups them by union-find, leaving out pairs
+    that are in one component already.
+4.  Larger candidate groups are never brought together.  Buckets of up to ``SMALL`` sets
+    give their pairs, larger ones compare every set with the least one, and the pairs are
+    verified in a join.  A large bucket that still spans several components takes
+    ``CENTRES`` more of its sets as centres per round, until no untested pair of it lies in
+    two components.
+
+So no candidate link that could join components is left out, and no group is expanded into
+all its pairs.  A pair just at the threshold shares a bucket with a probability of about
+0.9999.  The sets that are compared hold 40 bits per element.
 
 Null ids take no part: component null, kept.  Rows of equal id are one document with
 several texts, each returning a row.
@@ -26,6 +29,7 @@ several texts, each returning a row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,14 @@ from postlens.llm.common import Words, chunks, map_arrow, mix, release, stage, t
 from postlens.llm.components import components
 from postlens.llm.registry import register
 from postlens.llm.superminhash import SLOTS, signatures
+from postlens.session import clear_stages, stage_mark
 
 SHINGLE = 5
 PERCENT = 75
-BANDS, ROWS = 128, 8
-SMALL = 24             #: a bucket of so many sets gives all its open pairs at once
+BANDS, ROWS = 96, 8
+LOCAL = 6_000_000      #: elements of a candidate group that one task takes whole
+TASK = 3_000_000       #: elements of the groups that one task takes, about
+SMALL = 24             #: in larger groups, a bucket of so many sets gives all its pairs
 CENTRES = 16           #: further centres that a larger bucket takes per round
 _CHUNK = 600_000
 
@@ -149,47 +156,122 @@ def set_rows(docs: DataFrame, *, k: int = SHINGLE) -> DataFrame:
     return map_arrow(docs, fn, "id long, elements binary")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _group(ids: list[int], sets: list[np.ndarray], keys: list[np.ndarray], percent: int) -> list[int]:
+    """The root of each set of one candidate group: its buckets' pairs verified as far as
+    they could join components."""
+    up = list(range(len(ids)))
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+    tested: set[tuple[int, int]] = set()
+
+    def link(i, j):
+        a, b = find(i), find(j)
+        if a == b or (i, j) in tested:
+            return
+        tested.add((i, j))
+        if _linked(sets[i], sets[j], percent):
+            up[max(a, b)] = min(a, b)
+    for i in range(1, len(ids)):               # several texts of one id
+        if ids[i] == ids[i - 1]:
+            up[i] = find(i - 1)
+    key = np.concatenate(keys)
+    of = np.repeat(np.arange(len(ids)), [len(k) for k in keys])
+    order = np.lexsort((of, key))
+    cut = np.flatnonzero(np.diff(key[order])) + 1
+    buckets = [m for m in np.split(of[order], cut) if len(m) > 1]
+    buckets = [list(m) for m in {tuple(m.tolist()) for m in buckets}]
+    for m in buckets:                          # against the least one first
+        for j in m[1:]:
+            link(m[0], j)
+    for m in buckets:                          # then what still spans components
+        parts: dict[int, list[int]] = {}
+        for i in m:
+            parts.setdefault(find(i), []).append(i)
+        if len(parts) > 1:
+            for n, i in enumerate(m):
+                for j in m[n + 1:]:
+                    link(i, j)
+    return [ids[find(i)] for i in range(len(ids))]
+
+
+def group_locally(rows: DataFrame, n_groups: int, percent: int) -> DataFrame:
+    """rows(id, root, elements, keys) of whole candidate groups -> (node, root)."""
+    def fn(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("root", "ascending"), ("id", "ascending")])
+        root, ids = t["root"].to_numpy(), t["id"].to_numpy()
+        sets, keys = t["elements"], t["keys"]
+        out: list[int] = []
+        cut = [0, *(np.flatnonzero(np.diff(root)) + 1).tolist(), len(root)]
+        for lo, hi in pairwise(cut):
+            out += _group(ids[lo:hi].tolist(), [_unpack40(sets[i].as_py()) for i in range(lo, hi)],
+                          [np.asarray(keys[i].values, np.int64) for i in range(lo, hi)], percent)
+        return pa.table({"node": pa.array(ids), "root": pa.array(out, pa.int64())})
+    dealt = rows.select(F.pmod(F.xxhash64("root"), F.lit(n_groups)).alias("g"), "root", "id", "elements", "keys")
+    return dealt.groupBy("g").applyInArrow(fn, "node long, root long")
+
+
 def verify(pairs: DataFrame, sets: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """pairs(a, b) that are links by their full sets."""
     one = sets.select(F.col("id").alias("a"), F.col("elements").alias("set_a"))
     two = sets.select(F.col("id").alias("b"), F.col("elements").alias("set_b"))
 
     def fn(t: pa.RecordBatch) -> pa.RecordBatch:
-        ok = np.zeros(t.num_rows, bool)
-        before, x = None, None
-        for i, (a, sa, sb) in enumerate(zip(t.column(0).to_pylist(), t.column(2), t.column(3))):
-            if a != before or x[0] != sa:
-                before, x = a, (sa, _unpack40(sa.as_py()))
-            y = _unpack40(sb.as_py())
-            both = len(np.intersect1d(x[1], y, assume_unique=True))
-            ok[i] = 100 * both >= percent * (len(x[1]) + len(y) - both)
-        return t.select(["a", "b"]).filter(pa.array(ok))
+        ok = [_linked(_unpack40(x.as_py()), _unpack40(y.as_py()), percent) for x, y in zip(t.column(2), t.column(3))]
+        return t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     rows = pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b")
     return map_arrow(rows, fn, "a long, b long").distinct()
 
 
-def open_pairs(buckets: DataFrame, roots: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of a bucket that lie in two components, centres taken now)."""
-    rows = (buckets.join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-            .select("key", "id", F.coalesce("root", "id").alias("root")))
-    spans = (rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"),
-                                     F.count("*").alias("n")).where("low < high"))
-    rows = stage(rows.join(spans.select("key", "low", "n"), "key"), "open")
-    small, large = rows.where(F.col("n") <= SMALL), rows.where(F.col("n") > SMALL)
+def group_widely(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """buckets(key, id, centre) of large candidate groups -> (node, root)."""
+    spark = buckets.sparkSession
+    size = buckets.groupBy("key").agg(F.count("*").alias("n"))
+    small = stage(buckets.join(size.where(F.col("n") <= SMALL), "key").select("key", "id"), "small")
+    large = stage(buckets.join(size.where(F.col("n") > SMALL), "key").select("key", "id", "centre"), "large")
+    pairs = (small.select("key", F.col("id").alias("a")).join(small.select("key", F.col("id").alias("b")), "key")
+             .where("a < b").select("a", "b")
+             .unionByName(large.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))).distinct())
+    links = tested = used = None
     turn = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-    centres = (large.where("root <> low").join(used, ["key", "id"], "left_anti")
-               .withColumn("turn", turn).where(F.col("turn") <= CENTRES))
-    centres = stage(centres.select("key", "id", "root"), "centres")
-    mine = small.select("key", "id", "root").unionByName(centres).select("key", F.col("id").alias("x"), F.col("root").alias("root_x"))
-    pairs = (rows.join(mine, "key").where("root <> root_x and id <> x")
-             .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct())
-    return pairs, centres.select("key", "id")
+    while True:
+        pairs = stage(pairs, "pairs")
+        new = stage(verify(pairs, sets, percent=percent), "verified")
+        links = new if links is None else links.unionByName(new)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        roots = components(links)
+        release(spark)
+        rows = (large.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left")
+                .select("key", "id", F.coalesce("root", "id").alias("root")))
+        spans = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        rows = stage(rows.join(spans.select("key", "low"), "key"), "open")
+        centres = rows.where("root <> low")
+        if used is not None:
+            centres = centres.join(used, ["key", "id"], "left_anti")
+        centres = stage(centres.withColumn("turn", turn).where(F.col("turn") <= CENTRES).select("key", "id", "root"), "centres")
+        if centres.isEmpty():
+            return roots
+        used = centres.select("key", "id") if used is None else used.unionByName(centres.select("key", "id"))
+        mine = centres.select("key", F.col("id").alias("x"), F.col("root").alias("root_x"))
+        pairs = (rows.join(mine, "key").where("root <> root_x and id <> x")
+                 .select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+                 .join(tested, ["a", "b"], "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, stage_mark()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = stage(signature_rows(src, k=k), "signatures")
     linked = sig.where("n_shingles > 0 and id is not null")
@@ -202,33 +284,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = stage(keys.repartition(n_keys, "key").sortWithinPartitions("key", "id")
                     .mapInArrow(_shared, "key long, id long, centre long"), "buckets")
     release(spark)
-    involved = buckets.select("id").distinct()
-    sets = stage(set_rows(src.join(involved, "id", "left_semi"), k=k), "sets")
+    joined = components(buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    every = joined.unionByName(joined.select(F.col("root").alias("node"), "root").distinct())
+    every = every.select(F.col("node").alias("id"), "root").join(
+        leads.groupBy(F.col("lead").alias("id")).agg(F.sum("n_shingles").alias("size")), "id")
+    total = every.groupBy("root").agg(F.sum("size").alias("n"))
+    groups = stage(every.join(total, "root").select("id", "root", "size", "n"), "groups")
+    # the ids grow with the table, so they are never broadcast
+    sets = stage(set_rows(src.join(groups.select("id").hint("merge"), "id", "left_semi"), k=k), "sets")
     release(spark)
-    pairs = buckets.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    buckets = buckets.select("key", "id").distinct()
-    # an id with several texts links the leads of their sets
-    least = copies.groupBy("id").agg(F.min("lead").alias("a"), F.max("lead").alias("z")).where("a < z")
-    links = stage(copies.join(least, "id").where("lead <> a").select("a", F.col("lead").alias("b")).distinct(), "same")
-    tested, used = pairs.limit(0), buckets.limit(0)
-    while True:
-        pairs = stage(pairs, "pairs")
-        links = links.unionByName(stage(verify(pairs, sets, percent=percent), "verified"))
-        tested = tested.unionByName(pairs)
-        roots = components(links)
-        release(spark)
-        pairs, centres = open_pairs(buckets, roots, used)
-        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "more")
-        if pairs.isEmpty() and centres.isEmpty():
-            break
-        used = used.unionByName(centres)
+    local = groups.where(F.col("n") <= LOCAL).select("id", "root")
+    wide = groups.where(F.col("n") > LOCAL).select("id")
+    keys = buckets.join(local, "id").groupBy("id", "root").agg(F.collect_set("key").alias("keys"))   # BANDS keys at most
+    elements = groups.where(F.col("n") <= LOCAL).agg(F.sum("size")).first()[0] or 0
+    roots = group_locally(sets.join(keys, "id"), max(1, -(-elements // TASK)), percent)
+    if not wide.isEmpty():
+        roots = roots.unionByName(group_widely(buckets.join(wide, "id", "left_semi").distinct(), sets, percent))
+    roots = stage(roots, "roots")
+    release(spark)
+    # an id with several texts links the components of its sets
+    lead_of = copies.groupBy("id").agg(F.min("lead").alias("a"), F.max("lead").alias("z")).where("a < z").select("id", "a")
+    several = stage(copies.join(lead_of, "id").where("lead <> a").select("a", F.col("lead").alias("b")).distinct(), "several")
+    if not several.isEmpty():
+        roots = components(several.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     lead_root = roots.select(F.col("node").alias("lead"), "root")
     of = copies.join(lead_root, "lead", "left").select("id", F.coalesce("root", "lead").alias("root"))
     of = of.groupBy("id").agg(F.min("root").alias("root"))
     out = sig.select("id", "n_shingles").join(of, "id", "left")
     root = F.coalesce("root", "id")
-    return out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"),
-                      F.coalesce(F.col("id") == root, F.lit(True)).alias("kept"))
+    out = stage(out.select(F.col("id").alias(id_col), "n_shingles", root.alias("component_id"),
+                           F.coalesce(F.col("id") == root, F.lit(True)).alias("kept")), "classes")
+    clear_stages(spark, mark, but_last=1)          # signatures, sets and links have done their work
+    return out
 
 
 @register("op3_near_dedup")

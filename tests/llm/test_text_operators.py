@@ -182,7 +182,9 @@ def test_near_duplicates_equal_brute_force(docs):
 
 
 def test_near_duplicates_of_large_open_buckets(docs, monkeypatch):
-    """Buckets above SMALL go through rounds of centres and lose no link."""
+    """Groups above LOCAL are verified in joins, their buckets above SMALL in rounds of
+    centres, and lose no link."""
+    monkeypatch.setattr("postlens.llm.op3_near_dedup.LOCAL", 300)
     monkeypatch.setattr("postlens.llm.op3_near_dedup.SMALL", 4)
     monkeypatch.setattr("postlens.llm.op3_near_dedup.CENTRES", 2)
     base = _words(150, 1, 5000)
