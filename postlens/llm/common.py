@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import struct
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -35,9 +36,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch; batches for which it gives None are left out."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
+              keep_caches: bool = False) -> DataFrame:
+    """``fn`` over every Arrow batch; batches for which it gives None are left out.
+    keep_caches: for operators that use a word cache from task to task."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keep_caches:
+            forget()
         for b in batches:
             if b.num_rows and (out := fn(b)) is not None:
                 yield out
@@ -57,6 +62,12 @@ def chunks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def forget() -> None:
+    """Empty the caches that an earlier stage has left in this worker process."""
+    for cache in list(BoundedCache.every):
+        cache.clear()
+
+
 def pack_ids(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -66,9 +77,13 @@ class BoundedCache(dict):
     """A dict that starts anew when it holds ``most`` entries: memory stays bounded, and
     since words follow a steep law the frequent ones are back at once."""
 
+    every: weakref.WeakSet[BoundedCache] = weakref.WeakSet()
+    __hash__ = object.__hash__
+
     def __init__(self, most: int):
         super().__init__()
         self.most = most
+        self.every.add(self)
 
     def put(self, key, value):
         if len(self) >= self.most:

@@ -10,7 +10,7 @@ several documents is a repeat; runs of neighbouring places are the maximal repea
 2.  Split.  A suffix goes by its shortest prefix that no more than ``GROUP / 8`` suffixes
     have (a common prefix is made longer, up to the whole window), and prefixes are dealt
     into groups of about ``GROUP`` suffixes: what one task holds.  Within a piece of the
-    input (about 3 MB), a node met in several documents is sent for the least of them
+    input (about 1.5 MB), a node met in several documents is sent for the least of them
     only; for the others it is a repeat already.  So a passage that a third of the
     documents hold is sent once per piece.
 3.  Subtrees.  A group sorts its suffixes by their path code, which puts the leaves of a
@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import Words, chunks, mix, release, stage, table
+from postlens.llm.common import Words, chunks, forget, mix, release, stage, table
 from postlens.llm.registry import register
 
 WINDOW = 13
 LEVELS = (1, 2, 3, 5, 8)
 SKETCH = 1 << 13
-GROUP = 1_500_000      #: suffixes of a group, about
-_CHUNK = 3_000_000
+GROUP = 800_000        #: suffixes of a group, about
+_CHUNK = 1_500_000
 
 U = np.uint64
 
@@ -61,6 +61,7 @@ def prefix_counts(docs: DataFrame, window: int) -> tuple[dict[int, np.ndarray],
     levels = [x for x in LEVELS if x < window]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         count = np.zeros((len(levels) + 1, SKETCH), np.int64)
         for b in batches:
             texts = b.column(0).to_pylist()
@@ -153,6 +154,7 @@ def covered_places(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     size = max(7, -(-bits // 8))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             ids, parts = b.column(0).to_numpy(), b.column(1).to_numpy()
             texts = b.column(2).to_pylist()

@@ -116,7 +116,7 @@ def count_tokens(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         return pa.RecordBatch.from_arrays([b.column(0), n_bytes, pa.array(n)],
                                           ["id", "n_bytes", "n_tokens"])
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(src, fn, "id long, n_bytes long, n_tokens long")
+    return map_arrow(src, fn, "id long, n_bytes long, n_tokens long", keep_caches=True)
 
 
 @register("op7_token_counts")

@@ -139,7 +139,7 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ran
              pa.array([bpe.char_offsets(i) for i in ids], pa.list_(pa.int64()))],
             ["id", "ids", "offsets", "char_offsets"])
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(src, fn, "id long, ids array<int>, offsets array<long>, char_offsets array<long>")
+    return map_arrow(src, fn, "id long, ids array<int>, offsets array<long>, char_offsets array<long>", keep_caches=True)
 
 
 def decode(df: DataFrame, *, id_col: str = "id", ids_col: str = "ids", ranks: str = RANKS) -> DataFrame:
@@ -153,7 +153,7 @@ def decode(df: DataFrame, *, id_col: str = "id", ids_col: str = "ids", ranks: st
              pa.array([r if r is None else r.decode("utf-8", "replace") for r in raw], pa.string())],
             ["id", "raw", "text"])
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
-    return map_arrow(src, fn, "id long, raw binary, text string")
+    return map_arrow(src, fn, "id long, raw binary, text string", keep_caches=True)
 
 
 def round_trip(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
@@ -172,7 +172,7 @@ def round_trip(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                                            pa.array(raw_sha, pa.string())],
                                           ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_arrow(src, fn, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(src, fn, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep_caches=True)
 
 
 @register("op8_byte_bpe")

@@ -38,7 +38,7 @@ GROUP = 60_000         #: pieces that one task packs, about
 FAN = 16               #: groups whose leftovers meet in the next round
 FULL = 4090            #: a bin with so many tokens is final in any round
 HOLD = 0.01            #: share of a group's tokens that goes up unpacked, shortest pieces first
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
