@@ -24,8 +24,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.3
 
 
+#: rows of an Arrow batch: whole texts pass through Python, so batches are kept short
+BATCH_ROWS = 2000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language: those without a letter, or of no likely language, go."""
+    _short_batches(spark)
     model = fit(docs.where(~held_out("doc_id")))
     out = predict(docs, model, keep=("text", "lang", "source", "n_chars"))
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(COLUMNS)
@@ -33,6 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of every group of near-duplicates."""
+    _short_batches(spark)
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
@@ -40,6 +50,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 13 words that an earlier document has; a text that loses
     nothing stays as it is, one that loses all of its words goes."""
+    _short_batches(spark)
     out = remove_repeats(docs, keep=("text", "lang", "source"), with_text=True)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return (out.where("n_removed = 0 or n_words > n_removed").withColumn("text", text)
@@ -48,6 +59,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 4096 tokens."""
+    _short_batches(spark)
     return pack(token_pieces(docs))
 
 
