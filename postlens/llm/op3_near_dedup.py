@@ -20,7 +20,7 @@ linked if 100 * shared >= 75 * all.
 
 So no candidate link that could join components is left out, and no group is expanded into
 all its pairs.  A pair just at the threshold shares a bucket with a probability of about
-0.9999.  The sets that are compared hold 40 bits per element.
+0.9999 (a test draws it; fewer keys lose links for good).  The sets that are compared hold 40 bits per element.
 
 Null ids take no part: component null, kept.  Rows of equal id are one document with
 several texts, each returning a row.
@@ -45,7 +45,7 @@ from postlens.session import clear_stages, stage_mark
 
 SHINGLE = 5
 PERCENT = 75
-BANDS, ROWS = 96, 8
+BANDS, ROWS = 128, 8
 LOCAL = 6_000_000      #: elements of a candidate group that one task takes whole
 TASK = 3_000_000       #: elements of the groups that one task takes, about
 SMALL = 24             #: in larger groups, a bucket of so many sets gives all its pairs
