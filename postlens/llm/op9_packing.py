@@ -4,14 +4,21 @@ Every text becomes token ids by the tokenizers library plus one end id; only tex
 than a sequence are cut.  Pieces (not texts) are then packed.  In round 0 the pieces are
 dealt by a hash of their id into groups of about ``GROUP`` pieces; each group packs
 best-fit, longest first, and its nearly full bins are final.  The underfull bins go on as
-items, still holding their pieces, to a round with ``FAN`` times fewer groups, where they
-are packed best-fit again, and so on up the tree to one group of leftovers.  A leftover
-bin that its group can't help (the smallest item of its group is larger than its gap)
-still goes up, as another group may have small items.
-
-To give the later rounds something to fill gaps with, a group holds back its shortest
-pieces (``HOLD`` of its tokens): they go up unpacked.  A group sees at most the leftovers of ``FAN``
-groups, which are a small share of their pieces, so no task grows with the input.
+items, still holding their pieces, to the next round, where they are packed best-fit again.
+To give that round something to fill gaps with, a group holds back its shortest pieces
+(``HOLD`` of its tokens): they go up unpacked.
+
+What goes up is bounded by what can still be filled.  No two items above half a sequence
+share one, so the open items up to half of it, say f of them, are in f bins at most.  A
+histogram of the sizes of open items (``LENGTH`` rows at most, aggregated on Spark) tells f:
+of the larger items only about the f with the largest gaps go up, and none whose gap is
+below the least open item; the rest is final.  This costs no bin: any f bins that take
+fillers can be exchanged for the f with the largest gaps.
+
+Every round is dealt anew by a hash of the bin, over as many groups as its pieces need, so
+each group of each round has about ``GROUP`` pieces, whatever the table holds.  The last
+round is the one that fits a group, or the first whose pieces aren't at most half of the
+round's before: it holds nothing back and all of its bins are final.
 
 Groups are hash dealt and sorted, so a task that is run again gives the same bins.  Null
 and empty texts are one piece of length 1 (the end id).  Repeated rows are packed each;
@@ -20,12 +27,13 @@ they get the same piece numbers.  Rows without an id are packed with id null.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postlens.llm.common import BoundedCache, pack_ids, stage, table
@@ -35,7 +43,6 @@ from postlens.llm.word_bpe import WORD_BPE, WordBpe
 LENGTH = 4096          #: tokens of a sequence
 END_ID = 1             #: appended to every document
 GROUP = 60_000         #: pieces that one task packs, about
-FAN = 16               #: groups whose leftovers meet in the next round
 FULL = 4090            #: a bin with so many tokens is final in any round
 HOLD = 0.01            #: share of a group's tokens that goes up unpacked, shortest pieces first
 CACHE_WORDS = 400_000
@@ -121,7 +128,7 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return where, np.array(used, np.int64)
 
 
-_ROW = "g long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, final boolean"
+_ROW = "g long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, used long, final boolean"
 
 
 def _round(df: DataFrame, n_round: int, length: int, last: bool) -> DataFrame:
@@ -161,29 +168,56 @@ def _round(df: DataFrame, n_round: int, length: int, last: bool) -> DataFrame:
         g = int(t["g"][0].as_py())
         name = (g << 36) | (n_round << 28) | group
         return pa.table({
-            "g": pa.array(np.full(len(size), g // FAN)), **{c: t[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")},
-            "bin": pa.array(name[item]), "offset": pa.array(offset + shift[item]), "final": pa.array(final[group[item]])})
+            "g": t["g"], **{c: t[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")},
+            "bin": pa.array(name[item]), "offset": pa.array(offset + shift[item]),
+            "used": pa.array(used[group[item]]), "final": pa.array(final[group[item]])})
     return df.groupBy("g").applyInArrow(fn, _ROW)
 
 
+def _open(out: DataFrame, length: int) -> Column:
+    """Whether a row's bin goes up from the round ``out``: it is not nearly full, and there
+    are enough open items that could fill its gap."""
+    # a row per bin and at most ``length`` rows in all
+    sizes = sorted((r["used"], r["n"]) for r in out.where("not final and offset = 0").groupBy("used")
+                   .agg(F.count("*").alias("n")).collect())
+    half = length // 2
+    small = sum(n for s, n in sizes if s <= half)
+    most, share = half, 0.0                  # larger items up to this size go up, of the size itself a share
+    need = small + 4 * math.sqrt(small)      # as the share is drawn by a hash
+    for s, n in sizes:
+        if s > half and need > 0 and s <= length - sizes[0][0]:
+            most, share = s, min(1.0, need / n)
+            need -= n
+    drawn = F.pmod(F.xxhash64("bin", F.lit(9)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    used = F.col("used")
+    return ~F.col("final") & ((used <= half) | (used < most) | ((used == most) & drawn))
+
+
 def pack(pieces: DataFrame, *, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """PIECES -> PIECES, sequence_id long, offset long."""
     pieces = stage(pieces, "pieces")
     full = pieces.where(F.col("length") == length)
     rest = pieces.where(F.col("length") < length)
-    n_groups = max(1, -(-rest.count() // group))
+    n_rows = rest.count()
+    n_groups = max(1, -(-n_rows // group))
     key = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32")
     todo = rest.select(F.pmod(key, F.lit(n_groups)).alias("g"), *pieces.columns,
                        F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    done, k = [], 0
+    done, k, before = [], 0, None
     cols = pieces.columns + ["sequence_id", "offset"]
     while True:
-        last = n_groups == 1
+        last = n_groups == 1 or (before is not None and 2 * n_rows > before)
         out = stage(_round(todo, k, length, last), f"pack{k}")
-        done.append(out.where("final").withColumnRenamed("bin", "sequence_id").select(cols))
+        goes_on = F.lit(False) if last else _open(out, length)
+        done.append(out.where(~goes_on).withColumnRenamed("bin", "sequence_id").select(cols))
         if last:
             break
-        todo, n_groups, k = out.where("not final").drop("final"), -(-n_groups // FAN), k + 1
+        todo = out.where(goes_on)
+        before, n_rows, k = n_rows, todo.count(), k + 1
+        if not n_rows:
+            break
+        n_groups = -(-n_rows // group)
+        todo = todo.select(F.pmod(F.xxhash64("bin"), F.lit(n_groups)).alias("g"), *pieces.columns, "bin", "offset")
     # a piece that fills a sequence is one; its number (negative) can't meet a bin's
     whole = full.select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
                         F.lit(0).cast("long").alias("offset"))

@@ -19,7 +19,7 @@ from postlens.llm.op5_iblt import compare_with_next, differences, elements
 from postlens.llm.op6_language import fit, held_out, predict
 from postlens.llm.op7_token_counts import count_tokens
 from postlens.llm.op8_byte_bpe import decode, encode, round_trip
-from postlens.llm.op9_packing import best_fit, pack, token_pieces
+from postlens.llm.op9_packing import PIECES, _round, best_fit, pack, token_pieces
 from postlens.llm.superminhash import SLOTS
 from tests.llm.conftest import rows_of
 
@@ -103,6 +103,30 @@ def test_packing_is_gapless_and_whole(docs, word_library):
     assert len(bins) <= 1.1 * total / 4096 + 1      # tiny groups; groups of 60,000 pieces fill 99.9 %
 
 
+@pytest.mark.parametrize("short", [0, 1, 150])
+def test_packing_of_mostly_long_pieces_keeps_groups_bounded(spark, monkeypatch, short):
+    """Pieces above half a sequence can't share one: what no short piece can fill stays."""
+    rounds = []
+
+    def spy(df, *args):
+        rounds.append(max([r["count"] for r in df.groupBy("g").count().collect()]))
+        return _round(df, *args)
+    monkeypatch.setattr("postlens.llm.op9_packing._round", spy)
+    r = random.Random(3)
+    sizes = [r.choice([2500, r.randrange(2049, 4090)]) for _ in range(4000)] + [r.randrange(1, 180) for _ in range(short)]
+    rows = [(i, 0, 0, n, i) for i, n in enumerate(sizes)]
+    got = pack(spark.createDataFrame(rows, PIECES), group=100).collect()
+    assert max(rounds) <= 200 and len(rounds) <= 5
+    bins = {}
+    for x in got:
+        bins.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for b in bins.values():
+        b.sort()
+        assert b[0][0] == 0 and all(o + n == p for (o, n), (p, _) in pairwise(b)) and sum(b[-1]) <= 4096
+    assert sorted((x["doc_id"], x["length"]) for x in got) == list(enumerate(sizes))
+    assert len(bins) == 4000                     # every short piece is in a long one's gap
+
+
 def test_packing_of_an_empty_table(docs):
     assert pack(token_pieces(docs([]))).collect() == []
 
