@@ -16,8 +16,11 @@ Boilerplate is never most of an article: if half of it is covered, the page is a
 keeps its text.
 
 A host with much text is dealt by a hash of the page id over arrays of about
-``ARRAY_BYTES`` of html; a run that a given share of all pages has is in about that share of
-each array, so no task holds a whole host.
+``ARRAY_BYTES`` of html, so no task holds a whole host, but its runs are judged on the whole
+host.  A run that k of the host's pages have is on k / arrays pages of one array at least;
+runs that reach this in some array are noted in a filter of ``SLOTS`` bits per host.  All
+arrays give their page counts of the runs that pass it, the counts are summed by run, and
+the sums go back to the arrays that hold the run.
 
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by one line feed.  Null html gives an empty text.  Null or hostless urls give pages
@@ -35,13 +38,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import Words, map_arrow, stage, table
+from postlens.llm.common import Words, map_arrow, mix, stage, table
 from postlens.llm.registry import register
 
 LONG = 8               #: tokens of a substring that counts as long
 PAGES, SHARE = 3, 0.05
 ARTICLE_PAGES, ARTICLE_SHARE = 20, 0.5
 ARRAY_BYTES = 8_000_000
+SLOTS = 1 << 17        #: bits of a large host's filter of runs
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>"'<]*+)((?:"[^"]*"|'[^']*'|[^<>"'])*+)>|[^<]++|<""", re.S)
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -216,15 +220,19 @@ def _under(starts: np.ndarray, long: int) -> np.ndarray:
     return np.cumsum(cover[:len(starts)]) > 0
 
 
-def _boilerplate_of(streams: list[np.ndarray], kinds: list[np.ndarray]) -> list[np.ndarray]:
-    """Per stream, the tokens that are boilerplate; kinds: of each token."""
-    n = len(streams)
-    count = repeat_counts(streams, LONG)
-    kind = np.concatenate(kinds) if n else np.zeros(0, np.uint8)
-    some, most = max(PAGES, SHARE * n), max(ARTICLE_PAGES, ARTICLE_SHARE * n)
+def _least_pages(n: int) -> tuple[float, float]:
+    """Pages of n that make a run boilerplate: outside and inside an article."""
+    return max(PAGES, SHARE * n), max(ARTICLE_PAGES, ARTICLE_SHARE * n)
+
+
+def _judge(count: np.ndarray, kinds: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """Per stream, the tokens that are boilerplate; count: the pages of the host's n that
+    have the run that starts at each token; kinds: of each token."""
+    kind = np.concatenate(kinds) if kinds else np.zeros(0, np.uint8)
+    some, most = _least_pages(n)
     gone = np.where(kind == _MAIN, _under(count >= most, LONG), _under(count >= some, LONG) & (kind == _OPEN))
     out = []
-    for g, k in zip(np.split(gone, np.cumsum([len(s) for s in streams])[:-1]), kinds):
+    for g, k in zip(np.split(gone, np.cumsum([len(k) for k in kinds])[:-1]), kinds):
         main = k == _MAIN
         if main.any() and 2 * (g & main).sum() >= main.sum():
             g = g & ~main
@@ -232,12 +240,103 @@ def _boilerplate_of(streams: list[np.ndarray], kinds: list[np.ndarray]) -> list[
     return out
 
 
+def _run_digests(tokens: np.ndarray) -> np.ndarray:
+    """A hash of the run of LONG tokens that starts at each token."""
+    t = np.concatenate([tokens.astype(np.uint64), np.zeros(LONG, np.uint64)])
+    h = np.zeros(len(tokens), np.uint64)
+    for i in range(LONG):
+        h = mix(h * np.uint64(0x9FB21C651E98DF25) + t[i:i + len(tokens)])
+    return h.view(np.int64)
+
+
+_GONE = "id long, part long, gone binary"
+_ARRAY = f"{_GONE}, host string, deal long, pages long, plain boolean, ids binary, parts binary, sizes binary, " \
+         "tokens binary, kinds binary, counts binary"
+
+
+_TYPES = {"long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+_fields = [pa.field(c.split()[0], _TYPES[c.split()[1]]) for c in _ARRAY.split(", ")]
+
+
+def _gone_rows(ids: np.ndarray, parts: np.ndarray, gone: list[np.ndarray]) -> list[pa.Array]:
+    at = [i for i, g in enumerate(gone) if g.any()]
+    return [pa.array(ids[at], pa.int64()), pa.array(parts[at], pa.int64()),
+            pa.array([np.packbits(gone[i]).tobytes() for i in at], pa.binary())]
+
+
+def _ints(column: pa.Array, i: int, kind: str = "<i8") -> np.ndarray:
+    return np.frombuffer(column[i].as_py(), kind)
+
+
+def _large_hosts(arrays: DataFrame) -> DataFrame:
+    """The rows of _GONE of the arrays of hosts that have several."""
+    hosts = stage(arrays.groupBy("host").agg(F.sum("pages").alias("n"), F.count("*").alias("arrays"),
+                                             F.max("plain").alias("plain")), "host_pages")
+
+    def slots(b: pa.RecordBatch) -> pa.RecordBatch:
+        host, slot = [], []
+        for i in range(b.num_rows):
+            some, most = _least_pages(b.column(3)[i].as_py())
+            least = (some if b.column(5)[i].as_py() else most) / b.column(4)[i].as_py()
+            count = _ints(b.column(2), i, "<i4")
+            found = _run_digests(_ints(b.column(1), i, "<i4"))[(count > 0) & (count >= least)]
+            found = np.unique(found % SLOTS)
+            slot.append(found)
+            host += [b.column(0)[i].as_py()] * len(found)
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(np.concatenate(slot), pa.int32())], ["host", "slot"])
+    noted = arrays.select("host", "tokens", "counts").join(hosts, "host").select("host", "tokens", "counts", "n", "arrays", "plain")
+    filters = stage(map_arrow(noted, slots, "host string, slot int").groupBy("host")
+                    .agg(F.collect_set("slot").alias("slots")), "filters")              # SLOTS entries at most
+
+    def runs(b: pa.RecordBatch) -> pa.RecordBatch:
+        host, deal, run, n = [], [], [], []
+        for i in range(b.num_rows):
+            passes = np.zeros(SLOTS, bool)
+            passes[b.column(4)[i].values.to_numpy()] = True
+            count = _ints(b.column(3), i, "<i4")
+            digest = _run_digests(_ints(b.column(2), i, "<i4"))
+            at = np.flatnonzero((count > 0) & passes[digest % SLOTS])
+            found, first = np.unique(digest[at], return_index=True)
+            run.append(found)
+            n.append(count[at[first]])
+            host += [b.column(0)[i].as_py()] * len(found)
+            deal += [b.column(1)[i].as_py()] * len(found)
+        return pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(deal, pa.int64()), pa.array(np.concatenate(run), pa.int64()),
+                                           pa.array(np.concatenate(n), pa.int64())], ["host", "deal", "run", "n"])
+    found = stage(map_arrow(arrays.select("host", "deal", "tokens", "counts").join(filters, "host"), runs,
+                            "host string, deal long, run long, n long"), "runs")
+    total = (found.groupBy("host", "run").agg(F.sum("n").alias("total")).join(hosts, "host")
+             .where(F.col("total") >= F.when(F.col("plain"), F.greatest(F.lit(PAGES), SHARE * F.col("n")))
+                    .otherwise(F.greatest(F.lit(ARTICLE_PAGES), ARTICLE_SHARE * F.col("n")))).select("host", "run", "total"))
+    marks = stage(found.join(total, ["host", "run"]).groupBy("host", "deal").agg(
+        F.collect_list(F.struct("run", "total")).alias("marks")), "marks")              # runs of one array
+
+    def judge(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for i in range(b.num_rows):
+            marks = b.column(6)[i].values
+            run, total = marks.field("run").to_numpy(), marks.field("total").to_numpy()
+            order = np.argsort(run)
+            run, total = run[order], total[order]
+            digest = _run_digests(_ints(b.column(3), i, "<i4"))
+            place = np.minimum(np.searchsorted(run, digest), len(run) - 1)
+            count = np.where((run[place] == digest) & (_ints(b.column(5), i, "<i4") > 0), total[place], 0)
+            kinds = np.split(_ints(b.column(4), i, "u1"), np.cumsum(_ints(b.column(2), i))[:-1])
+            out.append(pa.RecordBatch.from_arrays(_gone_rows(_ints(b.column(0), i), _ints(b.column(1), i), _judge(
+                count, kinds, b.column(7)[i].as_py())), ["id", "part", "gone"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if any(x.num_rows for x in out) else None
+    rows = (arrays.select("host", "deal", "ids", "parts", "sizes", "tokens", "kinds", "counts").join(marks, ["host", "deal"])
+            .join(hosts.select("host", "n"), "host")
+            .select("ids", "parts", "sizes", "tokens", "kinds", "counts", "marks", "n"))
+    return map_arrow(rows, judge, _GONE)
+
+
 def boilerplate(pages: DataFrame) -> DataFrame:
     """(id, part, gone): a bit per token of each page that has boilerplate in its text."""
     hosts = stage(pages.where("host <> ''").groupBy("host").agg(
         F.ceil(F.sum(F.coalesce(F.length("html"), F.lit(0))) / ARRAY_BYTES).alias("arrays")), "hosts")
     rows = (_streams(pages).join(hosts, "host")
-            .select("host", F.pmod(F.xxhash64("id"), "arrays").alias("deal"), "id", "part", "tokens", "kinds"))
+            .select("host", "arrays", F.pmod(F.xxhash64("id"), "arrays").alias("deal"), "id", "part", "tokens", "kinds"))
 
     def fn(t: pa.Table) -> pa.Table:
         t = t.sort_by([("id", "ascending"), ("part", "ascending")])
@@ -249,11 +348,21 @@ def boilerplate(pages: DataFrame) -> DataFrame:
             streams.append(raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16)
             block = np.frombuffer(entry.as_py(), np.uint8).reshape(-1, 5)
             kinds.append(np.repeat(block[:, 0], np.ascontiguousarray(block[:, 1:]).view("<i4")[:, 0]))
-        gone = _boilerplate_of(streams, kinds)
-        at = pa.array([i for i, g in enumerate(gone) if g.any()], pa.int64())
-        return pa.table({"id": t["id"].take(at), "part": t["part"].take(at),
-                         "gone": pa.array([np.packbits(gone[i.as_py()]).tobytes() for i in at], pa.binary())})
-    return rows.groupBy("host", "deal").applyInArrow(fn, "id long, part long, gone binary")
+        count = repeat_counts(streams, LONG)
+        if t["arrays"][0].as_py() == 1:
+            gone = _judge(count, kinds, len(streams))
+            at = pa.array([i for i, g in enumerate(gone) if g.any()], pa.int64())
+            cols = [t["id"].take(at), t["part"].take(at), pa.array([np.packbits(gone[i.as_py()]).tobytes() for i in at], pa.binary())]
+            return pa.table(cols + [pa.nulls(len(at), f.type) for f in _fields[3:]], pa.schema(_fields))
+        kind, missing = np.concatenate(kinds), np.iinfo(np.int64).min
+        number = lambda c: np.array([missing if x is None else x for x in t[c].to_pylist()], "<i8").tobytes()
+        row = [None, None, None, t["host"][0].as_py(), t["deal"][0].as_py(), len(streams), bool((kind == _OPEN).any()),
+               number("id"), number("part"), np.array([len(s) for s in streams], "<i8").tobytes(),
+               np.concatenate(streams).astype("<i4").tobytes(), kind.tobytes(), count.astype("<i4").tobytes()]
+        return pa.table([pa.array([x], f.type) for x, f in zip(row, _fields)], pa.schema(_fields))
+    judged = stage(rows.groupBy("host", "deal").applyInArrow(fn, _ARRAY), "arrays")
+    gone, arrays = judged.where("host is null").select("id", "part", "gone"), judged.where("host is not null")
+    return gone if arrays.isEmpty() else gone.unionByName(_large_hosts(arrays))
 
 
 def page_text(found: list[tuple[int, str]], gone: bytes | None) -> str:

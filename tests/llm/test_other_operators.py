@@ -120,6 +120,20 @@ def test_boilerplate_without_markup_goes_and_unique_runs_stay(spark):
     assert got[90] == got[91] == f"{copy}\n{notice}"       # a passage of an article is text
 
 
+def test_a_host_of_many_arrays_is_judged_as_a_whole(spark, monkeypatch):
+    r = random.Random(4)
+    words = lambda n: " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(n))
+    notice, menu, rare = words(14), words(9), words(10)
+    rows = [(i, f"http://a.example/{i}", f"<article><p>{words(60)}</p><p>{notice}</p></article>") for i in range(60)]
+    rows += [(100 + i, f"http://b.example/{i}", f"<div>{menu * (i % 10 == 0)}</div><div>{words(60)}</div><div>{rare * (i < 2)}</div>")
+             for i in range(60)]
+    df = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string")
+    whole = rows_of(main_text(df), "page_id", "text")
+    monkeypatch.setattr("postlens.llm.op4_main_text.ARRAY_BYTES", 2_000)     # about three pages
+    assert rows_of(main_text(df), "page_id", "text") == whole
+    assert all(notice not in t and menu not in t for _, t in whole) and sum(rare in t for _, t in whole) == 2
+
+
 def test_repeat_counts_equal_brute_force():
     r = random.Random(1)
     streams = [np.array([r.randrange(3) for _ in range(r.randrange(0, 30))]) for _ in range(9)]
