@@ -11,8 +11,9 @@ several documents is a repeat; runs of neighbouring places are the maximal repea
     have (a common prefix is made longer, up to the whole window), and prefixes are dealt
     into groups of about ``GROUP`` suffixes: what one task holds.  Within a piece of the
     input (about 1.5 MB), a node met in several documents is sent for the least of them
-    only; for the others it is a repeat already.  So a passage that a third of the
-    documents hold is sent once per piece.
+    only; for the others it is a repeat already.  Of its places there the first is sent,
+    the others wait with the piece for what becomes of that one.  So a node is sent once
+    per piece, however often it is met.
 3.  Subtrees.  A group sorts its suffixes by their path code, which puts the leaves of a
     node side by side, and every leaf whose document is not the node's least one is covered.
 4.  The covered places go back to their documents, a row per piece and group, and the words
@@ -117,30 +118,55 @@ def _send(ids: np.ndarray, parts: np.ndarray, texts: list, window: int, counts:
     least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
     covered = np.zeros(len(at), bool)
     covered[order] = doc[order] > least
+    # ... and of these the first one; the others follow it
+    run = np.cumsum(fresh) - 1
+    own = np.flatnonzero(doc[order] == least)
+    first = np.empty(int(run[-1]) + 1, np.int64)
+    first[run[own[::-1]]] = order[own[::-1]]
+    leads = np.arange(len(at))
+    leads[order[own]] = first[run[own]]
     # the key brings a piece's places together again; what is covered already takes part in
-    # that only, by a group number beyond the groups
+    # that only, by a group number beyond the groups; what follows, by one beyond those
     piece = int(mix(np.array([ids[0] * 31 + parts[0]], np.int64).view(np.uint64)).view(np.int64)[0])
     group = np.where(covered, groups + piece % groups, group)
+    group = np.where(leads != np.arange(len(at)), 2 * groups + piece % groups, group)
+    lead_part, lead_place = part[leads], place[leads]
     order = np.argsort(group, kind="stable")
     cut = np.flatnonzero(np.diff(group[order], prepend=-1))
     raw = np.stack(code, axis=1)[order].astype("<u8").view(np.uint8).reshape(len(at), -1)[:, :size]
     doc, part, place = doc[order], part[order], place[order]
+    lead_part, lead_place = lead_part[order], lead_place[order]
     for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
         g = int(group[order[lo]])
-        yield (g, piece, hi - lo, raw[lo:hi].tobytes() if g < groups else b"", _planes(doc[lo:hi]),
+        what = (raw[lo:hi].tobytes() if g < groups else b"" if g < 2 * groups
+                else _planes(lead_part[lo:hi]) + _planes(lead_place[lo:hi]))
+        yield (g, piece, hi - lo, what, _planes(doc[lo:hi]),
                _planes(part[lo:hi]), _planes(place[lo:hi]))
 
 
 _COVERED = "id long, part long, places array<int>"
-_BACK = "piece long, doc binary, part binary, place binary"
+_BACK = "piece long, lead binary, doc binary, part binary, place binary"
 
 
 def _by_text(t: pa.Table) -> pa.Table:
     """The covered places of a piece, one row per text."""
     doc, part, place = (np.concatenate([_from_planes(x.as_py()) for x in t[c]]) for c in ("doc", "part", "place"))
+    # places that follow another one: covered if that one is
+    lead = [x.as_py() for x in t["lead"]]
+    size = [len(x.as_py()) // 8 for x in t["doc"]]
+    follows = np.repeat([len(x) > 0 for x in lead], size)
+    if follows.any():
+        to_part, to_place = part.copy(), place.copy()
+        to_part[follows] = np.concatenate([_from_planes(x[:len(x) // 2]) for x in lead if x])
+        to_place[follows] = np.concatenate([_from_planes(x[len(x) // 2:]) for x in lead if x])
+        order = np.lexsort((to_place, to_part, doc))
+        d, p, w = doc[order], to_part[order], to_place[order]
+        run = np.cumsum(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (w[1:] != w[:-1])])) - 1
+        hit = order[np.bincount(run, weights=~follows[order])[run] > 0]
+        doc, part, place = doc[hit], part[hit], place[hit]
     order = np.lexsort((place, part, doc))
     doc, part, place = doc[order], part[order], place[order]
-    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])) if len(doc) else np.zeros(0, int)
     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(place, pa.int32()))
     return pa.table({"id": pa.array(doc[at]), "part": pa.array(part[at]), "places": lists})
 
@@ -184,7 +210,9 @@ def covered_places(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         at = np.flatnonzero(np.diff(row, prepend=-1))
         spans = list(zip(at, [*at[1:], len(row)]))
         planes = lambda x: pa.array([_planes(x[i:j]) for i, j in spans], pa.binary())
-        return pa.table({"piece": t["piece"].take(pa.array(row[at], pa.int64())), "doc": planes(doc),
+        took = pa.array(row[at], pa.int64())
+        lead = t["code"].take(took) if t["g"][0].as_py() >= groups else pa.array([b""] * len(at), pa.binary())
+        return pa.table({"piece": t["piece"].take(took), "lead": lead, "doc": planes(doc),
                          "part": planes(part), "place": planes(place)})
     back = docs.mapInArrow(send, _SENT).groupBy("g").applyInArrow(subtrees, _BACK)
     return back.groupBy("piece").applyInArrow(_by_text, _COVERED)

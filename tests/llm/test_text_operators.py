@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from postlens.llm.op10_substring_dedup import remove_repeats
+from postlens.llm.op10_substring_dedup import LEVELS, SKETCH, _send, remove_repeats
 from postlens.llm.op3_near_dedup import _BAND, near_duplicates
 from postlens.llm.op5_iblt import compare_with_next, differences, elements
 from postlens.llm.op6_language import fit, held_out, predict
@@ -163,6 +163,18 @@ def test_substring_dedup_equals_brute_force(docs, window, monkeypatch):
     assert got == _brute_repeats(rows, window)
 
 
+def test_substring_dedup_of_a_hot_window(docs, monkeypatch):
+    """However often a piece meets a window, its group gets one place; the others follow."""
+    sent = _send(np.arange(3), np.zeros(3, np.int64), ["na " * 5000, "na " * 400, "b " * 90], 13,
+                 {x: np.zeros(SKETCH, np.int64) for x in LEVELS}, 4, 8)
+    assert sum(row[2] for row in sent if row[0] < 4) == 2
+    monkeypatch.setattr("postlens.llm.op10_substring_dedup._CHUNK", 900)     # several pieces
+    rows = [(i, ("na " * (200 + i) if i % 3 else "na ho " * 90) + " ".join(_words(20, i))) for i in range(40)]
+    rows += [(5, "na " * 30), (41, "x " * 50), (42, "y " * 50 + "x " * 20)]
+    got = rows_of(remove_repeats(docs(rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == _brute_repeats(rows, 13)
+
+
 def test_substring_dedup_of_an_empty_table(docs):
     assert remove_repeats(docs([])).collect() == []
 
