@@ -173,7 +173,7 @@ WITH words AS (
   SELECT row, i, n, gram FROM (SELECT row, i, n, array_to_string(w[i:i + n - 1], ' ') AS gram FROM places)
   WHERE gram IN (SELECT gram FROM grams)
 ), hit AS (
-  SELECT row, count(DISTINCT at) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS at FROM found) GROUP BY row
+  SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS place FROM found) GROUP BY row
 ), named AS (
   SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
   FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM found JOIN grams USING (gram, n) WHERE item_id IS NOT NULL)
