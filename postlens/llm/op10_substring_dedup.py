@@ -1,27 +1,26 @@
-"""Exact substring dedup by prefix-partitioned suffix trees, cut at ``window`` words.
-
-Every word of every text starts a suffix.  Only its first ``window`` words decide whether a
-passage repeats, so the suffix tree is cut at that depth: a node there is a sequence of
-``window`` words and its leaves are the places where it starts.  A node whose leaves lie in
-several documents is a repeat; runs of neighbouring places are the maximal repeats.
-
-1.  Prefix counts.  Suffixes are counted by their prefixes of 1, 2, 3, 5 and 8 words, all of
-    them, in small counting sketches that only ever count too much.
-2.  Split.  A suffix goes by its shortest prefix that no more than ``GROUP / 8`` suffixes
-    have (a common prefix is made longer, up to the whole window), and prefixes are dealt
-    into groups of about ``GROUP`` suffixes: what one task holds.  Within a piece of the
-    input (about 1.5 MB), a node met in several documents is sent for the least of them
-    only; for the others it is a repeat already.  Of its places there the first is sent,
-    the others wait with the piece for what becomes of that one.  So a node is sent once
-    per piece, however often it is met.
-3.  Subtrees.  A group sorts its suffixes by their path code, which puts the leaves of a
-    node side by side, and every leaf whose document is not the node's least one is covered.
-4.  The covered places go back to their documents, a row per piece and group, and the words
-    under them are removed.
-
-Path codes have so many bits that two different windows of the whole corpus share one with
-a probability below 2^-8.  Windows are judged on the input.  Null ids take no part (nothing
-of them is removed); null and empty texts have no words; rows of equal id are one document.
+"""Exact substring dedup: windows of ``window`` words, grouped by hash over pieces of the input.
+
+A word goes if a window of words that covers it also starts in a document with a smaller id.
+Suffix trees partitioned by prefix are not built: trees cut at the window's depth would hold
+every suffix's first words (about 80 bytes a suffix, twelve times the text), and only their
+nodes at that depth decide what goes.  A node there is told by a hash instead.
+
+1.  Pieces.  The rows are written once in pieces of about 1.5 MB, each with its number.
+2.  Codes out.  A piece sends every distinct window once, as a hash and the least document of
+    the piece that has it, to the group that holds the hash's range (about ``GROUP`` windows).
+    Places stay behind: however often a piece meets a window, it is one entry.
+3.  Groups.  A group sorts its entries by hash.  An entry is answered if another document of
+    any piece is less than its own.
+4.  Answers back.  The answered (window, document) pairs return to their piece, which makes
+    the hashes of its texts again.  A place is covered if its document isn't the least of
+    the piece that has the window, or if that document was answered.  Runs of covered places
+    are the maximal repeated passages (``spans``).
+
+Hashes have so many bits that two different windows of the whole corpus share one within a
+group with a probability below 2^-8.  Windows are judged on the input.  Null ids take no part
+(nothing of them is removed); null and empty texts have no words; rows of equal id are one
+document.  Columns named in ``keep`` may have any name.  A window that every piece has gives
+its group one entry per piece.
 """
 
 from __future__ import annotations
@@ -31,237 +30,228 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postlens.llm.common import Words, chunks, forget, mix, release, stage, table
+from postlens.llm.common import Words, chunks, forget, stage, table
 from postlens.llm.registry import register
 
 WINDOW = 13
-LEVELS = (1, 2, 3, 5, 8)
-SKETCH = 1 << 13
-GROUP = 800_000        #: suffixes of a group, about
+GROUP = 800_000        #: windows of a group, about
+NARROW = 64            #: bits of a code up to which one hash is enough
 _CHUNK = 1_500_000
+_SALT = 0x5851F42D4C957F2D
+_WORD = 6              #: characters of a word, about; sets the number of groups only
 
 U = np.uint64
 
 
-def _prefixes(w: Words, window: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, hash) of the prefixes of LEVELS below the window, of every suffix."""
-    n = max(0, len(w.hash) - window + 1)
-    h = np.zeros(n, np.uint64)
-    for i in range(max(x for x in LEVELS if x < window)):
-        h = h * U(0x9FB21C651E98DF25) + w.hash[i:i + n]
-        if i + 1 in LEVELS:
-            yield i + 1, mix(h)
-
-
-def prefix_counts(docs: DataFrame, window: int) -> tuple[dict[int, np.ndarray], int]:
-    """(length -> sketch of counts, number of suffixes) over all rows of docs(text)."""
-    levels = [x for x in LEVELS if x < window]
-
+def pieces(docs: DataFrame) -> DataFrame:
+    """docs(id, text, ..) with a column ``piece`` in front, the same for neighbouring rows of
+    about 1.5 MB of text; written, so that it stays what it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        count = np.zeros((len(levels) + 1, SKETCH), np.int64)
+        number, size = TaskContext.get().partitionId() << 32, 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in chunks(texts, _CHUNK):
-                w = Words(texts[lo:hi])
-                own = w.inside(window)
-                for i, (_, h) in enumerate(_prefixes(w, window)):
-                    count[i] += np.bincount((h[own] % U(SKETCH)).astype(np.int64), minlength=SKETCH)
-                count[-1, 0] += int(own.sum())
-        flat = count.reshape(-1)
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], ["at", "n"])
-    rows = docs.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    flat = np.zeros((len(levels) + 1) * SKETCH, np.int64)   # as many rows at most, at any size
-    for r in rows:
-        flat[r["at"]] = r["n"]
-    count = flat.reshape(-1, SKETCH)
-    return {x: count[i] for i, x in enumerate(levels)}, int(count[-1, 0])
+            mine = []
+            for n in pc.fill_null(pc.binary_length(b.column(1)), 0).to_pylist():
+                if size and size + n > _CHUNK:
+                    number, size = number + 1, 0
+                size += n + 1
+                mine.append(number)
+            yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), *b.columns], ["piece", *b.schema.names])
+    schema = T.StructType([T.StructField("piece", T.LongType()), *docs.schema.fields])
+    return stage(docs.mapInArrow(run, schema), "pieces")
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Differences of neighbours, byte plane by byte plane (planes of zeros cost nothing
-    once Spark compresses them)."""
-    return np.diff(x, prepend=x.dtype.type(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """64-bit numbers, byte plane by byte plane (planes of zeros cost nothing once Spark
+    compresses them)."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+class Windows:
+    """The windows of the texts of a piece: ``at`` (first word), ``doc`` and the code
+    (``low``, and ``high`` for codes of over 8 bytes); ``order`` puts equal codes side by side,
+    ``fresh`` marks the first of each there, ``least`` is the least document of each."""
+
+    def __init__(self, ids: np.ndarray, texts: list, window: int, wide: bool):
+        self.words = w = Words(texts)
+        self.at = np.flatnonzero(w.inside(window))
+        self.doc = ids[w.doc[self.at]]
+        self.low = w.window_hash(window)[self.at]
+        self.high = w.window_hash(window, _SALT)[self.at] if wide else None
+        self.order = np.lexsort((self.high, self.low)) if wide else np.argsort(self.low, kind="stable")
+        if len(self.at):
+            self.fresh = _fresh(*[c[self.order] for c in self.codes()])
+            self.least = np.minimum.reduceat(self.doc[self.order], np.flatnonzero(self.fresh))
+
+    def codes(self) -> list[np.ndarray]:
+        return [self.low] if self.high is None else [self.low, self.high]
 
 
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").reshape(-1))
+def _fresh(*sorted_codes: np.ndarray) -> np.ndarray:
+    """Where a sorted run of codes (parts of one code) starts anew."""
+    out = np.zeros(len(sorted_codes[0]), bool)
+    out[0] = True
+    for c in sorted_codes:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
-_SENT = "g long, piece long, n int, code binary, doc binary, part binary, place binary"
+_SENT = "g long, piece long, low binary, high binary, doc binary, base long"
+_ANSWER = "piece long, low binary, high binary, doc binary, base long"
 
 
-def _send(ids: np.ndarray, parts: np.ndarray, texts: list, window: int, counts: dict[int, np.ndarray],
-          groups: int, size: int) -> Iterator[tuple]:
-    """Rows for the groups from one piece of the input."""
-    w = Words(texts)
-    at = np.flatnonzero(w.inside(window))
-    if not len(at):
+def _send(piece: int, ids: np.ndarray, texts: list, window: int, groups: int, wide: bool) -> Iterator[tuple]:
+    """Rows for the groups: every distinct window of some texts of a piece, with its least document."""
+    w = Windows(ids, texts, window, wide)
+    if not len(w.at):
         return
-    h = w.window_hash(window)
-    by = h
-    for x, p in reversed(list(_prefixes(w, window))):
-        by = np.where(counts[x][(p % U(SKETCH)).astype(np.int64)] <= GROUP // 8, p, by)
-    group = ((mix(by ^ U(0xD6E8FEB86659FD93)) >> U(16)) % U(groups)).astype(np.int64)[at]
-    code = [h[at], w.window_hash(window, 0x5851F42D4C957F2D)[at]] if size > 8 else [h[at]]
-    text = w.doc[at]
-    doc, part, place = ids[text], parts[text], at - w.first[text]
-    # a node met in several documents of this piece: only the least one's places are sent
-    order = np.argsort(code[0], kind="stable")
-    same = code[0][order]
-    fresh = np.concatenate([[True], same[1:] != same[:-1]])
+    some = w.order[w.fresh]
+    low, high = w.low[some], w.high[some] if wide else None
+    group = (((low >> U(32)) * U(groups)) >> U(32)).astype(np.int64)   # ascending, as the codes are
+    cut = np.flatnonzero(np.diff(group, prepend=-1))
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(low)]):
+        yield (int(group[lo]), piece, *_packed(low[lo:hi], high[lo:hi] if wide else None, w.least[lo:hi]))
+
+
+def _packed(low: np.ndarray, high: np.ndarray | None, doc: np.ndarray) -> tuple[bytes, bytes, bytes, int]:
+    """Ascending codes as differences, documents as distances from the least one."""
+    base = int(doc.min())
+    return (_planes(np.diff(low, prepend=U(0))), b"" if high is None else high.astype("<u8").tobytes(),
+            _planes((doc.view(np.uint64) - np.int64(base).view(np.uint64))), base)
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, low, high, doc) of packed rows; high is zero for short codes."""
+    low = [np.cumsum(_from_planes(x, U), dtype=U) for x in t["low"].to_pylist()]
+    size = [len(x) for x in low]
+    high = [np.frombuffer(x, "<u8") if x else np.zeros(n, U) for x, n in zip(t["high"].to_pylist(), size)]
+    doc = [(_from_planes(x, U) + np.int64(b).view(np.uint64)).view(np.int64) for x, b in zip(t["doc"].to_pylist(), t["base"].to_pylist())]
+    none = np.zeros(0, U)
+    return (np.repeat(np.arange(len(size)), size), np.concatenate([none, *low]), np.concatenate([none, *high]),
+            np.concatenate([none.view(np.int64), *doc]))
+
+
+def _answer(t: pa.Table) -> pa.Table:
+    """The entries of a group that a lesser document has, too; a row per row of the group."""
+    row, low, high, doc = _unpacked(t)
+    order = np.lexsort((high, low))
+    fresh = _fresh(low[order], high[order])
     least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-    covered = np.zeros(len(at), bool)
-    covered[order] = doc[order] > least
-    # ... and of these the first one; the others follow it
-    run = np.cumsum(fresh) - 1
-    own = np.flatnonzero(doc[order] == least)
-    first = np.empty(int(run[-1]) + 1, np.int64)
-    first[run[own[::-1]]] = order[own[::-1]]
-    leads = np.arange(len(at))
-    leads[order[own]] = first[run[own]]
-    # the key brings a piece's places together again; what is covered already takes part in
-    # that only, by a group number beyond the groups; what follows, by one beyond those
-    piece = int(mix(np.array([ids[0] * 31 + parts[0]], np.int64).view(np.uint64)).view(np.int64)[0])
-    group = np.where(covered, groups + piece % groups, group)
-    group = np.where(leads != np.arange(len(at)), 2 * groups + piece % groups, group)
-    lead_part, lead_place = part[leads], place[leads]
-    order = np.argsort(group, kind="stable")
-    cut = np.flatnonzero(np.diff(group[order], prepend=-1))
-    raw = np.stack(code, axis=1)[order].astype("<u8").view(np.uint8).reshape(len(at), -1)[:, :size]
-    doc, part, place = doc[order], part[order], place[order]
-    lead_part, lead_place = lead_part[order], lead_place[order]
-    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(at)]):
-        g = int(group[order[lo]])
-        what = (raw[lo:hi].tobytes() if g < groups else b"" if g < 2 * groups
-                else _planes(lead_part[lo:hi]) + _planes(lead_place[lo:hi]))
-        yield (g, piece, hi - lo, what, _planes(doc[lo:hi]),
-               _planes(part[lo:hi]), _planes(place[lo:hi]))
-
-
-_COVERED = "id long, part long, places array<int>"
-_BACK = "piece long, lead binary, doc binary, part binary, place binary"
-
-
-def _by_text(t: pa.Table) -> pa.Table:
-    """The covered places of a piece, one row per text."""
-    doc, part, place = (np.concatenate([_from_planes(x.as_py()) for x in t[c]]) for c in ("doc", "part", "place"))
-    # places that follow another one: covered if that one is
-    lead = [x.as_py() for x in t["lead"]]
-    size = [len(x.as_py()) // 8 for x in t["doc"]]
-    follows = np.repeat([len(x) > 0 for x in lead], size)
-    if follows.any():
-        to_part, to_place = part.copy(), place.copy()
-        to_part[follows] = np.concatenate([_from_planes(x[:len(x) // 2]) for x in lead if x])
-        to_place[follows] = np.concatenate([_from_planes(x[len(x) // 2:]) for x in lead if x])
-        order = np.lexsort((to_place, to_part, doc))
-        d, p, w = doc[order], to_part[order], to_place[order]
-        run = np.cumsum(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1]) | (w[1:] != w[:-1])])) - 1
-        hit = order[np.bincount(run, weights=~follows[order])[run] > 0]
-        doc, part, place = doc[hit], part[hit], place[hit]
-    order = np.lexsort((place, part, doc))
-    doc, part, place = doc[order], part[order], place[order]
-    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])) if len(doc) else np.zeros(0, int)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array(place, pa.int32()))
-    return pa.table({"id": pa.array(doc[at]), "part": pa.array(part[at]), "places": lists})
-
-
-def covered_places(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """docs(id, part, text) -> (id, part, places): the words of each text at which a window
-    starts that also starts in a document with a smaller id; several rows per text."""
-    counts, suffixes = prefix_counts(docs.select("text"), window)
-    groups = max(1, -(-suffixes // GROUP))
-    bits = 2 * int(suffixes).bit_length() + 8 - (groups.bit_length() - 1)
-    size = max(7, -(-bits // 8))
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for b in batches:
-            ids, parts = b.column(0).to_numpy(), b.column(1).to_numpy()
-            texts = b.column(2).to_pylist()
-            for lo, hi in chunks(texts, _CHUNK):
-                rows = list(_send(ids[lo:hi], parts[lo:hi], texts[lo:hi], window, counts, groups, size))
-                if rows:
-                    cols = list(zip(*rows))
-                    kinds = [pa.int64(), pa.int64(), pa.int32()] + [pa.binary()] * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                                     ["g", "piece", "n", "code", "doc", "part", "place"])
-
-    def subtrees(t: pa.Table) -> pa.Table:
-        column = lambda c: np.concatenate([_from_planes(x.as_py()) for x in t[c]])
-        doc, part, place = column("doc"), column("part"), column("place")
-        row = np.repeat(np.arange(t.num_rows), t["n"].to_numpy())
-        if t["g"][0].as_py() < groups:
-            raw = np.frombuffer(b"".join(x.as_py() for x in t["code"]), np.uint8).reshape(-1, size)
-            wide = np.zeros((len(raw), 16), np.uint8)
-            wide[:, :size] = raw
-            low, high = np.ascontiguousarray(wide.view("<u8").T)
-            order = np.argsort(low, kind="stable") if size <= 8 else np.lexsort((high, low))
-            low, high = low[order], high[order]
-            fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-            least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-            hit = np.sort(order[doc[order] > least])
-            doc, part, place, row = doc[hit], part[hit], place[hit], row[hit]
-        at = np.flatnonzero(np.diff(row, prepend=-1))
-        spans = list(zip(at, [*at[1:], len(row)]))
-        planes = lambda x: pa.array([_planes(x[i:j]) for i, j in spans], pa.binary())
-        took = pa.array(row[at], pa.int64())
-        lead = t["code"].take(took) if t["g"][0].as_py() >= groups else pa.array([b""] * len(at), pa.binary())
-        return pa.table({"piece": t["piece"].take(took), "lead": lead, "doc": planes(doc),
-                         "part": planes(part), "place": planes(place)})
-    back = docs.mapInArrow(send, _SENT).groupBy("g").applyInArrow(subtrees, _BACK)
-    return back.groupBy("piece").applyInArrow(_by_text, _COVERED)
+    hit = np.sort(order[doc[order] > least])   # by row, and in a row by code
+    cut = np.flatnonzero(np.diff(row[hit], prepend=-1))
+    wide = any(t["high"].to_pylist())
+    rows = [(t["piece"][int(row[hit[lo]])].as_py(), *_packed(low[hit[lo:hi]], high[hit[lo:hi]] if wide else None, doc[hit[lo:hi]]))
+            for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(hit)])]
+    cols = list(zip(*rows)) or [()] * 5
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in _ANSWER.split(", ")])
+
+
+def _covered(ids: np.ndarray, known: np.ndarray, texts: list, answers: pa.Table, window: int, wide: bool) -> tuple[Words, np.ndarray]:
+    """(words, whether each goes) of the texts of a whole piece."""
+    some = np.flatnonzero(known)
+    every = Words(texts)
+    gone = np.zeros(len(every.start) + 1, np.int64)
+    w = Windows(ids[some], [texts[i] for i in some.tolist()], window, wide)
+    if len(w.at):
+        _, low, high, doc = _unpacked(answers)
+        node = np.cumsum(w.fresh) - 1
+        later = w.doc[w.order] > w.least[node]
+        if len(low):
+            # the answered pairs whose document is the piece's least of that window
+            mine = np.flatnonzero(w.fresh)
+            own_low = w.low[w.order[mine]]
+            if wide:
+                pairs = np.concatenate([np.stack([own_low, w.high[w.order[mine]], w.least.view(U)], axis=1), np.stack([low, high, doc.view(U)], axis=1)])
+                _, inverse = np.unique(pairs, axis=0, return_inverse=True)
+                told = np.isin(inverse[:len(mine)], inverse[len(mine):])
+            else:
+                order = np.lexsort((doc, low))
+                low, doc = low[order], doc[order]
+                at = np.searchsorted(low, own_low)
+                last = np.searchsorted(low, own_low, side="right")
+                told = np.zeros(len(mine), bool)
+                while (open_ := (at < last) & ~told).any():   # a window is answered a few times per piece at most
+                    told |= open_ & (doc[np.minimum(at, len(doc) - 1)] == w.least)
+                    at = at + 1
+            later |= told[node]
+        place = w.at[w.order[later]]
+        # places count the words of known texts; in all texts the same words have these numbers
+        shift = every.first[some] - w.words.first[:len(some)]
+        place = place + shift[w.words.doc[place]]
+        gone += np.bincount(place, minlength=len(gone))
+        gone -= np.bincount(place + window, minlength=len(gone))[:len(gone)]
+    return every, np.cumsum(gone[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+                   keep: tuple[str, ...] = (), with_text: bool = False, with_spans: bool = False) -> DataFrame:
     """Per row of ``docs``: id, n_words, n_removed, kept_sha256, the columns ``keep`` and, with
-    ``with_text``, kept_text (the kept words joined by one space)."""
-    spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 16)).alias("part"),
-                      F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    known = src.select("id", "part", "text").where("id is not null and text is not null")
-    places = stage(covered_places(known, window=window), "covered")
-    release(spark)
-    places = places.groupBy("id", "part").agg(F.flatten(F.collect_list("places")).alias("places"))
-    rows = src.join(places, ["id", "part"], "left").select("id", "places", "text", *[f"keep_{c}" for c in keep])
-
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``with_text``, kept_text (the kept words joined by one space), with ``with_spans``, spans
+    (first and last word of every removed passage, from 0)."""
+    source = pieces(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                                *[F.col(c).alias(f"keep_{c}") for c in keep]))
+    size = source.agg(F.sum(F.length("text"))).first()[0] or 0
+    groups = max(1, -(-size // (_WORD * GROUP)))
+    wide = 2 * (size // 2 + 1).bit_length() + 8 - (groups.bit_length() - 1) > NARROW
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         for b in batches:
-            n, gone, sha, kept_text = [], [], [], []
-            for at, text in zip(b.column(1), b.column(2)):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                n.append(len(words))
-                if at.is_valid:
-                    start = np.zeros(len(words) + 1, np.int64)
-                    p = np.unique(at.values.to_numpy())
-                    start[p] += 1
-                    start[p + window] -= 1
-                    stay = np.cumsum(start[:-1]) == 0
-                    words = [x for x, k in zip(words, stay.tolist()) if k]
-                gone.append(n[-1] - len(words))
-                left = b" ".join(words)
-                sha.append(hashlib.sha256(left).hexdigest())
-                if with_text:
-                    kept_text.append(left.decode("utf-8", "surrogatepass"))
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
-            names = ["id", "n_words", "n_removed", "kept_sha256"]
+            number, ids, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            cut = np.flatnonzero(np.diff(number, prepend=number[0] - 1)).tolist()
+            for a, z in zip(cut, [*cut[1:], len(number)]):
+                rows = [r for lo, hi in chunks(texts[a:z], _CHUNK)
+                        for r in _send(int(number[a]), ids[a + lo:a + hi], texts[a + lo:a + hi], window, groups, wide)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                                     [c.split()[0] for c in _SENT.split(", ")])
+    known = source.select("piece", "id", "text").where("id is not null and text is not null")
+    answers = stage(known.mapInArrow(send, _SENT).groupBy("g").applyInArrow(_answer, _ANSWER), "answers")
+
+    def mark(t: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, texts = t["id"].fill_null(0).to_numpy(), t["text"].to_pylist()
+        known = t["id"].is_valid().to_numpy() & t["text"].is_valid().to_numpy()
+        w, gone = _covered(ids, known, texts, answers, window, wide)
+        raw, first = w.buf.tobytes(), w.first.tolist()
+        out: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "kept_sha256", "kept_text", "spans")}
+        for lo, hi in zip(first[:len(texts)], first[1:]):
+            g = gone[lo:hi]
+            stay = np.flatnonzero(~g) + lo
+            left = b" ".join([raw[i:j] for i, j in zip(w.start[stay].tolist(), w.end[stay].tolist())])
+            out["n_words"].append(hi - lo)
+            out["n_removed"].append(hi - lo - len(stay))
+            out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
             if with_text:
-                cols.append(pa.array(kept_text, pa.string()))
-                names.append("kept_text")
-            yield pa.RecordBatch.from_arrays(cols + b.columns[3:], names + b.schema.names[3:])
-    fields = [T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()),
-              T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+                out["kept_text"].append(left.decode("utf-8", "surrogatepass"))
+            if with_spans:
+                edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
+                out["spans"].append([{"first": i, "last": j - 1} for i, j in zip(edge[::2].tolist(), edge[1::2].tolist())])
+        made = [pa.array(out[f.name], k) for f, k in zip(fields, kinds)]
+        return pa.table([t["id"], *made, *[t[f"keep_{c}"] for c in keep]], names=["id", *[f.name for f in fields], *[f"keep_{c}" for c in keep]])
+    span = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
+    kinds = [pa.int64(), pa.int64(), pa.string()]
     if with_text:
         fields.append(T.StructField("kept_text", T.StringType()))
-    out = rows.mapInArrow(fn, T.StructType(fields + rows.schema.fields[3:]))
-    return out.select(F.col("id").alias(id_col), *[f.name for f in fields[1:]],
-                      *[F.col(f"keep_{c}").alias(c) for c in keep])
+        kinds.append(pa.string())
+    if with_spans:
+        fields.append(T.StructField("spans", span))
+        kinds.append(pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+    schema = T.StructType([T.StructField("id", T.LongType()), *fields, *[f for f in source.schema.fields if f.name.startswith("keep_")]])
+    out = source.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(mark, schema)
+    return out.select(F.col("id").alias(id_col), *[f.name for f in fields], *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 @register("op10_substring_dedup")

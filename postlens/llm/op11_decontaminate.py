@@ -77,8 +77,8 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in sizes)
     blocks = max(1, -(-sum(r["bytes"] for r in sizes) // BLOCK_BYTES))
     w = docs.where("text is not null").select("doc", "text", words(F.col("text")).alias("w"))
-    w = w.where(F.size("w") >= (lengths[0] if lengths else 1))
-    places = w.select("doc", "text", "w", F.explode(F.sequence(F.lit(0), F.size("w") - (lengths[0] if lengths else 1))).alias("at"))
+    last = F.size("w") - (lengths[0] if lengths else 1)   # no filter on it: that would search the words twice
+    places = w.select("doc", "text", "w", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
     at = F.col("at")
     if len(lengths) > 1:   # short items: a place starts a window of each length
         one = lambda n: F.struct(F.lit(n).alias("n"), F.when(
@@ -91,8 +91,10 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     out = None
     for b in range(blocks):
         block = grams.where(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else grams
-        found = places.join(F.broadcast(block), (F.col("hash") == F.col("h")) & (F.col("len") == F.col("n"))
-                            & (_gram(F.col("w"), at, F.col("len")) == F.col("gram")))
+        # each a prefix of the other: equal, but no join key, so only the words of hash hits are joined
+        text = _gram(F.col("w"), at, F.col("len"))
+        found = places.join(F.broadcast(block), (F.col("hash") == F.col("h"))
+                            & F.startswith(text, F.col("gram")) & F.startswith(F.col("gram"), text))
         found = found.select("doc", F.xxhash64("text").alias("mark"), "at", "n", "h", "twin")
         out = found if out is None else out.unionByName(found)
     return out

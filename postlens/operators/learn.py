@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import (CountVectorizer, ElementwiseProduct, IDF, Imputer, IndexToString,
+from pyspark.ml.feature import (ElementwiseProduct, Imputer, IndexToString,
                                 Normalizer, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions import text as TX
+from postlens.operators import terms as TM
 from postlens.operators.enrich import MODEL_DROP
 
 LABEL = "engagement_rate"
@@ -173,57 +174,87 @@ def with_terms(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("__terms", TX.word_bigrams(F.coalesce(F.col(text), F.lit(""))))   # null: no terms
 
 
+def term_features(stages: Sequence, df: DataFrame, text: str = "text") -> DataFrame:
+    """K6: column ``__x``: 1 + ln(tf) times idf, L2-normalised.  stages: the counter, the idf
+    product and the normaliser of a fitted classifier."""
+    cv, idf, norm = stages[:3]
+    return norm.transform(idf.transform(TM.sublinear(cv.transform(with_terms(df, text)), "__tf")))
+
+
 def fit_comment_classifier(corpus: DataFrame, *, text: str = "text", label: str = "label",
                            vocab_size: int = 5000, max_iter: int = 1000, tol: float = 1e-4) -> PipelineModel:
-    """K6: TF-IDF (top ``vocab_size`` terms, idf = ln((1+n)/(1+df)) + 1, L2) +
+    """K6: TF-IDF as J13 (top ``vocab_size`` terms, 1 + ln(tf), idf = ln((1+n)/(1+df)) + 1, L2) +
     multinomial logistic regression with balanced class weights and the
     ridge strength of C = 1 (regParam = 1/n on the weight-normalised loss);
-    stopping tolerance 1e-4 as the reference's solver."""
+    stopping tolerance 1e-4 as the reference's solver.  The stages of the result are a
+    container for the model store; ``classify_comments`` applies them."""
     w = class_weights(corpus, label=label).select(label, "weight")
     # written once: L-BFGS passes over the rows in every iteration; dealt by a hash of the
     # text, so a fit does not depend on how the corpus was partitioned
     from postlens.operators.orderstats import materialized
     corpus = materialized(corpus.select(F.coalesce(text, F.lit("")).alias(text), label))
     n = corpus.count()
-    data = with_terms(corpus.join(F.broadcast(w), label), text)      # w: one row per label
-    data = data.repartition(fit_partitions(n), F.xxhash64(text)).cache()
-    cv = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab_size).fit(data)
-    idf = IDF(inputCol="__tf", outputCol="__tfidf_s").fit(cv.transform(data))
-    scale = Vectors.dense([v + 1.0 for v in idf.idf.toArray()])  # vocab-sized: bounded
+    data = materialized(corpus.join(F.broadcast(w), label)           # w: one row per label
+                        .repartition(fit_partitions(n), F.xxhash64(text)))
+    tokens = materialized(TM.spread(data).select(TX.word_tokens(text).alias("toks")))
+    cv = TM.counter(TM.vocabulary(tokens, vocab_size) or [""], "__terms", "__tf")
+    seen = TM.document_counts(cv.transform(with_terms(data, text)).select(TM.sparse_parts("__tf").alias("p")), F.col("p.indices"))
+    idf = [math.log(1 + n) + 1.0] * len(cv.vocabulary)               # of a term that no row has
+    for r in seen.select("i", TM.idf_of(F.col("df"), F.lit(n)).alias("idf")).collect():          # vocab-sized: bounded
+        idf[r["i"]] = r["idf"]
+    head = [cv, ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__tfidf"),
+            Normalizer(inputCol="__tfidf", outputCol="__x", p=2.0)]
     lab = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(data)
-    head = [cv, ElementwiseProduct(scalingVec=scale, inputCol="__tf", outputCol="__tfidf"),
-            Normalizer(inputCol="__tfidf", outputCol="__x", p=2.0), lab]
-    feats = PipelineModel(stages=head).transform(data)
+    feats = lab.transform(term_features(head, data, text)).select("__x", "__y", "weight").cache()
     lr = LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="weight", family="multinomial",
                             regParam=1.0 / max(n, 1), elasticNetParam=0.0, standardization=False,
-                            maxIter=max_iter, tol=tol).fit(feats.cache())
+                            maxIter=max_iter, tol=tol).fit(feats)
     feats.unpersist()
     back = IndexToString(inputCol="prediction", outputCol="label_pred", labels=lab.labels)
-    data.unpersist()
-    return PipelineModel(stages=head[:3] + [lr, back])
+    return PipelineModel(stages=head + [lr, back])
+
+
+def class_probabilities(model: PipelineModel, df: DataFrame, *, text: str = "comment_text") -> DataFrame:
+    """The columns of df with ``label_pred`` and ``probability`` (an array by label, in
+    alphabetical order)."""
+    keep = df.columns
+    lr, back = model.stages[3:]
+    s = back.transform(lr.transform(term_features(model.stages, df, text)))
+    return s.select(*keep, "label_pred", vector_to_array("probability").alias("probability"))
 
 
 def classify_comments(model: PipelineModel, df: DataFrame, *, text: str = "comment_text") -> DataFrame:
     """J4 (label part): predicted label and its probability (rounded to 3)."""
-    keep = df.columns
-    s = model.transform(with_terms(df, text))
-    return s.select(*keep, F.col("label_pred").alias("label"),
-                    F.round(F.array_max(vector_to_array("probability")), 3).alias("confidence"))
+    s = class_probabilities(model, df, text=text)
+    return s.select(*df.columns, F.col("label_pred").alias("label"),
+                    F.round(F.array_max("probability"), 3).alias("confidence"))
+
+
+def with_extra(corpus: DataFrame, extra: DataFrame | None, *, text: str = "text", label: str = "label") -> DataFrame:
+    """K8: the corpus with further labelled rows (columns text and label; rows without a
+    label are left out)."""
+    if extra is None:
+        return corpus
+    return corpus.unionByName(extra.where(F.col(label).isNotNull()).select(
+        *[F.col(c) if c in (text, label) else F.lit(None).cast(t).alias(c) for c, t in corpus.dtypes]))
 
 
-def cross_validate(corpus: DataFrame, *, folds: int = 3, text: str = "text", label: str = "label",
-                   id_col: str = "text", seed: int = 42) -> DataFrame:
+def cross_validate(corpus: DataFrame, *, extra: DataFrame | None = None, folds: int = 3, text: str = "text",
+                   label: str = "label", id_col: str = "text", seed: int = 42, fit=None, predict=None) -> DataFrame:
     """K8: k-fold accuracy (mean, population sd), n, per-label counts, over stratified
-    folds (``with_folds``).  The folds are written once for all fits; a null text is an
-    empty one."""
+    folds (``with_folds``) of the corpus and the ``extra`` labelled rows.  The folds are
+    written once for all fits; a null text is an empty one.  ``fit(rows)`` and
+    ``predict(model, rows with the label as __true)`` default to the comment classifier."""
     from postlens.operators.orderstats import materialized
+    fit = fit or (lambda rows: fit_comment_classifier(rows, text=text, label=label))
+    predict = predict or (lambda model, rows: classify_comments(model, rows, text=text))
+    corpus = with_extra(corpus, extra, text=text, label=label)
     f = materialized(with_folds(corpus, label=label, id_col=id_col, folds=folds, seed=seed)
                      .withColumnRenamed("fold", "__fold"))
     accs = []
     for k in range(folds):
-        m = fit_comment_classifier(f.where(F.col("__fold") != k).drop("__fold"), text=text, label=label)
-        p = classify_comments(m, f.where(F.col("__fold") == k).drop("__fold")
-                              .withColumnRenamed(label, "__true"), text=text)
+        m = fit(f.where(F.col("__fold") != k).drop("__fold"))
+        p = predict(m, f.where(F.col("__fold") == k).drop("__fold").withColumnRenamed(label, "__true"))
         accs.append(p.agg(F.avg((F.col("label") == F.col("__true")).cast("double")).alias("acc"))
                     .withColumn("fold", F.lit(k)))
     a = accs[0]
@@ -231,13 +262,21 @@ def cross_validate(corpus: DataFrame, *, folds: int = 3, text: str = "text", lab
         a = a.unionByName(x)
     stats = a.agg(F.round(F.avg("acc"), 4).alias("cv_accuracy_mean"),
                   F.round(F.stddev_pop("acc"), 4).alias("cv_accuracy_std"))
-    dist = corpus.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(
+    dist = f.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(
         F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("label_distribution"),
         F.sum("n").alias("n_samples"))
     return stats.withColumns({"label_distribution": dist.select("label_distribution").scalar(),
                               "n_samples": dist.select("n_samples").scalar()})
 
 
+def retrain_comment_classifier(corpus: DataFrame, extra: DataFrame | None = None, *, folds: int = 3, text: str = "text",
+                               label: str = "label", seed: int = 42):
+    """K6 + K8: (model, summary): the cross-validated accuracy of the corpus and the ``extra``
+    labelled rows, and the classifier fitted on all of them."""
+    summary = cross_validate(corpus, extra=extra, folds=folds, text=text, label=label, id_col=text, seed=seed)
+    return fit_comment_classifier(with_extra(corpus, extra, text=text, label=label), text=text, label=label), summary
+
+
 def retrain(base: DataFrame, pool: DataFrame | None, *, label: str = LABEL, id_col: str = "post_id",
             max_depth: int = MAX_DEPTH, seed: int = 42):
     """K5: base + labelled pool rows (shared columns) → drop non-features →

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions import text as TX
+from postlens.operators.terms import tfidf  # noqa: F401  (J13)
 
 # Fixed value: VADER's compound normalisation constant.
 POLARITY_ALPHA = 15.0
@@ -113,28 +114,6 @@ def top_comments(tagged: DataFrame, *, k: int = 10, label: str = "label",
                     "vader_compound", "confidence"))
 
 
-def tfidf(df: DataFrame, *, id_col: str = "comment_id", text: str = "comment_text",
-          vocab_size: int = 5000) -> DataFrame:
-    """Sublinear tf × smooth idf over the ``vocab_size`` most frequent
-    terms, L2-normalised per document.  Rows: (id, term, weight)."""
-    # the vocabulary first (one aggregate over terms), so that only its terms are ever
-    # counted per document
-    from postlens.operators.orderstats import materialized
-    terms = df.select(id_col, F.explode(TX.word_bigrams(text)).alias("term"))
-    vocab = materialized(terms.groupBy("term").agg(F.count(F.lit(1)).alias("total"))
-                         .orderBy(F.col("total").desc(), F.col("term")).limit(vocab_size).select("term"))  # ≤ vocab_size rows
-    tc = materialized(terms.join(F.broadcast(vocab), "term").groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))          # one row
-    idf = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("n_docs", n_docs.scalar()).select(
-        "term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = (tc.join(F.broadcast(idf), "term")
-         .select(id_col, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
-    norm = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # one row per document: Catalyst broadcasts it while small (size-checked),
-    # else a sort-merge join on the document id
-    return w.join(norm, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
 def page_links(pages: DataFrame, *, html: str = "html", page_id: str = "page_id",
                post_links_only: bool = True) -> DataFrame:
     """J14 + J10 + F6: distinct links in stored pages, first seen (page, position),

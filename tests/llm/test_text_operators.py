@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from postlens.llm.op10_substring_dedup import LEVELS, SKETCH, _send, remove_repeats
+from postlens.llm.op10_substring_dedup import _send, remove_repeats
 from postlens.llm.op3_near_dedup import _BAND, near_duplicates
 from postlens.llm.op5_iblt import compare_with_next, differences, elements
 from postlens.llm.op6_language import fit, held_out, predict
@@ -153,7 +153,7 @@ def _brute_repeats(rows, window):
 
 @pytest.mark.parametrize("window", [3, 13])
 def test_substring_dedup_equals_brute_force(docs, window, monkeypatch):
-    monkeypatch.setattr("postlens.llm.op10_substring_dedup.GROUP", 500)     # many groups, long prefixes
+    monkeypatch.setattr("postlens.llm.op10_substring_dedup.GROUP", 500)     # many groups
     shared = " ".join(_words(40, 1))
     rows = [(i, " ".join(_words(30, i)) + "\n" + shared * (i % 3 == 0) + " " + " ".join(_words(i % 17, 7))) for i in range(60)]
     rows += [(70, rows[2][1]), (71, rows[2][1]), (71, rows[5][1]), (71, rows[5][1]), (72, None), (73, ""),
@@ -164,10 +164,9 @@ def test_substring_dedup_equals_brute_force(docs, window, monkeypatch):
 
 
 def test_substring_dedup_of_a_hot_window(docs, monkeypatch):
-    """However often a piece meets a window, its group gets one place; the others follow."""
-    sent = _send(np.arange(3), np.zeros(3, np.int64), ["na " * 5000, "na " * 400, "b " * 90], 13,
-                 {x: np.zeros(SKETCH, np.int64) for x in LEVELS}, 4, 8)
-    assert sum(row[2] for row in sent if row[0] < 4) == 2
+    """However often a piece meets a window, its group gets one entry."""
+    sent = list(_send(0, np.arange(3), ["na " * 5000, "na " * 400, "b " * 90], 13, 4, False))
+    assert sum(len(row[2]) // 8 for row in sent) == 2
     monkeypatch.setattr("postlens.llm.op10_substring_dedup._CHUNK", 900)     # several pieces
     rows = [(i, ("na " * (200 + i) if i % 3 else "na ho " * 90) + " ".join(_words(20, i))) for i in range(40)]
     rows += [(5, "na " * 30), (41, "x " * 50), (42, "y " * 50 + "x " * 20)]
@@ -175,6 +174,20 @@ def test_substring_dedup_of_a_hot_window(docs, monkeypatch):
     assert got == _brute_repeats(rows, 13)
 
 
+@pytest.mark.parametrize("chunk", [300, 1_500_000])
+def test_substring_dedup_of_small_pieces_wide_codes_and_spans(docs, monkeypatch, chunk):
+    monkeypatch.setattr("postlens.llm.op10_substring_dedup._CHUNK", chunk)
+    monkeypatch.setattr("postlens.llm.op10_substring_dedup.NARROW", 64 if chunk > 300 else 0)
+    shared = _words(20, 1)
+    rows = [(1, " ".join(shared)), (2, " ".join([*_words(3, 2), *shared, "end"])), (3, None), (None, " ".join(shared)), (4, ""),
+            (5, " ".join(["x", *shared[:13], "y", *shared[5:19]]))]
+    got = rows_of(remove_repeats(docs(rows), with_spans=True, with_text=True), "doc_id", "n_removed", "spans", "kept_text")
+    spans = lambda *pairs: [(a, b) for a, b in pairs]
+    assert [(r[0], r[1], [tuple(x) for x in r[2]]) for r in got] == [
+        (None, 0, spans()), (1, 0, spans()), (2, 20, spans((3, 22))), (3, 0, spans()), (4, 0, spans()), (5, 27, spans((1, 13), (15, 28)))]
+    assert [r[3] for r in got][4:] == ["", "x y"]
+
+
 def test_substring_dedup_of_an_empty_table(docs):
     assert remove_repeats(docs([])).collect() == []
 
