@@ -18,6 +18,10 @@ from postlens.functions import stats as S
 
 METRIC = "engagement_rate"
 MIN_N = 5
+PAIR_BLOCKS = 16
+# What a custom experiment can choose.
+ALL_VARIABLES = ("media_type", "content_category", "account_type", "has_call_to_action", "hour")
+ALL_METRICS = ("engagement_rate", "likes", "shares", "saves")
 
 # Fixed value: the default test battery (variable, group A, group B).
 DEFAULT_TESTS = (
@@ -112,7 +116,31 @@ def ab_pairs(df: DataFrame, *, variable: str, pairs: Sequence[tuple], metric: st
     """H6/H8: chosen (A, B) pairs of one variable, one scan for all of them."""
     mom = group_moments(df, variables=[variable], metric=metric)
     tests = _tests_frame(df, [(variable, a, b) for a, b in pairs])
-    j = _paired(mom, tests)
+    return _report(_paired(mom, tests).withColumn("metric", F.lit(metric)), ["test_no"], alpha, conf)
+
+
+def ab_all_pairs(df: DataFrame, *, variables: Sequence[str] = ALL_VARIABLES, metrics: Sequence[str] = ALL_METRICS,
+                 alpha: float = 0.05, conf: float = 0.95) -> DataFrame:
+    """H8: every pair of values (group_a < group_b, as strings) of each variable, for each
+    metric.  The facts are scanned once; the pairs are a theta self-join of the moments.  One
+    side of it is dealt into ``PAIR_BLOCKS`` blocks, so a variable of many values isn't one task."""
+    cells = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("value")) for v in variables]))
+    facts = df.select(cells.alias("p"), F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("m"))
+                                                  for m in metrics]).alias("ms"))
+    facts = facts.where("p.value is not null").select("p.*", F.explode("ms").alias("x")).select("variable", "value", "x.*")
+    from postlens.operators.orderstats import materialized
+    mom = materialized(facts.where("m is not null").groupBy("variable", "metric", "value").agg(
+        F.count("m").alias("n"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("std")))
+    key = ["variable", "metric", "block"]
+    side = lambda x: [F.col(c).alias(f"{'group' if c == 'value' else c}_{x}") for c in ("value", "n", "mean", "std")]
+    a = mom.select("variable", "metric", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PAIR_BLOCKS - 1).cast("long"))).alias("block"), *side("a"))
+    b = mom.select("variable", "metric", F.pmod(F.xxhash64("value"), F.lit(PAIR_BLOCKS)).alias("block"), *side("b"))
+    pairs = a.join(b, key).where(F.col("group_a") < F.col("group_b")).drop("block")
+    return _report(pairs, [], alpha, conf)
+
+
+def _report(j: DataFrame, head: list[str], alpha: float, conf: float) -> DataFrame:
+    """H6 for every row of both sides' moments; under 5 rows on a side: ``error`` only."""
     s = _stats(F.col("mean_a"), F.col("std_a"), F.col("n_a"), F.col("mean_b"), F.col("std_b"),
                F.col("n_b"), alpha)
     ok = (F.col("n_a") >= MIN_N) & (F.col("n_b") >= MIN_N)
@@ -120,7 +148,7 @@ def ab_pairs(df: DataFrame, *, variable: str, pairs: Sequence[tuple], metric: st
     ci_b = _ci(F.col("mean_b"), F.col("std_b"), F.col("n_b"), conf)
     winner = F.when(F.col("mean_a") > F.col("mean_b"), F.col("group_a")).otherwise(F.col("group_b"))
     loser = F.when(F.col("mean_a") > F.col("mean_b"), F.col("group_b")).otherwise(F.col("group_a"))
-    body = j.select("test_no", "variable", "group_a", "group_b", F.lit(metric).alias("metric"),
+    body = j.select(*head, "variable", "group_a", "group_b", "metric",
                     "n_a", "n_b", "mean_a", "mean_b", "std_a", "std_b",
                     ci_a[0].alias("ci_a_lo"), ci_a[1].alias("ci_a_hi"),
                     ci_b[0].alias("ci_b_lo"), ci_b[1].alias("ci_b_hi"),
@@ -143,7 +171,7 @@ def ab_pairs(df: DataFrame, *, variable: str, pairs: Sequence[tuple], metric: st
     stat_cols = [c for c in out.columns if c not in ("test_no", "variable", "group_a", "group_b",
                                                      "metric", "n_a", "n_b", "significant")]
     return out.select(
-        "test_no", "variable", "group_a", "group_b", "metric", "n_a", "n_b",
+        *head, "variable", "group_a", "group_b", "metric", "n_a", "n_b",
         *[F.when(ok, F.col(c)).alias(c) for c in stat_cols],
         F.when(ok, F.col("significant")).otherwise(F.lit(False)).alias("significant"),
         F.when(ok, F.lit(None).cast("string")).otherwise(err).alias("error"))

@@ -109,3 +109,28 @@ def q_ab_test(spark, d):
 def q_ab_pairs(spark, d):
     """H8: chosen pairs of one variable in one scan."""
     return A.ab_pairs(posts(spark, d), variable="content_category", pairs=AB_PAIRS)
+
+
+_ALL_UNIONS = " UNION ALL ".join(
+    f"SELECT '{v}|{m}' AS variable, CAST({v} AS VARCHAR) AS value, CAST({m} AS DOUBLE) AS m FROM posts"
+    for v in A.ALL_VARIABLES for m in A.ALL_METRICS)
+_ALL_TESTS = """,
+tests AS (SELECT a.variable, a.value AS group_a, b.value AS group_b
+          FROM mom a JOIN mom b ON a.variable = b.variable AND a.value < b.value)"""
+
+
+@register("ab_all_pairs", with_(POSTS_CTE + _moments_sql(_ALL_UNIONS) + _ALL_TESTS + STATS_SQL, f"""
+SELECT split_part(variable, '|', 1) AS variable, split_part(variable, '|', 2) AS metric, group_a, group_b, n_a, n_b,
+       round(t_stat, 6) AS t_stat, round(dof, 4) AS dof, round(p_value, 6) AS p_value, round(cohens_d, 6) AS cohens_d,
+       {effect_label('cohens_d')} AS effect_label, round(lift_pct, 4) AS lift_pct, winner, p_value < 0.05 AS significant
+FROM s
+UNION ALL
+SELECT split_part(variable, '|', 1), split_part(variable, '|', 2), group_a, group_b, n_a, n_b,
+       NULL, NULL, NULL, NULL, NULL, NULL, NULL, false
+FROM j WHERE n_a < 5 OR n_b < 5"""))
+def q_ab_all_pairs(spark, d):
+    """H8: every pair of values of five variables, for four metrics."""
+    r = A.ab_all_pairs(posts(spark, d))
+    return r.select("variable", "metric", "group_a", "group_b", "n_a", "n_b",
+                    *[F.round(c, n).alias(c) for c, n in (("t_stat", 6), ("dof", 4), ("p_value", 6), ("cohens_d", 6))],
+                    "effect_label", F.round("lift_pct", 4).alias("lift_pct"), "winner", "significant")
