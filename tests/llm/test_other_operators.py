@@ -174,3 +174,29 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert all(left[i].text == t for i, t in rows if i < 30 and i in left) and left[45].n_chars == len(left[45].text)
     out = C.run(spark, str(tmp_path))
     assert {x.doc_id for x in out.collect()} == set(left) and [n for n, _ in C.STAGES] == ["language", "near_dedup", "substring_dedup", "packing"]
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    import corpus_pipeline as C
+    words = lambda a, n=40: " ".join(f"wort{a}x{i}" for i in range(n))
+    long = " ".join(f"lang{i}" for i in range(60_000))
+    rows = [(1, words(1)), (1, words(1)), (2, words(2)), (2, words(3)), (3, words(1)), (None, words(4)), (None, words(4)),
+            (5, None), (6, "12 34"), (7, long), (8, "a"), (9, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA)
+    before = spark.conf.get(C.BATCHES)
+    for name, df in (("rows", docs), ("none", docs.limit(0))):
+        df.selectExpr("*", "'x' AS id", "'x' AS kept", "'x' AS n").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    read = spark.read.parquet(f"{tmp_path}/rows/documents.parquet")
+    kept = C.language(spark, read, "")                     # no language is known: letters decide
+    assert kept.columns == docs.columns
+    assert rows_of(kept, "doc_id") == sorted([(i,) for i in (1, 1, 2, 2, 3, None, None, 7, 8)], key=lambda t: (t[0] is not None, t[0] or 0))
+    kept = C.near_dedup(spark, kept, "")
+    got = rows_of(kept, "doc_id", "text")
+    assert [x for x in got if x[0] is not None] == [(1, words(1)), (2, words(2)), (7, long), (8, "a")]
+    assert got[:2] == [(None, words(4))] * 2
+    left = C.substring_dedup(spark, kept, "")
+    assert {x.doc_id for x in left.collect()} >= {1, 2, 7, 8}
+    out = C.run(spark, f"{tmp_path}/rows")
+    assert {x.doc_id for x in out.collect()} >= {1, 2, 7, 8} and out.where("doc_id = 7").count() > 1
+    assert C.run(spark, f"{tmp_path}/none").collect() == []
+    assert spark.conf.get(C.BATCHES) == before
