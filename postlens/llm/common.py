@@ -6,6 +6,7 @@ import gc
 import struct
 import weakref
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Spark's own switch: an execution's shuffle files go when it ends (a lost one is made anew)
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a block; the caller's is put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stage(df: DataFrame, tag: str = "llm") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: its input is
-    computed once, the lineage is cut, and lost executors cost nothing."""
-    path = stage_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    computed once, the lineage is cut, lost executors cost nothing, and the shuffle files of
+    the write are dropped as soon as it is done."""
+    spark = df.sparkSession
+    path = stage_path(spark, tag)
+    with setting(spark, SHUFFLE_CLEANUP, "true"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
