@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import struct
+import sys
 import weakref
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -84,10 +86,20 @@ def chunks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+#: tables of loaded tokenizers, emptied with the caches
+HELD: list[dict] = []
+
+
 def forget() -> None:
-    """Empty the caches that an earlier stage has left in this worker process."""
-    for cache in list(BoundedCache.every):
-        cache.clear()
+    """Empty the caches and tokenizers that an earlier stage has left in this worker process,
+    and give their memory back to the system: workers outlive stages, so what one stage leaves
+    would add to what the next one needs."""
+    for held in [*BoundedCache.every, *HELD]:
+        held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pack_ids(ids: list[int]) -> bytes:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import BoundedCache, pack_ids, stage, table
+from postlens.llm.common import HELD, BoundedCache, pack_ids, stage, table
 from postlens.llm.registry import register
 from postlens.llm.word_bpe import WORD_BPE, WordBpe
 
@@ -70,6 +70,7 @@ class _Ids(BoundedCache):
 
 
 _READY: dict[str, _Ids] = {}
+HELD.append(_READY)
 
 
 def _ids(file: str) -> _Ids:
