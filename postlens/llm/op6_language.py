@@ -125,14 +125,21 @@ def _weigh(doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, idf: np.ndarray,
     return v / norm[doc]
 
 
+def _with_bias(at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse row as doubles, with the bias column."""
+    return np.append(at, BUCKETS), np.append(x, 1.0)
+
+
 def _ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int) -> np.ndarray:
-    """Weights (BUCKETS + 1, k); the last row is the bias."""
+    """Weights (BUCKETS + 1, k); the last row is the bias.  The rows stay as narrow as they
+    came, and one at a time is widened."""
     z, s = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
 
     def weights(z, s):
         return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(s)) / ALPHA + L2))
     for _ in range(EPOCHS):
         for at, x, y in rows:
+            at, x = _with_bias(at, x)
             zi, si = z[at], s[at]
             w = weights(zi, si)
             p = x @ w
@@ -192,13 +199,12 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     def train(t: pd.DataFrame) -> pd.DataFrame:
         t = t.sort_values(["key", "lang"], kind="stable")
-        data = [(np.append(a, BUCKETS), np.append(x, 1.0).astype(float), names.index(y))
-                for a, x, y in zip(t["at"], t["x"], t["lang"])]
+        data = [(a, x, names.index(y)) for a, x, y in zip(t["at"], t["x"], t["lang"])]
         hold = np.arange(len(data)) % 5 == 4
         fit_rows = [r for r, h in zip(data, hold) if not h]
         w = _ftrl(fit_rows, len(names))
         check = [r for r, h in zip(data, hold) if h] or fit_rows
-        logits = np.array([x @ w[a] for a, x, _ in check])
+        logits = np.array([v @ w[i] for i, v in (_with_bias(a, x) for a, x, _ in check)])
         temp = _temperature(logits, np.array([y for *_, y in check]))
         return pd.DataFrame({"w": [w.astype("<f4").tobytes()], "temp": [temp]})
     got = (map_arrow(sample, rows, "key long, lang string, at array<int>, x array<float>")
