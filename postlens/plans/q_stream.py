@@ -1,7 +1,8 @@
 """Registered queries: streams over the ``events`` table.
 
 Each runs the streaming query with ``trigger(availableNow=True)`` into files
-under the checkpoint folder and returns the written result."""
+under the checkpoint folder and returns the written result.  ``ingest_late`` and the
+``*_open`` queries run over several arrivals of rows, most of them late."""
 
 from __future__ import annotations
 
@@ -95,3 +96,50 @@ def q_ingest_late(spark, d):
             ST.ingest_stream(ST.read_stream(spark, f"{base}/in", ev.schema), pool_path=f"{base}/pool",
                              checkpoint=f"{base}/chk").awaitTermination()
     return spark.read.parquet(f"{base}/pool").select("link")
+
+
+WINDOW_ARRIVALS = 5
+
+
+def _open_windows_sql(size: str, slide: str, origin: str) -> str:
+    # arrival k holds the rows whose minute is k modulo 5; a snapshot has all arrivals up to it
+    return f"""
+WITH e AS (SELECT event_type, value, ts, minute(ts) % {WINDOW_ARRIVALS} AS came FROM events WHERE ts IS NOT NULL),
+x AS (SELECT time_bucket(INTERVAL '{slide}', ts, TIMESTAMP '{origin}') - INTERVAL '{slide}' * k AS window_start,
+             event_type, value, came
+      FROM e, range(0, CAST(epoch(INTERVAL '{size}') / epoch(INTERVAL '{slide}') AS BIGINT)) r(k)),
+s AS (SELECT came, window_start, event_type, sum(CAST(value AS DECIMAL(28,9))) AS total,
+             count(value) AS n_values, count(*) AS n
+      FROM x GROUP BY came, window_start, event_type)
+SELECT arrival, window_start, window_start + INTERVAL '{size}' AS window_end, event_type,
+       round(CAST(sum(total) AS DOUBLE) / sum(n_values), 6) AS avg_metric, CAST(sum(n) AS BIGINT) AS n
+FROM s, range(0, {WINDOW_ARRIVALS}) a(arrival) WHERE came <= arrival
+GROUP BY arrival, window_start, event_type"""
+
+
+def _open_windows(spark, d, tag, windows):
+    """Snapshots of the windows after each of several arrivals that all span the whole time."""
+    base = os.path.join(checkpoint_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+    ev = spark.read.parquet(f"{d}/events.parquet").where("ts IS NOT NULL").select("ts", "event_type", "value")
+    shots = None
+    for k in range(WINDOW_ARRIVALS):
+        ev.where(F.minute("ts") % WINDOW_ARRIVALS == k).write.mode("append").parquet(f"{base}/in")
+        with ST.utc_session(spark):
+            ST.open_windows_stream(ST.read_stream(spark, f"{base}/in", ev.schema), out=f"{base}/log",
+                                   checkpoint=f"{base}/chk", ts="ts", key="event_type", metric="value",
+                                   windows=windows).awaitTermination()
+        shot = ST.read_windows(spark, f"{base}/log", "event_type", upto=k).withColumn("arrival", F.lit(k).cast("long"))
+        shots = shot if shots is None else shots.unionByName(shot)
+    return shots.withColumn("avg_metric", F.round("avg_metric", 6))
+
+
+@register("weekly_open", _open_windows_sql("7 days", "7 days", "1970-01-05"))
+def q_weekly_open(spark, d):
+    """Weekly windows after every arrival, open ones and late rows included."""
+    return _open_windows(spark, d, "weekly-open", ST.WEEKLY)
+
+
+@register("hourly_open", _open_windows_sql("24 hours", "1 hour", "1970-01-01"))
+def q_hourly_open(spark, d):
+    """Sliding 24 h windows after every arrival, open ones and late rows included."""
+    return _open_windows(spark, d, "hourly-open", ST.HOURLY)

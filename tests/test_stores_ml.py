@@ -146,3 +146,46 @@ def test_load_or_fit_reuses_stored_model(spark):
     assert calls == [1]
     assert (K.batch_predict(m1, data).select("predicted_engagement").collect()
             == K.batch_predict(m2, data).select("predicted_engagement").collect())
+
+
+def test_open_windows_equal_the_batch_after_every_file(spark, tmp_path):
+    import datetime as dt
+
+    from postlens.streaming import streams as ST
+    schema = "ts timestamp, kind string, value double"
+    day = lambda n, h=0: dt.datetime(2024, 1, 1, h) + dt.timedelta(days=n)
+    files = [[(day(30), "a", 1.0), (day(31), "b", None), (None, "a", 9.0)],
+             [(day(2), "a", 2.5), (day(30, 5), "a", 3.0)],                  # four weeks late
+             [(day(60), "a", 4.0)], [(day(0), None, 1.0), (day(31), "b", 2.0)], [(day(2, 3), "a", 0.1)] * 3]
+    seen = None
+    for k, rows in enumerate(files):
+        df = spark.createDataFrame(rows, schema).coalesce(1)
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+        seen = df if seen is None else seen.union(df)
+        for name, windows in (("w", ST.WEEKLY), ("h", ST.HOURLY)):
+            with ST.utc_session(spark):
+                ST.open_windows_stream(ST.read_stream(spark, f"{tmp_path}/in", df.schema), out=f"{tmp_path}/{name}/log",
+                                       checkpoint=f"{tmp_path}/{name}/chk", ts="ts", key="kind", metric="value",
+                                       windows=windows).awaitTermination()
+                w = F.window("ts", *windows)
+                want = (seen.where("ts IS NOT NULL").groupBy(w.alias("w"), "kind")
+                        .agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n"))
+                        .select(F.col("w.start").cast("timestamp_ntz"), "kind", F.round("m", 9), "n"))
+                got = (ST.read_windows(spark, f"{tmp_path}/{name}/log", "kind", upto=k)
+                       .select("window_start", "kind", F.round("avg_metric", 9), "n"))
+                assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_a_replayed_batch_of_windows_counts_once(spark, tmp_path):
+    import shutil
+
+    from postlens.streaming import streams as ST
+    spark.sql("SELECT TIMESTAMP '2024-01-01 10:00:00' AS ts, 'a' AS kind, 2.0D AS value").write.parquet(f"{tmp_path}/in")
+    for _ in range(2):                                     # the second run has lost the commit of the first
+        with ST.utc_session(spark):
+            src = ST.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+            ST.open_windows_stream(src, out=f"{tmp_path}/log", checkpoint=f"{tmp_path}/chk", ts="ts", key="kind",
+                                   metric="value").awaitTermination()
+        got = ST.read_windows(spark, f"{tmp_path}/log", "kind").collect()
+        assert [(r.kind, r.avg_metric, r.n) for r in got] == [("a", 2.0, 1)]
+        shutil.rmtree(f"{tmp_path}/chk/commits")
