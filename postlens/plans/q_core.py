@@ -63,6 +63,19 @@ def q_ingest_posts(spark, d):
                     F.col("engagement_rate").isNotNull().alias("has_metric"))
 
 
+COMPLETE = ("post_id", "content_category", "media_type", "account_type", "post_datetime", "save_to_share",
+            "viral_score", "engagement_rate")
+
+
+@register("complete_posts", with_(POSTS_CTE, f"""
+SELECT {", ".join(f"round({c}, 6) AS {c}" if c in ("save_to_share", "engagement_rate") else c for c in COMPLETE)}
+FROM posts WHERE {" AND ".join(f"{c} IS NOT NULL" for c in COMPLETE)}"""))
+def q_complete_posts(spark, d):
+    """C4, any-null form: posts without a null in any column."""
+    p = X.require_metric(posts(spark, d).select(*COMPLETE), None)
+    return p.withColumns({c: F.round(c, 6) for c in ("save_to_share", "engagement_rate")})
+
+
 @register("calendar_parts_nb", with_(POSTS_CTE, """
 SELECT post_id, hour(post_datetime) AS hour, day(post_datetime) AS day,
        month(post_datetime) AS month FROM posts"""))

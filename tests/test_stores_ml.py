@@ -189,3 +189,22 @@ def test_a_replayed_batch_of_windows_counts_once(spark, tmp_path):
         got = ST.read_windows(spark, f"{tmp_path}/log", "kind").collect()
         assert [(r.kind, r.avg_metric, r.n) for r in got] == [("a", 2.0, 1)]
         shutil.rmtree(f"{tmp_path}/chk/commits")
+
+
+def test_a_pretty_printed_corpus_is_never_taken_for_an_empty_one(spark, tmp_path):
+    import json
+
+    import pytest
+    corpus = {"struggle_comments": {"x": ["a", "b"]}, "neutral_comments": ["c"],
+              "trend_keywords": {"rising": [{"keyword": "k", "velocity": 3, "category": "x"}], "declining": []}}
+    pretty, lines = f"{tmp_path}/pretty.json", f"{tmp_path}/lines.json"
+    with open(pretty, "w") as f:
+        json.dump(corpus, f, indent=2)
+    with open(lines, "w") as f:
+        f.write(json.dumps(corpus) + "\n" + "{ broken\n" + json.dumps(corpus) + "\n")
+    for read, rows in ((scan_corpus, 3), (keyword_trends, 1)):
+        for path in (pretty, lines):
+            with pytest.raises(Exception, match="MALFORMED_RECORD"):
+                read(spark, path).collect()
+        assert read(spark, pretty, multi_line=True).count() == rows
+        assert read(spark, lines, skip_bad_lines=True).count() == 2 * rows
