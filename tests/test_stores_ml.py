@@ -208,3 +208,15 @@ def test_a_pretty_printed_corpus_is_never_taken_for_an_empty_one(spark, tmp_path
                 read(spark, path).collect()
         assert read(spark, pretty, multi_line=True).count() == rows
         assert read(spark, lines, skip_bad_lines=True).count() == 2 * rows
+
+
+def test_spread_by_size_whatever_the_bridge_returns(spark, monkeypatch):
+    """The size of a plan is a Java object in some versions of the bridge and an int in others;
+    a small frame is dealt over the cores, a large one left as it is, with all rows."""
+    from postlens.operators import terms as TM
+    df = spark.range(40).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    dealt = TM.spread(df)
+    assert dealt.rdd.getNumPartitions() == cores and sorted(r.id for r in dealt.collect()) == list(range(40))
+    monkeypatch.setattr(TM, "SPREAD_BYTES", 1)
+    assert TM.spread(df).rdd.getNumPartitions() == 1
