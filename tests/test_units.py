@@ -256,3 +256,23 @@ def test_split_tags_and_post_kind(spark):
     r = df.select(TX.split_tags("t").alias("s"), TX.post_kind("link").alias("k"),
                   TX.is_post_link("link").alias("p")).first()
     assert r.s == ["fitness", "gym", "food"] and r.k == "reel" and r.p
+
+
+def test_page_fields_search_a_page_once_per_field(spark):
+    """Every pattern is searched for once per page, whatever uses its value has; a count that
+    is no number, an empty and a null page keep their values."""
+    from postlens.operators import scoring as M
+    from postlens.operators import textops as TO
+    rows = [("a", '<a rel="author" href="/u">@ann_1</a><p>1,234 likes</p><p>3.5M views</p>'
+                  '<time class="t" datetime="2024-12-30T13:05:00Z">x</time>'),
+            ("b", "<p>.,. likes</p><p>2 K comments</p><time datetime=\"soon\">"), ("c", ""), ("d", None)]
+    df = spark.createDataFrame(rows, "post_id string, html string")
+    out = M.post_time_fields(TO.page_fields(df))
+    assert out.columns == ["post_id", "html", *TO.PAGE_PATTERNS, "hour", "day_num", "month_num", "week"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    for p in [*TO.PAGE_PATTERNS.values(), "(Z|[+-]"]:
+        assert plan.count(p) == 1, p
+    got = {r.post_id: tuple(r)[2:] for r in out.collect()}
+    assert got["a"] == (1234, None, 3500000, "2024-12-30T13:05:00Z", "ann_1", 13, 0, 12, 1)
+    assert got["b"] == (0, 2000, None, "soon", None, 9, 1, 4, 16)
+    assert got["c"] == got["d"] == (None, None, None, None, None, 9, 1, 4, 16)
