@@ -220,3 +220,30 @@ def test_spread_by_size_whatever_the_bridge_returns(spark, monkeypatch):
     assert dealt.rdd.getNumPartitions() == cores and sorted(r.id for r in dealt.collect()) == list(range(40))
     monkeypatch.setattr(TM, "SPREAD_BYTES", 1)
     assert TM.spread(df).rdd.getNumPartitions() == 1
+
+
+def test_forest_in_groups_of_trees(spark, monkeypatch):
+    """A large frame is fitted in groups of trees: all trees are there, the prediction is their
+    mean, the stored pipeline predicts the same, and the input's partitions do not matter."""
+    from pyspark.ml.regression import RandomForestRegressionModel
+    monkeypatch.setattr(K, "ONE_FOREST_ROWS", 100)
+    monkeypatch.setattr(K, "ROWS_PER_TASK", 200)
+    monkeypatch.setattr(K, "TREES_PER_GROUP", 2)
+    df = spark.range(400).select(F.col("id").cast("string").alias("post_id"), (F.col("id") % 7).alias("likes"),
+                                 F.when(F.col("id") % 2 == 0, "reel").otherwise("image").alias("media_type"),
+                                 ((F.col("id") % 7) / 100 + (F.col("id") % 2) / 10).alias("engagement_rate"))
+    kw = dict(num_trees=5, max_depth=4)
+    model, metrics, (_, cat) = K.train_engagement_model(df.repartition(3), **kw)
+    forests = [s for s in model.stages if isinstance(s, RandomForestRegressionModel)]
+    assert [f.getNumTrees for f in forests] == [2, 2, 1]
+    m = metrics.first()
+    assert m["n_trees"] == 5 and m["r2"] > 0.9 and m["n_train"] + m["n_test"] == 400
+    r = model.transform(df).first()
+    assert abs(r["prediction"] - (2 * r["__p0"] + 2 * r["__p1"] + r["__p2"]) / 5) < 1e-12
+    path = _path(spark, "groups")
+    S.model_store_save(model, metrics, path)
+    again, _ = S.model_store_load(spark, path)
+    other, _, _ = K.train_engagement_model(df.repartition(8), **kw)
+    rows = [sorted(map(tuple, K.batch_predict(x, df, cat).select("post_id", "predicted_engagement").collect()))
+            for x in (model, again, other)]
+    assert rows[0] == rows[1] == rows[2]
