@@ -40,3 +40,19 @@ def test_tag_comments_query(spark, tables):
     assert sorted(r.comment_id for r in rows) == sorted([*made, "c99-0", "d99"])
     assert {r.comment_id: r.label for r in rows if r.comment_id in made} == made
     assert {r.label for r in rows} == set(WORDS) and all(0 < r.confidence <= 1 for r in rows)
+
+
+def test_category_sentiment_query(spark, tables):
+    """The averages and shares per category of the rows of tag_comments; rows without a
+    category are in none."""
+    d, made = tables
+    tagged = E.queries()["tag_comments"](spark, d).collect()
+    got = {r.content_category: r for r in E.queries()["category_sentiment"](spark, d).collect()}
+    assert set(got) == {"user", "assistant", "en"}
+    for c, r in got.items():
+        mine = [t for t in tagged if t.content_category == c]
+        share = lambda label: 100 * sum(t.label == label for t in mine) / len(mine)
+        assert r.n_comments == sum(t.comment_id in made for t in mine)
+        assert r.pct_relatable == pytest.approx(share("Relatable"), abs=1e-5)
+        assert r.pct_negative == pytest.approx(share("Negative"), abs=1e-5)
+        assert r.avg_confidence == pytest.approx(sum(t.confidence for t in mine) / len(mine), abs=1e-5)
