@@ -56,3 +56,14 @@ def test_category_sentiment_query(spark, tables):
         assert r.pct_relatable == pytest.approx(share("Relatable"), abs=1e-5)
         assert r.pct_negative == pytest.approx(share("Negative"), abs=1e-5)
         assert r.avg_confidence == pytest.approx(sum(t.confidence for t in mine) / len(mine), abs=1e-5)
+
+
+def test_top_comments_query(spark, tables):
+    """The first 10 rows of tag_comments that are labelled Relatable, by score and id, with their texts."""
+    d, made = tables
+    tagged = [t for t in E.queries()["tag_comments"](spark, d).collect() if t.label == "Relatable"]
+    want = sorted(tagged, key=lambda t: (-t.relatability_score, t.comment_id))[:10]
+    got = E.queries()["top_comments"](spark, d).collect()
+    assert len(got) == 10
+    assert [(r.comment_id, r.content_category, r.confidence) for r in got] == [(t.comment_id, t.content_category, t.confidence) for t in want]
+    assert all(r.comment_text.startswith("sun moon ") for r in got if r.comment_id in made)
